@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from quayside.llm.fm_index import OP10_SQL, op10_fm_decontamination
 from quayside.llm.jaccard_join import OP6_SQL, op6_ngram_jaccard_join
 
-QUERIES = {f.__name__: f for f in [op6_ngram_jaccard_join]}
-SQL = {"op6_ngram_jaccard_join": OP6_SQL}
+QUERIES = {f.__name__: f for f in [op6_ngram_jaccard_join, op10_fm_decontamination]}
+SQL = {"op6_ngram_jaccard_join": OP6_SQL, "op10_fm_decontamination": OP10_SQL}
