@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from quayside.llm.fm_index import OP10_SQL, op10_fm_decontamination
 from quayside.llm.jaccard_join import OP6_SQL, op6_ngram_jaccard_join
+from quayside.llm.langid import op7_language_families
 from quayside.llm.packing import op3_ffd_packing
+from quayside.llm.quality import op4_nbsvm_quality
 
-QUERIES = {f.__name__: f for f in [op6_ngram_jaccard_join, op10_fm_decontamination, op3_ffd_packing]}
+QUERIES = {f.__name__: f for f in [op6_ngram_jaccard_join, op10_fm_decontamination, op3_ffd_packing, op4_nbsvm_quality, op7_language_families]}
 SQL = {"op6_ngram_jaccard_join": OP6_SQL, "op10_fm_decontamination": OP10_SQL}
