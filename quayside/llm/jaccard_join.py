@@ -11,11 +11,15 @@ Method
 3. Prefix filter: two sets of a similarity of ``num/den`` at least share a shingle among the first
    ``size - ceil(size * num / den) + 1`` of each. Shingles that one document alone holds fill prefix places but find
    nothing, so most documents leave here.
-4. Candidates share a prefix shingle and pass the length and the positional filter. First each document meets the
-   smallest of each of its prefix shingles' lists (as many pairs as there are list entries); only pairs whose ends
-   these links have left in different components are made after that, each once. So thousands of near copies of one
-   text cost a multiple of their number, not its square, and no link that would join two components is lost.
-5. A candidate is verified once: the suffix filter bounds the overlap by halving both sets at a pivot, then the sets are
+4. Candidates share a prefix shingle and pass the length and the positional filter. First each document meets the hub of
+   each of its prefix shingles' lists, the one with the fewest rare shingles before it: as many pairs as there are list
+   entries. Of thousands of near copies of one text, most link to such a hub at once.
+5. Documents that still share a prefix shingle with another component go through 2 to 4 again among themselves, now with
+   all their shingles counted, which makes the positional filter sharp. The pairs whose ends are then still in different
+   components are all looked at, so no link that would join two components is lost. A bound of the symmetric difference
+   (parities of hashed places, as an odd sketch: they differ in no more places than the sets) is part of the join's
+   condition, so that pairs of copies that were edited too much to link are not made.
+6. A candidate is verified once: the suffix filter bounds the overlap by halving both sets at a pivot, then the sets are
    intersected exactly.
 """
 
@@ -34,6 +38,7 @@ from quayside.functions.scratch import materialize
 from quayside.llm import tokens as T
 
 _WORDS = {"space": T.space_words, "alnum": T.alnum_words}
+_ODD_WORDS = 16  # 1024 parities a set
 _FILTER_BITS = 25  # of the bitmap that spares most other texts the shuffle in step 5; 4 MB at any input size
 
 
@@ -73,9 +78,12 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, size long, node long, counted array<long>, others array<long>")
 
 
-def _prefixes(sig: DataFrame, num: int, den: int) -> DataFrame:
-    """``(node, size, key, pos)``: the shared shingles of each node's prefix and their places in its order."""
-    postings = sig.where("size > 0").select("node", "size", F.size("counted").alias("n_counted"), F.posexplode(F.concat("counted", "others")).alias("i", "key"))
+def _prefixes(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """``(node, size, key, pos)``: the shared shingles of each node's prefix and their places in its order.
+
+    ``postings``: ``(node, size, n_counted, i, key)``, the first ``n_counted`` of a node ordered by document frequency,
+    the others by ``i``.
+    """
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     mine = postings.join(shared.hint("shuffle_merge"), "key").select("node", "size", "n_counted", "key", "df", "i").dropDuplicates(["node", "key"])
     places = mine.groupBy("node", "size", "n_counted").agg(
@@ -94,6 +102,12 @@ def _prefixes(sig: DataFrame, num: int, den: int) -> DataFrame:
     return located.select("node", "size", "prefix", F.inline("at")).where("pos < prefix").drop("prefix")
 
 
+def _met(prefixes: DataFrame, name: str) -> DataFrame:
+    """The entries whose shingle stands in the prefix of another node too."""
+    held = materialize(prefixes, name)
+    return held.join(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").hint("shuffle_merge"), "key", "left_semi")
+
+
 def _filtered(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Length and positional filter, then each pair once. ``a`` is the smaller (size, node)."""
     overlap = f"cast(ceil((size_a + size_b) * {num}L / {num + den}) as bigint)"
@@ -101,22 +115,43 @@ def _filtered(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return ok.groupBy("a", "b").agg(F.count("*").alias("hits")).drop("hits")
 
 
-def _rename(df: DataFrame, side: str) -> DataFrame:
-    return df.select("key", F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("pos").alias(f"pos_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c == "comp"])
+def _odd(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements at each of 64 * _ODD_WORDS hashed places."""
+    at = (T.mix(s) & np.uint64(64 * _ODD_WORDS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * _ODD_WORDS) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _star_pairs(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    hubs = prefixes.groupBy("key").agg(F.min(F.struct("size", "node", "pos")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hubs = hubs.select("key", F.col("hub.node").alias("a"), F.col("hub.size").alias("size_a"), F.col("hub.pos").alias("pos_a"))
-    return _filtered(_rename(prefixes, "b").join(hubs.hint("shuffle_merge"), "key").where("a <> b"), num, den)
+def _rename(df: DataFrame, side: str) -> DataFrame:
+    return df.select("key", *[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in df.columns if c != "key"])
+
+
+def _star_pairs(prefixes: DataFrame, comps: DataFrame | None, num: int, den: int) -> DataFrame:
+    """Each node with the hubs of its shingles' lists; given components, only if the hub is in another one."""
+    hubs = prefixes.groupBy("key").agg(F.min(F.struct("pos", "size", "node")).alias("hub"))
+    hubs = hubs.select("key", F.col("hub.node").alias("h"), F.col("hub.size").alias("size_h"), F.col("hub.pos").alias("pos_h"))
+    met = prefixes.join(hubs.hint("shuffle_merge"), "key").where("node <> h")
+    first = "(size_h < size or size_h = size and h < node)"
+    pick = lambda x, y, c: F.expr(f"case when {first} then {x} else {y} end").alias(c)
+    pairs = _filtered(met.select("key", pick("h", "node", "a"), pick("node", "h", "b"), pick("size_h", "size", "size_a"), pick("size", "size_h", "size_b"), pick("pos_h", "pos", "pos_a"), pick("pos", "pos_h", "pos_b")), num, den)
+    if comps is None:
+        return pairs
+    of = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"comp_{side}"))
+    known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return known.where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
+
+
+def _mixed(prefixes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Entries of shingles whose lists hold nodes of different components, with the components."""
+    known = prefixes.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return known.join(keys.hint("shuffle_merge"), "key", "left_semi")
 
 
-def _cross_pairs(prefixes: DataFrame, comps: DataFrame, done: DataFrame, num: int, den: int) -> DataFrame:
+def _cross_pairs(mixed: DataFrame, done: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that share a prefix shingle and whose ends lie in different components so far."""
-    known = prefixes.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    known = materialize(known.join(mixed.hint("shuffle_merge"), "key", "left_semi"), "mixed")
-    pairs = _rename(known, "a").join(_rename(known, "b").hint("shuffle_merge"), "key").where("comp_a <> comp_b and (size_a < size_b or size_a = size_b and a < b)")
+    pairs = _rename(mixed, "a").join(_rename(mixed, "b").hint("shuffle_merge"), "key").where("comp_a <> comp_b and (size_a < size_b or size_a = size_b and a < b)")
+    apart = " + ".join(f"bit_count(odd_a[{k}] ^ odd_b[{k}])" for k in range(_ODD_WORDS))
+    pairs = pairs.where(f"{apart} <= size_a + size_b - 2 * cast(ceil((size_a + size_b) * {num}L / {num + den}) as bigint)")
     return _filtered(pairs, num, den).join(done.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -171,11 +206,11 @@ def _wanted_sets(docs: DataFrame, text_col: str, nodes: DataFrame, n: int, words
             slot = _spark_xxhash64(ids) & np.uint64((1 << _FILTER_BITS) - 1)
             held = ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
             kept = [s.view(np.int64) for (_, s), k in zip(named, held) if k]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[held]), T.list_column([np.sort(s) for s in kept], pa.int64())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[held]), T.list_column([np.sort(s) for s in kept], pa.int64()), T.list_column([_odd(s.view(np.uint64)) for s in kept], pa.int64())], names=["node", "shingles", "odd"])
 
-    made = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+    made = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, shingles array<long>, odd array<long>")
     # Equal sets come once per copy: keep one, by the partial aggregation's first.
-    once = made.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    once = made.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("odd").alias("odd"))
     return once.join(nodes.hint("shuffle_merge"), "node", "left_semi")
 
 
@@ -204,17 +239,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeated ids are separate rows; ids may be null, and a component of null ids alone is null. An empty table gives
     empty results. Other columns of ``docs`` are not looked at.
     """
-    sig = materialize(_signatures(docs, id_col, text_col, n, num, den, words), "signatures", compression="lz4")
-    prefixes = materialize(_prefixes(sig, num, den), "prefixes")
-    star = materialize(_star_pairs(prefixes, num, den), "star")
-    sets = materialize(_wanted_sets(docs, text_col, prefixes.select("node").distinct(), n, words), "sets", compression="lz4")
-    first = materialize(_verified(star, sets, num, den), "verified")
-    links = first.where("link")
-    comps = materialize(connected_components(links, "a", "b"), "components")
-    cross = materialize(_cross_pairs(prefixes, comps, first, num, den), "cross")
-    second = materialize(_verified(cross, sets, num, den), "verified")
-    links = links.unionByName(second.where("link")).drop("link")
-    comps = materialize(connected_components(links, "a", "b"), "components")
+    signed = _signatures(docs, id_col, text_col, n, num, den, words)
+    sig = materialize(signed.select("id", "size", "node"), "signatures")
+    coarse = _met(_prefixes(signed.where("size > 0").select("node", "size", F.size("counted").alias("n_counted"), F.posexplode(F.concat("counted", "others")).alias("i", "key")), num, den), "prefixes")
+    sets = materialize(_wanted_sets(docs, text_col, coarse.select("node").distinct(), n, words), "sets", compression="lz4")
+    done = materialize(_verified(_star_pairs(coarse, None, num, den), sets, num, den), "verified")
+    comps = materialize(connected_components(done.where("link"), "a", "b"), "components")
+    open_ = _mixed(coarse, comps).select("node").distinct()
+    whole = sets.join(open_.hint("shuffle_merge"), "node", "left_semi").select("node", F.size("shingles").cast("long").alias("size"), F.size("shingles").alias("n_counted"), F.posexplode("shingles").alias("i", "key"))
+    fine = _met(_prefixes(whole, num, den), "prefixes")
+    for make in (lambda: _star_pairs(fine, comps, num, den).join(done.select("a", "b"), ["a", "b"], "left_anti"), lambda: _cross_pairs(materialize(_mixed(fine, comps).join(sets.select("node", "odd"), "node"), "mixed"), done, num, den)):
+        done = done.unionByName(materialize(_verified(make(), sets, num, den), "verified"))
+        comps = materialize(connected_components(done.where("link"), "a", "b"), "components")
+    links = done.where("link").drop("link")
     rows = sig.select("id", "size", "node")
     named = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).join(comps, "node", "left").withColumn("root", F.coalesce("component", "node"))
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
