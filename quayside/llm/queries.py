@@ -5,8 +5,11 @@ from __future__ import annotations
 from quayside.llm.fm_index import OP10_SQL, op10_fm_decontamination
 from quayside.llm.jaccard_join import OP6_SQL, op6_ngram_jaccard_join
 from quayside.llm.langid import op7_language_families
+from quayside.llm.licenses import op1_license_scan
+from quayside.llm.media import op9_media_columns
 from quayside.llm.packing import op3_ffd_packing
 from quayside.llm.quality import op4_nbsvm_quality
+from quayside.llm.sharding import op8_feistel_shards
 
-QUERIES = {f.__name__: f for f in [op6_ngram_jaccard_join, op10_fm_decontamination, op3_ffd_packing, op4_nbsvm_quality, op7_language_families]}
+QUERIES = {f.__name__: f for f in [op6_ngram_jaccard_join, op10_fm_decontamination, op3_ffd_packing, op4_nbsvm_quality, op7_language_families, op1_license_scan, op8_feistel_shards, op9_media_columns]}
 SQL = {"op6_ngram_jaccard_join": OP6_SQL, "op10_fm_decontamination": OP10_SQL}
