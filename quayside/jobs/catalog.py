@@ -1,6 +1,8 @@
-"""Registry of the queries that run the library's operators over the given tables, with their SQL."""
+"""All queries that run the library's operators over the given tables, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quayside.jobs import queries_basic, queries_history, queries_models, queries_stream, queries_tables  # noqa: F401  they register
+from quayside.jobs.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
