@@ -149,10 +149,10 @@ def _(t):
     return g.withColumns({"revenue": F.round("revenue", 2), "avg_revenue": F.round("avg_revenue", 4)})
 
 
-@query("agg8_rfm_features", "SELECT o_custkey, min(date_diff('day', o_orderdate::DATE, DATE '1997-12-31'))::INT AS recency_days, count(*) AS frequency, round(sum(o_totalprice), 2) AS monetary, round(avg(o_totalprice), 1) AS avg_order_value, count(*) FILTER (date_diff('day', o_orderdate::DATE, DATE '1997-12-31') < 365) AS orders_365d, round(coalesce(sum(o_totalprice) FILTER (date_diff('day', o_orderdate::DATE, DATE '1997-12-31') < 365), 0), 2) AS spend_365d FROM orders WHERE o_orderdate::DATE <= DATE '1997-12-31' GROUP BY 1")
+@query("agg8_rfm_features", "SELECT o_custkey, min(date_diff('day', o_orderdate::DATE, DATE '1997-12-31'))::INT AS recency_days, count(*) AS frequency, round(sum(o_totalprice), 2) AS monetary, round(avg(o_totalprice), 7) AS avg_order_value, count(*) FILTER (date_diff('day', o_orderdate::DATE, DATE '1997-12-31') < 365) AS orders_365d, round(coalesce(sum(o_totalprice) FILTER (date_diff('day', o_orderdate::DATE, DATE '1997-12-31') < 365), 0), 2) AS spend_365d FROM orders WHERE o_orderdate::DATE <= DATE '1997-12-31' GROUP BY 1")
 def _(t):
     r = A.rfm_features(t.orders, "o_custkey", "o_orderdate", "o_totalprice", "1997-12-31")
-    return r.select("o_custkey", "recency_days", "frequency", F.round("monetary", 2).alias("monetary"), F.round("avg_order_value", 1).alias("avg_order_value"), "orders_365d", F.round("spend_365d", 2).alias("spend_365d"))
+    return r.select("o_custkey", "recency_days", "frequency", F.round("monetary", 2).alias("monetary"), F.round("avg_order_value", 7).alias("avg_order_value"), "orders_365d", F.round("spend_365d", 2).alias("spend_365d"))
 
 
 @query("agg9_reconcile_hierarchy", "WITH leaf AS (SELECT 'n' || c_nationkey AS k, c_acctbal AS v FROM customer), up AS (SELECT 'n' || n_nationkey AS k, 'r' || n_regionkey AS a FROM nation UNION ALL SELECT 'n' || n_nationkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || n_nationkey, 'world' FROM nation) SELECT a AS k, round(sum(v), 2) AS v FROM leaf JOIN up USING (k) GROUP BY 1")
