@@ -71,19 +71,18 @@ def order_calls(calls: DataFrame, keys: list[str]) -> DataFrame:
     group, call = keys[:-1], keys[-1]
     edges = nodes.select(*keys, F.explode(F.array_distinct("depends")).alias("on"))
     known = nodes.select(*group, F.col(call).alias("on"))
-    edges = materialize(edges.join(known, [*group, "on"]), "edges")
-    waiting = edges.select(*keys).distinct()
-    done = materialize(nodes.select(*keys).join(waiting, keys, "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
-    level = 0
-    while True:
-        # An open edge waits for a call without a level; a call is ready when none of its edges is open.
-        settled = done.select(*group, F.col(call).alias("on"), F.lit(True).alias("met"))
-        state = edges.join(done.select(*keys), keys, "left_anti").join(settled, [*group, "on"], "left").groupBy(*keys).agg(F.bool_and(F.coalesce("met", F.lit(False))).alias("ready"))
+    still = materialize(edges.join(known.hint("shuffle_merge"), [*group, "on"], "left_semi").select(*keys, "on"), "edges")
+    front = materialize(nodes.select(*keys).join(still.select(*keys).hint("shuffle_merge"), keys, "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    done, level = front, 0
+    while not front.isEmpty():
+        # Edges on calls of the last level are met; calls without any other edge make the next level.
+        met = front.select(*group, F.col(call).alias("on"))
+        left = materialize(still.join(met.hint("shuffle_merge"), [*group, "on"], "left_anti").select(*keys, "on"), "edges")
         level += 1
-        ready = materialize(state.where("ready").select(*keys, F.lit(level).cast("long").alias("level")), "levels")
-        if ready.isEmpty():
-            return done
-        done = done.unionByName(ready)
+        ready = still.select(*keys).distinct().join(left.select(*keys).hint("shuffle_merge"), keys, "left_anti")
+        front = materialize(ready.withColumn("level", F.lit(level).cast("long")), "levels")
+        done, still = done.unionByName(front), left
+    return done
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -98,10 +97,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     c = calls.select("conv_id", "call_id", "pos", "name", "arguments")
     refs = F.regexp_extract_all(F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("")), F.lit(r'\{"\$ref":"((?:[^"\\]|\\.)*)"\}'), F.lit(1))
     c = validate_arguments(c, schemas).withColumn("depends", F.array_sort(F.array_distinct(refs)))
+    c = materialize(c, "calls")
     first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("pos", "content")).alias("r"), F.count("*").alias("n_results"))
     first = first.select("conv_id", "call_id", F.col("r.pos").alias("result_pos"), F.col("r.content").alias("content"), "n_results", F.lit(True).alias("answered"))
     levels = order_calls(c.where("conv_id is not null and call_id is not null"), ["conv_id", "call_id"])
-    linked = c.withColumn("called", F.lit(True)).join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer").join(levels, ["conv_id", "call_id"], "left")
+    linked = c.withColumn("called", F.lit(True)).join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer").join(levels.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     status = F.when(F.col("called").isNull(), "orphan").when(F.col("answered").isNull(), "unanswered").otherwise("linked")
     args = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.to_json(F.struct(F.col("arguments").alias("raw"))))
     plain = F.to_json(F.struct("call_id", "content", "conv_id", "depends", "errors", "level", "name", status.alias("status")), {"ignoreNullFields": "false"})
