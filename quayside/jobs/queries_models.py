@@ -150,11 +150,11 @@ def _(t):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(R.cosine(F.col("x"), F.col("y")), 5).alias("s"))
 
 
-@query("rec6_ranking_quality", "WITH r AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k, (floor(l_quantity)::INT % 3) AS rel FROM lineitem), i AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rel DESC, k) AS ik FROM r) SELECT q, round(coalesce(sum(CASE WHEN k <= 3 THEN (2 ** rel - 1) / log2(k + 1) ELSE 0 END) / nullif(sum(CASE WHEN ik <= 3 THEN (2 ** rel - 1) / log2(ik + 1) ELSE 0 END), 0), 0), 6) AS ndcg_at_k, round(sum(CASE WHEN k <= 3 AND rel > 0 THEN 1 ELSE 0 END) / 3, 6) AS precision_at_k FROM i GROUP BY q")
+@query("rec6_ranking_quality", "WITH r AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, (floor(l_quantity)::INT % 3) AS rel FROM lineitem), i AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rel DESC, k) AS ik FROM r) SELECT q, round(coalesce(sum(CASE WHEN k <= 3 THEN (2 ** rel - 1) / log2(k + 1) ELSE 0 END) / nullif(sum(CASE WHEN ik <= 3 THEN (2 ** rel - 1) / log2(ik + 1) ELSE 0 END), 0), 0), 6) AS ndcg_at_k, round(sum(CASE WHEN k <= 3 AND rel > 0 THEN 1 ELSE 0 END) / 3, 6) AS precision_at_k FROM i GROUP BY q")
 def _(t):
     from pyspark.sql import Window
 
-    r = t.lineitem.select(F.col("l_orderkey").alias("q"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).alias("k"), (F.floor("l_quantity").cast("int") % 3).alias("rel"))
+    r = t.lineitem.select(F.col("l_orderkey").alias("q"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("k"), (F.floor("l_quantity").cast("int") % 3).alias("rel"))
     return R.ranking_quality(r, "q", "k", "rel", 3).withColumns({c: F.round(c, 6) for c in ("ndcg_at_k", "precision_at_k")})
 
 

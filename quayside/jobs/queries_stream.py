@@ -1 +1,171 @@
-"""Queries."""
+"""Queries of the streaming jobs: the events as a stream of files, run over what is there, against their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quayside.functions.scratch import scratch_path
+from quayside.jobs.registry import query
+from quayside.sources import files, messages
+from quayside.streaming import jobs as S
+
+
+def events(t, n: int = 4):
+    """The events, written as ``n`` Parquet files and streamed one a batch."""
+    path = scratch_path(t.spark, "events")
+    e = t.events
+    e.repartitionByRange(n, "event_id").write.parquet(path)
+    return S.stream_files(t.spark, path, e.schema, "parquet", 1)
+
+
+@query("str1_stream_files", "SELECT event_id, event_type FROM events")
+def _(t):
+    return S.run_now(events(t).select("event_id", "event_type"), "append").select("event_id", "event_type")
+
+
+@query("str2_stream_to_table", "SELECT event_id, value FROM events")
+def _(t):
+    out, check = scratch_path(t.spark, "out"), scratch_path(t.spark, "check")
+    S.stream_to_table(events(t).select("event_id", "value"), out, check).awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+@query("str3_stream_counts", "SELECT event_type, count(*) AS count FROM events GROUP BY 1")
+def _(t):
+    return S.run_now(S.stream_counts(events(t), ["event_type"]), "complete").select("event_type", "count")
+
+
+@query("str4_tumbling_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(t):
+    w = S.run_now(S.windowed(events(t), "ts", ["event_type"], "value", "1 day", delay="40 days"), "complete")
+    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("str4_sliding_windows", "WITH s AS (SELECT unnest([0, 12]) AS h) SELECT time_bucket(INTERVAL 12 HOUR, ts) - h * INTERVAL 1 HOUR AS window_start, count(*) AS n FROM events, s GROUP BY ALL")
+def _(t):
+    w = S.run_now(S.windowed(events(t), "ts", [], "value", "1 day", "12 hours", delay="40 days"), "complete")
+    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query("str4_sessions", "WITH g AS (SELECT *, (ts - lag(ts) OVER w >= INTERVAL 12 HOUR)::INT AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(coalesce(b, 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k")
+def _(t):
+    w = S.sessions(t.events, "ts", ["user_id"], "value", "12 hours")
+    return w.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+@query("str5_dedupe_stream", "SELECT DISTINCT user_id, event_type FROM events")
+def _(t):
+    return S.run_now(S.dedupe_stream(events(t), ["user_id", "event_type"], "ts", "100 days").select("user_id", "event_type"), "append").select("user_id", "event_type")
+
+
+@query("str6_split_late", "SELECT 'all' AS part, count(*) AS n FROM events")
+def _(t):
+    good, late, check = (scratch_path(t.spark, n) for n in ("good", "late", "check"))
+    write = lambda path: lambda df: df.select("event_id").write.mode("append").parquet(path)
+    S.split_late(events(t), "ts", 86400, write(good), write(late), check).awaitTermination()
+    return t.spark.read.parquet(good).unionByName(t.spark.read.parquet(late)).agg(F.lit("all").alias("part"), F.count("*").alias("n"))
+
+
+@query("str7_stream_transform", "SELECT event_id, upper(event_type) AS event_type FROM events WHERE value > 10")
+def _(t):
+    steps = [{"name": "filter_by_condition", "params": {"condition": "value > 10"}}, {"name": "normalize_case", "params": {"columns": ["event_type"], "case": "upper"}}]
+    return S.run_now(S.stream_transform(events(t).select("event_id", "event_type", "value"), steps), "append").select("event_id", "event_type")
+
+
+@query("str8_stream_enrich", "SELECT event_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey")
+def _(t):
+    c = t.customer.select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    return S.run_now(S.stream_enrich(events(t), c, ["user_id"]).select("event_id", "c_mktsegment"), "append").select("event_id", "c_mktsegment")
+
+
+@query("str8_interval_join", "SELECT a.event_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
+def _(t):
+    a = events(t).where("event_type = 'click'").select("event_id", "user_id", "ts")
+    b = events(t).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("purchase_ts"))
+    return S.run_now(S.interval_join(a, b, "user_id", "ts", "purchase_ts", "6 hours", "40 days").select("event_id", "purchase_id"), "append").select("event_id", "purchase_id")
+
+
+@query("str9_stream_upsert", "SELECT user_id, value FROM (SELECT user_id, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS t FROM events GROUP BY 1) WHERE t <> 'error'")
+def _(t):
+    path, check = scratch_path(t.spark, "upsert"), scratch_path(t.spark, "check")
+    op = F.when(F.col("event_type") == "error", "d").otherwise("u")
+    q = S.stream_upsert(events(t).select("user_id", "value", op.alias("op"), "event_id"), path, ["user_id"], ["event_id"], check)
+    q.awaitTermination()
+    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"])
+    return S.upserted(t.spark, path, last).select("user_id", "value")
+
+
+@query("str10_stream_score")
+def _(t):
+    from quayside.operators import models as M
+
+    e = t.events.select("user_id", "value", (F.col("event_type") == "purchase").cast("int").alias("y"))
+    model = M.train(e, "y", ["value"], "logistic", maxIter=5)
+    payload = events(t).select(F.to_json(F.struct("event_id", "value")).alias("v"))
+    return S.run_now(S.stream_score(payload, "v", "event_id long, value double", model, ["value"]).select("event_id", "score"), "append").select("event_id", "score")
+
+
+@query("str11_user_state", "SELECT user_id, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1")
+def _(t):
+    s = S.user_state(events(t, 1), "user_id", "ts", "value", "100 days")
+    return S.run_now(s, "update").select("user_id", "n", F.round("total", 3).alias("total"))
+
+
+@query("src3_read_merged_schema", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS o_totalprice FROM orders")
+def _(t):
+    path = scratch_path(t.spark, "merged")
+    t.orders.where("o_orderkey % 2 = 1").select("o_orderkey").write.parquet(f"{path}/a")
+    t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice").write.parquet(f"{path}/b")
+    return t.spark.read.option("mergeSchema", True).parquet(f"{path}/a", f"{path}/b").select("o_orderkey", "o_totalprice")
+
+
+@query("src6_read_fixed_width", "SELECT c_custkey, c_mktsegment, c_nationkey FROM customer")
+def _(t):
+    path = scratch_path(t.spark, "fixed")
+    t.customer.select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 10, " "), F.rpad("c_mktsegment", 12, " "), F.lpad(F.col("c_nationkey").cast("string"), 4, "0"))).write.text(path)
+    spec = [{"name": "c_custkey", "start": 1, "length": 10, "type": "bigint"}, {"name": "c_mktsegment", "start": 11, "length": 12}, {"name": "c_nationkey", "start": 23, "length": 4, "type": "int"}]
+    return files.read_fixed_width(t.spark, path, spec)
+
+
+@query("src7_layout_from_copybook", "SELECT c_custkey, round(abs(c_acctbal), 2)::DECIMAL(12, 2)::DOUBLE AS balance FROM customer")
+def _(t):
+    layout = files.layout_from_copybook("       05 C-CUSTKEY PIC 9(10).\n       05 BALANCE PIC 9(10)V99.\n")
+    lines = t.customer.select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 10, "0"), F.lpad(F.round(F.abs("c_acctbal") * 100).cast("long").cast("string"), 12, "0")).alias("value"))
+    return files.slice_fixed_width(lines, "value", layout).select("c_custkey", F.col("balance").cast("double").alias("balance"))
+
+
+@query("src18_audit_log", "SELECT 'orders' AS job, count(*) AS rows_written, 'succeeded' AS status FROM orders")
+def _(t):
+    path = scratch_path(t.spark, "audited")
+    row = files.run_audited(t.orders, lambda df: df.write.parquet(path), "orders")
+    return t.spark.createDataFrame([(row["job"], row["rows_written"], row["status"])], "job string, rows_written long, status string")
+
+
+@query("prs7_parse_x12_claims", "SELECT o_orderkey, 'C' || o_orderkey AS claim_id, floor(o_totalprice)::DOUBLE AS amount, '11' AS place, 'FAM' || o_custkey AS patient FROM orders")
+def _(t):
+    text = t.orders.select("o_orderkey", F.concat(F.lit("ST*837*0001~NM1*IL*1*FAM"), F.col("o_custkey"), F.lit("~CLM*C"), F.col("o_orderkey"), F.lit("*"), F.floor("o_totalprice"), F.lit("***11:B:1~NM1*82*1*DOC*ANN~SE*5*0001~")).alias("x"))
+    return messages.parse_x12_claims(text, "o_orderkey", "x").select("o_orderkey", "claim_id", F.col("amount").cast("double").alias("amount"), "place", "patient")
+
+
+@query("prs8_parse_swift_mt", "SELECT o_orderkey, '103' AS message_type, 'REF' || o_orderkey AS reference, 'ACME ' || o_custkey AS ordering_customer, 'SHA' AS charges FROM orders")
+def _(t):
+    text = t.orders.select("o_orderkey", F.concat(F.lit("{1:F01BANKXX}{2:I103BANKYY}{4:\n:20:REF"), F.col("o_orderkey"), F.lit("\n:32A:240101USD10,\n:50K:ACME\n"), F.col("o_custkey"), F.lit("\n:71A:SHA\n-}")).alias("m"))
+    return messages.parse_swift_mt(text, "m").select("o_orderkey", "message_type", "reference", "ordering_customer", "charges")
+
+
+@query("prs9_parse_swift_mx", "SELECT o_orderkey, 'FIToFICstmrCdtTrf' AS message_type, 'M' || o_orderkey AS \"MsgId\" FROM orders")
+def _(t):
+    text = t.orders.select("o_orderkey", F.concat(F.lit('<Document xmlns="urn:x"><FIToFICstmrCdtTrf><GrpHdr><MsgId>M'), F.col("o_orderkey"), F.lit("</MsgId></GrpHdr></FIToFICstmrCdtTrf></Document>")).alias("m"))
+    return messages.parse_swift_mx(text, "m", ["MsgId"]).select("o_orderkey", "message_type", "MsgId")
+
+
+@query("prs10_parse_hl7", "SELECT c_custkey, 'ADT^A01' AS message_type, c_custkey::VARCHAR AS patient_id, c_mktsegment AS family_name FROM customer")
+def _(t):
+    text = t.customer.select("c_custkey", F.concat(F.lit("MSH|^~\\&|A|B|C|D|202401010101||ADT^A01|1|P|2.5\rPID|1||"), F.col("c_custkey"), F.lit("^^^MRN||"), F.col("c_mktsegment"), F.lit("^JO||19800101|F\rPV1|1|I")).alias("m"))
+    return messages.parse_hl7(text, "m").select("c_custkey", "message_type", "patient_id", "family_name")
+
+
+@query("prs11_flatten_fhir_bundle", "SELECT o_orderkey, unnest(['Patient', 'Claim']) AS resource_type FROM orders")
+def _(t):
+    text = t.orders.select("o_orderkey", F.concat(F.lit('{"entry":[{"resource":{"resourceType":"Patient","id":"'), F.col("o_custkey"), F.lit('"}},{"resource":{"resourceType":"Claim","status":"active"}}]}')).alias("m"))
+    return messages.flatten_fhir_bundle(text, "m").select("o_orderkey", "resource_type")

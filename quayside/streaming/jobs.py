@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quayside.functions.scratch import scratch_path
-from quayside.operators.history import apply_cdc
+from quayside.operators.history import compact_changes
 from quayside.sources.files import write_table
 
 
@@ -99,19 +99,24 @@ def interval_join(a: DataFrame, b: DataFrame, key: str, a_ts: str, b_ts: str, wi
     return x.join(y, (F.col(key) == F.col(f"_{key}")) & (F.col(b_ts) >= F.col(a_ts)) & (F.col(b_ts) <= F.col(a_ts) + F.expr(f"INTERVAL {within}"))).drop(f"_{key}")
 
 
-def stream_upsert(df: DataFrame, path: str, keys: list[str], seq: list[str], checkpoint: str, op: str = "op") -> StreamingQuery:
-    """Apply micro-batches of changes to a table of versions ``path/v=<batch>``: each batch reads the version before and
-    writes its own whole, so a batch that runs again writes the same."""
+def stream_upsert(df: DataFrame, path: str, keys: list[str], seq: list[str], checkpoint: str) -> StreamingQuery:
+    """Keep the last change per key in versions ``path/v=<batch>``; ``upserted`` reads the rows that are not deleted.
+
+    Deletes stay as marks, so batches may come in any order of ``seq``. Each batch reads the version before and writes its
+    own whole, so a batch that runs again writes the same.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        columns = [c for c in batch.columns if c not in (op, *seq)]
-        old = spark.read.parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], batch.select(*columns).schema)
-        write_table(apply_cdc(old.select(*columns), batch, keys, seq, op), f"{path}/v={number}", mode="overwrite")
+        every = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v={number - 1}").unionByName(batch) if number else batch
+        write_table(compact_changes(every, keys, seq), f"{path}/v={number}", mode="overwrite")
 
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upserted(spark: SparkSession, path: str, version: int, op: str = "op") -> DataFrame:
+    return spark.read.parquet(f"{path}/v={version}").where(~F.coalesce(F.col(op).isin("d", "delete", "D", "DELETE"), F.lit(False)))
+
+
 def stream_score(df: DataFrame, column: str, schema: str, model, columns: list[str]) -> DataFrame:
     """JSON payloads to features to predictions."""
     from quayside.operators.models import batch_score
