@@ -3,8 +3,8 @@
 Calls and results of a conversation meet in a hash join on the identifier. Calls depend on those whose results their
 arguments name (``{"$ref": "<call id>"}`` anywhere in the arguments); their order is topological: level 0 has no
 dependency, level n + 1 waits for level n, calls of a cycle and those that wait for one have no level. Levels are settled
-round by round over the calls that are still open, each round ending in a written table, so a conversation is never
-gathered in one task. Arguments are checked against a schema per tool, and everything is serialised as canonical JSON:
+in rounds that double the reach, each ending in a written table, so a conversation is never gathered in one task and a long
+one takes few rounds. Arguments are checked against a schema per tool, and everything is serialised as canonical JSON:
 keys sorted, no blanks, numbers in one form.
 """
 
@@ -66,23 +66,38 @@ def validate_arguments(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 def order_calls(calls: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, level)`` for each call whose dependencies (``depends``, ids of calls of the same conversation) can all be
-    met. ``keys``: the conversation's columns and the call's identifier, last. Unknown ids are no dependencies."""
-    nodes = calls.select(*keys, "depends").dropDuplicates(keys)
+    met. ``keys``: the conversation's columns and the call's identifier, last. Unknown ids are no dependencies.
+
+    A level is one more than the highest level among the dependencies. An open call carries its dependencies with a
+    distance and the best level known so far. In each round a dependency that is settled is turned into a level, and one
+    that itself waits for a single call is replaced by that call, the distances added up. So a chain of n calls takes
+    about log2(n) rounds. A call that comes to wait for itself, or at a distance beyond the number of calls, is in a
+    cycle.
+    """
     group, call = keys[:-1], keys[-1]
-    edges = nodes.select(*keys, F.explode(F.array_distinct("depends")).alias("on"))
-    known = nodes.select(*group, F.col(call).alias("on"))
-    still = materialize(edges.join(known.hint("shuffle_merge"), [*group, "on"], "left_semi").select(*keys, "on"), "edges")
-    front = materialize(nodes.select(*keys).join(still.select(*keys).hint("shuffle_merge"), keys, "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
-    done, level = front, 0
-    while not front.isEmpty():
-        # Edges on calls of the last level are met; calls without any other edge make the next level.
-        met = front.select(*group, F.col(call).alias("on"))
-        left = materialize(still.join(met.hint("shuffle_merge"), [*group, "on"], "left_anti").select(*keys, "on"), "edges")
-        level += 1
-        ready = still.select(*keys).distinct().join(left.select(*keys).hint("shuffle_merge"), keys, "left_anti")
-        front = materialize(ready.withColumn("level", F.lit(level).cast("long")), "levels")
-        done, still = done.unionByName(front), left
-    return done
+    plain = calls.select(*keys, "depends").dropDuplicates(keys)
+    known = plain.select(*group, F.col(call).alias("on"))
+    edges = plain.select(*keys, F.explode(F.array_distinct("depends")).alias("on")).join(known.hint("shuffle_merge"), [*group, "on"], "left_semi")
+    waits = edges.groupBy(*keys).agg(F.collect_set(F.struct("on", F.lit(1).cast("long").alias("w"))).alias("deps"))
+    none = F.array().cast("array<struct<on:string,w:bigint>>")
+    state = plain.select(*keys).join(waits.hint("shuffle_merge"), keys, "left")
+    state = materialize(state.select(*keys, F.lit(0).cast("long").alias("best"), F.coalesce("deps", none).alias("deps"), F.lit(False).alias("stuck")), "levels")
+    total, seen = state.count(), None
+    while True:
+        mark = state.where("size(deps) > 0 and not stuck").agg(F.count("*"), F.sum(F.xxhash64(*keys, F.array_sort("deps")).cast("decimal(38,0)"))).first()
+        if not mark[0] or mark == seen:
+            return state.where("size(deps) = 0").select(*keys, F.col("best").alias("level"))
+        seen = mark
+        other = state.select(*group, F.col(call).alias("on"), F.col("best").alias("o_best"), F.col("deps").alias("o_deps"), F.col("stuck").alias("o_stuck"))
+        dep = state.where("size(deps) > 0 and not stuck").select(*keys, F.inline("deps")).join(other.hint("shuffle_merge"), [*group, "on"])
+        passes = ~F.col("o_stuck") & (F.size("o_deps") <= 1)
+        onward = F.struct(F.get("o_deps", F.lit(0))["on"].alias("on"), (F.col("w") + F.get("o_deps", F.lit(0))["w"]).alias("w"))
+        kept = F.when(~passes, F.struct("on", "w")).when(F.size("o_deps") == 1, onward)
+        step = dep.groupBy(*keys).agg(F.collect_set(kept).alias("n_deps"), F.max(F.when(passes, F.col("o_best") + F.col("w"))).alias("n_best"))
+        moved = state.join(step.hint("shuffle_merge"), keys, "left")
+        deps = F.when(F.col("n_deps").isNull(), F.col("deps")).otherwise(F.col("n_deps"))
+        stuck = F.col("stuck") | F.exists(deps, lambda d: (d["on"] == F.col(call)) | (d["w"] > total))
+        state = materialize(moved.select(*keys, F.greatest("best", F.coalesce("n_best", F.lit(0))).alias("best"), deps.alias("deps"), stuck.alias("stuck")), "levels")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
