@@ -137,7 +137,7 @@ def _(t):
 @query("src18_audit_log", "SELECT 'orders' AS job, count(*) AS rows_written, 'succeeded' AS status FROM orders")
 def _(t):
     path = scratch_path(t.spark, "audited")
-    row = files.run_audited(t.orders, lambda df: df.write.parquet(path), "orders")
+    row = files.run_audited(t.orders, path, "orders")
     return t.spark.createDataFrame([(row["job"], row["rows_written"], row["status"])], "job string, rows_written long, status string")
 
 
