@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quayside.functions.scratch import materialize
 from quayside.llm import tokens as T
 
-SHARD_BYTES = 6 << 20  # about a million words; a longer text makes a shard of its own
+SHARD_BYTES = 4 << 20  # some 700,000 words; a longer text makes a shard of its own
 SAMPLE = 16
 BLOCK_ITEMS = 20_000  # benchmark items a block; their texts are bounded by BLOCK_BYTES as well
 BLOCK_BYTES = 32 << 20
@@ -240,6 +240,8 @@ def _scan(docs: DataFrame, phrases: Phrases) -> DataFrame:
     """``(doc, text)`` to ``(doc, n_words, items, spans)``; spans are word starts and ends, byte starts and ends in turn."""
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
+    T.bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
@@ -322,6 +324,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     columns = docs.columns
 
+    T.bound_batches(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()

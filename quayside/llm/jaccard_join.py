@@ -62,6 +62,8 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     share = min(1.0, 1.3 * (1 - num / den) + 0.01)
     border = np.uint64(int(share * 2**64) - 1 if share < 1 else 2**64 - 1)
 
+    T.bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _batches(batches, n, words):
             counted, others = [], []
@@ -168,6 +170,8 @@ def _overlap_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs with their exact overlap, and whether they are alike enough."""
 
+    T.bound_batches(pairs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs, ys = batch.column("x"), batch.column("y")
@@ -198,6 +202,8 @@ def _wanted_sets(docs: DataFrame, text_col: str, nodes: DataFrame, n: int, words
     bitmap[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     seen = nodes.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
+    T.bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = seen.value
         for _, sets in _batches(batches, n, words):

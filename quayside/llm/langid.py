@@ -57,6 +57,8 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = (known if learn is None else known.where(learn)).groupBy(F.col(id_col).alias("id")).agg(F.min("y").alias("y"))
     sample = bounded_sample(docs, known, id_col, text_col, sample_rows).where("text <> ''")
 
+    T.bound_batches(docs.sparkSession)
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = T.filled(batch.column(2))
@@ -153,6 +155,8 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    T.bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

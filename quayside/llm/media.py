@@ -167,6 +167,8 @@ def store_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``doc`` (struct of the columns of ``docs``), ``n_bytes`` of the text in UTF-8 (null: empty) and ``media``: the
     container of those bytes, filled up with bytes 0 to a positive multiple of 64."""
 
+    T.bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = T.filled(batch.column(1))
@@ -198,6 +200,8 @@ def probe(media: DataFrame, column: str = "media") -> DataFrame:
     kinds = [pa.string(), pa.int64(), pa.float64(), pa.int64(), _RANGE, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
     names = [x.split()[0] for x in _PROBE.split(", ")]
 
+    T.bound_batches(media.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [one(m.as_py() or b"") for m in batch.column(1)]

@@ -28,7 +28,7 @@ from quayside.llm import tokens as T
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 GROUP_ROWS = 8192
-_KNOWN_MOST = 1_500_000  # distinct pieces that a worker keeps; then it begins anew
+_KNOWN_MOST = 800_000  # distinct pieces that a worker keeps; then it begins anew
 
 
 def _classes() -> np.ndarray:
@@ -182,11 +182,13 @@ def document_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     """Documents as token pieces of at most ``length``: ``id, start, length, ids_crc32, doc_tokens`` and, if asked for,
     ``ids``. The ids of a document are those of its text (null: none) and ``end_id``; its pieces hold each once."""
 
+    T.bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _pieces_of(vocabulary)
         for batch in batches:
             text = T.filled(batch.column(1))
-            for a, b in T.slices(text, 8 << 20):
+            for a, b in T.slices(text, 2 << 20):
                 row, start, size, crc, total, kept = [], [], [], [], [], []
                 for i, ids in enumerate(coder.ids(*T.utf8(text.slice(a, b - a)))):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")

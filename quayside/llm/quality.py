@@ -174,6 +174,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     y = (y if learn is None else y.where(learn)).groupBy(F.col(id_col).alias("id")).agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     sample = bounded_sample(docs, y, id_col, text_col, sample_rows)
 
+    T.bound_batches(docs.sparkSession)
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = T.filled(batch.column(2))
@@ -208,6 +210,8 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray], text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    T.bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = T.filled(batch.column(1))

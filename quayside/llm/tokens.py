@@ -13,8 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -42,6 +44,14 @@ ALNUM = _lowered(_byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)))
 _SPACE = _byte_set((0x20, 0x20), (0x09, 0x0D))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most BATCH_ROWS rows (the session's default is for narrow rows; a batch of
+    whole texts takes its size several times over, in the JVM's buffers and in the worker)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Words:
     """Words of a slice: ``starts``/``ends`` (bytes in ``low``), ``offsets`` (word numbers at which documents begin)."""
 

@@ -109,6 +109,8 @@ _RECORD_PA = pa.schema([(n, {"string": pa.string(), "binary": pa.binary(), "bool
 def convert_arc(arcs: DataFrame, column: str = "arc") -> DataFrame:
     """WARC records of ARC files in a binary column, all as responses or resources so far. Null and empty files have none."""
 
+    T.bound_batches(arcs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
@@ -148,6 +150,8 @@ def _gzip(data: bytes, level: int) -> bytes:
 def write_archives(records: DataFrame, name: str = "warc", level: int = 4) -> DataFrame:
     """Write records as archives (rows ``archive long, warc binary``) into the scratch folder and return that table."""
 
+    T.bound_batches(records.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -190,6 +194,8 @@ def read_archives(archives: DataFrame, column: str = "warc", *, payloads: bool =
     is computed anew from its bytes; a revisit has the digest of its header and no payload."""
     keep_payload = payloads
 
+    T.bound_batches(archives.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
@@ -211,6 +217,8 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """Pages as legacy ARC files (``arc`` binary), versions 1 and 2 in turn; the page's number is a header of its HTTP
     response. Null pages are empty, null URLs ``about:blank``, null numbers leave the header out."""
 
+    T.bound_batches(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = 0
         for batch in batches:
