@@ -169,3 +169,61 @@ def _(t):
 def _(t):
     text = t.orders.select("o_orderkey", F.concat(F.lit('{"entry":[{"resource":{"resourceType":"Patient","id":"'), F.col("o_custkey"), F.lit('"}},{"resource":{"resourceType":"Claim","status":"active"}}]}')).alias("m"))
     return messages.flatten_fhir_bundle(text, "m").select("o_orderkey", "resource_type")
+
+
+@query("src4_read_daily_drop", "SELECT o_orderkey, DATE '1995-01-01' + (o_orderkey % 3)::INT AS file_date FROM orders WHERE o_orderkey % 3 > 0")
+def _(t):
+    path = scratch_path(t.spark, "drop")
+    for i in range(3):
+        t.orders.where(F.col("o_orderkey") % 3 == i).select("o_orderkey").write.mode("append").option("mapreduce.output.basename", f"orders_1995-01-0{i + 1}").parquet(path)
+    return files.read_daily_drop(t.spark, path, "parquet", "1995-01-01").select("o_orderkey", "file_date")
+
+
+@query("src5_read_modified_since", "SELECT o_orderkey FROM orders")
+def _(t):
+    path = scratch_path(t.spark, "modified")
+    t.orders.select("o_orderkey").write.parquet(path)
+    return files.read_modified_since(t.spark, path, "parquet", "2000-01-01T00:00:00", "o_orderkey long")
+
+
+@query("src8_read_jdbc", "SELECT n_nationkey AS \"K\", n_name AS \"NAME\" FROM nation")
+def _(t):
+    url, driver = "jdbc:derby:memory:quayside_queries;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    t.nation.select(F.col("n_nationkey").alias("K"), F.col("n_name").alias("NAME")).write.jdbc(url, "nation", mode="overwrite", properties={"driver": driver})
+    return files.read_jdbc(t.spark, url, "nation", driver, "K", 0, 25, 4)
+
+
+@query("src11_write_table", "SELECT n_nationkey FROM nation UNION ALL SELECT n_nationkey FROM nation")
+def _(t):
+    path = scratch_path(t.spark, "written")
+    for _ in range(2):
+        files.write_table(t.nation.select("n_nationkey"), path, "orc")
+    return files.read_files(t.spark, path, "orc")
+
+
+@query("qty2_enforce_contract", "SELECT count(*) AS n, 1 AS breaches FROM orders")
+def _(t):
+    from quayside.operators.quality import enforce_contract
+
+    got = enforce_contract(t.orders, columns={"o_orderkey": "bigint", "o_missing": "int"}, ts="o_orderdate", not_before="1990-01-01")
+    return t.spark.createDataFrame([(got["rows"], len(got["breaches"]))], "n long, breaches int")
+
+
+@query("srv1_batch_score")
+def _(t):
+    from quayside.operators import models as M
+
+    e = t.events.select("event_id", "value", (F.col("event_type") == "purchase").cast("int").alias("y"))
+    return M.batch_score(e, M.train(e, "y", ["value"], "logistic", maxIter=5), ["value"], "v7").select("event_id", "score", "model_version")
+
+
+@query("fea22_materialize_features", "SELECT user_id, arg_max(value, {'t': ts, 'v': value}) AS value FROM events GROUP BY 1")
+def _(t):
+    from quayside.operators.features import read_features
+    from quayside.operators.history import merge_upsert
+    from quayside.operators.joins import latest_per_key
+
+    e = t.events.select("user_id", F.col("ts").alias("feature_ts"), "value")
+    early = latest_per_key(e.where("feature_ts < TIMESTAMP '2024-01-15'"), ["user_id"], "feature_ts")
+    late = latest_per_key(e.where("feature_ts >= TIMESTAMP '2024-01-15'"), ["user_id"], "feature_ts")
+    return read_features(e.select("user_id").distinct(), merge_upsert(early, late, ["user_id"]), ["user_id"], ["value"])
