@@ -254,7 +254,7 @@ def fairness_audit(df: DataFrame, attributes: list[str], label: str, predicted:
 
 
 def fairness_weights(df: DataFrame, attribute: str, label: str) -> DataFrame:
-    """Rows with ``weight`` N * n(a) * n(y) / (N * n(a, y)) / ..., i.e. P(a) P(y) / P(a, y)."""
+    """Rows with ``weight`` P(a) P(y) / P(a, y), which makes attribute and label independent."""
     n = df.groupBy(attribute, label).agg(F.count("*").alias("_n"))
     every = Window.partitionBy(F.lit(1))
     w = n.select(F.col(attribute).alias("_a"), F.col(label).alias("_y"), (F.sum("_n").over(Window.partitionBy(attribute)) * F.sum("_n").over(Window.partitionBy(label)) / (F.sum("_n").over(every) * F.col("_n"))).alias("weight"))

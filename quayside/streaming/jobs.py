@@ -75,14 +75,14 @@ def split_late(df: DataFrame, ts: str, delay_seconds: int, on_time: Callable[[Da
     return df.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/query").trigger(availableNow=True).start()
 
 
-_STATELESS = {"row_number", "drop_exact_duplicates", "drop_duplicates_by_key", "remove_outliers_iqr", "normalize_numeric"}
+_OVER_ROWS = {"row_number", "drop_exact_duplicates", "drop_duplicates_by_key", "remove_outliers_iqr", "normalize_numeric"}
 
 
 def stream_transform(df: DataFrame, steps: list[dict]) -> DataFrame:
     """A cleaning chain on a stream; steps that look at other rows are refused."""
     from quayside.operators.cleaning import apply_chain
 
-    bad = [s["name"] for s in steps if s["name"] in _STATELESS]
+    bad = [s["name"] for s in steps if s["name"] in _OVER_ROWS]
     if df.isStreaming and bad:
         raise ValueError(f"steps that look at other rows cannot run on a stream: {bad}")
     return apply_chain(df, steps)
