@@ -29,7 +29,6 @@ def trigrams(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     """Distinct features of each text: all in a row, and where each text's begin. A text's first two bytes make
     features with the places before it, so every text but the empty one has some."""
     x = data.astype(np.uint32)
-    code = (x + np.uint32(1)) * np.uint32(0x10001)
     one, two = np.zeros_like(x), np.zeros_like(x)
     one[1:], two[2:] = x[:-1] + np.uint32(1), x[:-2] + np.uint32(1)
     starts = offsets[:-1][np.diff(offsets) > 0]
