@@ -316,11 +316,12 @@ _MERGE = f"""aggregate(spans, cast(array() as {SPANS}), (done, s) ->
   else concat(done, array(s)) end)"""
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", *, most_rounds: int = 4, **how) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the removal spans; a text of which no word is left goes, one without any word before stays.
 
     A span gives way to a line break. What stood on its two sides could then form a window of its own, so texts that were
-    cut are searched again, ``most_rounds`` times at most; a text that still has a hit after that goes.
+    cut are searched again until none has a hit; each round takes words out of each text it looks at, and only texts that
+    were cut in the round before are looked at.
     """
     columns = docs.columns
 
@@ -340,16 +341,15 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     left = F.col("n_words") - F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     clean, current = None, docs
-    for round_ in range(most_rounds + 1):
+    while True:
         found = materialize(find_leaks(current, benchmark, text_col, **how), "found")
         whole = found.where("size(spans) = 0").select("doc.*")
         clean = whole if clean is None else clean.unionByName(whole)
         hit = found.where("size(spans) > 0")
-        if round_ == most_rounds or hit.isEmpty():
-            break
+        if hit.isEmpty():
+            return clean
         pieces = hit.select("doc", F.col(f"doc.{text_col}").cast("string").alias("text"), "spans", left.alias("left")).mapInArrow(cut, f"doc {found.schema['doc'].dataType.simpleString()}, cut string, left long")
         current = pieces.where("left > 0").select([F.col("cut").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in columns])
-    return clean
 
 
 def op10_fm_decontamination(spark, sf_dir: str) -> DataFrame:
