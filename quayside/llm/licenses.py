@@ -9,7 +9,7 @@ from the original text up to the end of its line and turned into reverse Polish
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,67 +56,68 @@ _PRIORITY = {"or": 1, "and": 2, "with": 3}
 def parse_expression(text: str) -> tuple[list[str], str] | None:
     """Labels (lower-cased, sorted) and the canonical form of a licence expression, or None if it is not one.
 
-    The longest well-formed head of at most 64 tokens counts, so a comment's closing mark or a sentence after the
-    expression does no harm.
+    The longest well-formed head counts, however long, so a comment's closing mark or a sentence after the expression
+    does no harm.
     """
-    found = [m for m, _ in zip(_TOKEN.finditer(text), range(64))]
-    for end in range(len(found), 0, -1):
-        polish = _polish([m.group(0) for m in found[:end]])
-        if polish is not None:
-            return _evaluate(polish)
-    return None
+    polish = _polish(m.group(0) for m in _TOKEN.finditer(text))
+    return _evaluate(polish) if polish else None
 
 
-def _polish(tokens: list[str]) -> list[str] | None:
-    """Shunting yard: tokens in reverse Polish order, or None if operands and operators don't alternate."""
-    out, stack, operand = [], [], True
+def _polish(tokens: Iterable[str]) -> list[str]:
+    """Shunting yard, once over the tokens: the longest head in which operands and operators alternate and parentheses
+    balance, in reverse Polish order; empty if there is none."""
+    out, stack, operand, depth = [], [], True, 0
+    size, rest = 0, []
     for token in tokens:
         word = token.lower()
         if token == "(":
             if not operand:
-                return None
+                break
             stack.append(token)
+            depth += 1
         elif token == ")":
-            if operand:
-                return None
-            while stack and stack[-1] != "(":
+            if operand or not depth:
+                break
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
+            depth -= 1
         elif word in _PRIORITY:
             if operand:
-                return None
+                break
             while stack and stack[-1] != "(" and _PRIORITY[stack[-1]] >= _PRIORITY[word]:
                 out.append(stack.pop())
             stack.append(word)
             operand = True
         else:
             if not operand:
-                return None
+                break
             out.append(token)
             operand = False
-    if operand or "(" in stack:
-        return None
-    return out + stack[::-1]
+        if not operand and not depth:
+            # Without a parenthesis the stack holds three operators at most, their priorities rising.
+            size, rest = len(out), stack[::-1]
+    return out[:size] + rest
 
 
 def _evaluate(polish: list[str]) -> tuple[list[str], str] | None:
     """Labels and canonical form: operands of a chain of one operator sorted and distinct, parentheses where needed."""
-    stack: list[tuple[str, list[str]]] = []
+    stack: list[tuple[str, set[str]]] = []
     labels = set()
     for token in polish:
         if token not in _PRIORITY:
-            stack.append(("", [token]))
+            stack.append(("", {token}))
             continue
         right, left = stack.pop(), stack.pop()
         if token == "with":
             if left[0] or right[0]:
                 return None
-            stack.append(("", [f"{left[1][0]} WITH {right[1][0]}"]))
+            stack.append(("", {f"{_shown(left, '')} WITH {_shown(right, '')}"}))
             continue
-        parts = [p for side in (left, right) for p in (side[1] if side[0] == token else [_shown(side, token)])]
-        stack.append((token, sorted(set(parts))))
+        # The smaller side goes into the larger one, so a chain costs about its length.
+        less, more = sorted((side[1] if side[0] == token else {_shown(side, token)} for side in (left, right)), key=len)
+        more |= less
+        stack.append((token, more))
     top = stack.pop()
     for token in polish:
         if token not in _PRIORITY:
@@ -125,8 +126,8 @@ def _evaluate(polish: list[str]) -> tuple[list[str], str] | None:
     return sorted(labels - exceptions), _shown(top, "")
 
 
-def _shown(part: tuple[str, list[str]], above: str) -> str:
-    text = f" {part[0].upper()} ".join(part[1])
+def _shown(part: tuple[str, set[str]], above: str) -> str:
+    text = f" {part[0].upper()} ".join(sorted(part[1]))
     return f"({text})" if above == "and" and part[0] == "or" and len(part[1]) > 1 else text
 
 
