@@ -18,6 +18,8 @@ from quayside.llm.packing import pack_documents, public_vocabulary
 from quayside.llm.quality import fit_quality, score_quality
 
 QUALITY_LEAST = 0.3
+#: Of the trigrams that a text of the language usually has among the learned ones; see the README for how it was chosen.
+KNOWN_LEAST = 0.4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +29,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose text is in one of the corpus's languages, i.e. for which one is predicted: texts without
-    a letter go. What ``lang`` says is learned from, and left as it is."""
-    return identify(docs, fit_languages(docs)).where("lang_pred <> 'und'").select("doc.*")
+    """Keep the documents whose text is in one of the corpus's languages: texts without a letter go, and those of whose
+    trigrams the model knows less than KNOWN_LEAST. If no language could be learned, all texts with a letter stay. What
+    ``lang`` says is learned from, and left as it is."""
+    return identify(docs, fit_languages(docs)).where(F.col("known") >= KNOWN_LEAST).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,7 +70,10 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _arrays(b.column(2)))), key=lambda row: row[0])
         langs = sorted({y for _, y, _ in rows})
-        yield _weights("languages", ",".join(langs), "", np.zeros(1 << BITS), np.zeros(3))
+        held = np.bincount(np.concatenate([np.zeros(0, np.int64), *(f for _, _, f in rows)]), minlength=1 << BITS)
+        shared = [(y, np.mean(held[f] > 1)) for _, y, f in rows if len(f)]
+        usual = np.array([np.median([v for z, v in shared if z == y] or [0.0]) for y in langs])
+        yield _weights("languages", ",".join(langs), "", (held > 1).astype(float), usual)
         for where, one, other in contests(langs, families):
             side = lambda y: y if where else _family_of(y, families)  # noqa: E731, B023
             mine = [(f, side(y)) for _, y, f in rows if (not where or _family_of(y, families) == where) and side(y) in (one, other)]
@@ -92,7 +95,12 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     weight = np.zeros((1 << BITS, max(1, len(pairs))), np.float32)
     for k, r in enumerate(pairs):
         weight[r["at"], k] = r.weight
-    return {"langs": langs, "families": {x: _family_of(x, families) for x in langs}, "contests": [(r.place, r.one, r.other) for r in pairs], "weight": weight, "curves": np.array([r.curve for r in pairs]).reshape(-1, 3)}
+    seen, usual = np.zeros(1 << BITS, bool), {}
+    for r in made:
+        if r.place == "languages":
+            seen[r["at"]] = True
+            usual = dict(zip(langs, r.curve))
+    return {"seen": seen, "usual": usual, "langs": langs, "families": {x: _family_of(x, families) for x in langs}, "contests": [(r.place, r.one, r.other) for r in pairs], "weight": weight, "curves": np.array([r.curve for r in pairs]).reshape(-1, 3)}
 
 
 def _weights(where: str, one: str, other: str, w: np.ndarray, curve: np.ndarray) -> pa.RecordBatch:
@@ -117,13 +125,15 @@ def _winner(names: list[str], place: str, model: dict, margin: np.ndarray, prob:
     return best, least[np.arange(n), best]
 
 
-def predict(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Language and score of each text, texts without letters included (the caller tells those apart)."""
+def predict(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and ``known`` (see ``identify``) of each text, texts without letters included (the caller tells
+    those apart)."""
     flat, bounds = trigrams(_lower(data), offsets, BITS)
     n = np.diff(bounds)
     rows = np.concatenate((model["weight"][flat], np.zeros((1, model["weight"].shape[1]), np.float32)))
     sums = np.add.reduceat(rows, np.minimum(bounds[:-1], len(flat)), axis=0, dtype=np.float64) * (n > 0)[:, None]
     curves = model["curves"]
+    seen = np.add.reduceat(np.append(model["seen"][flat], False), np.minimum(bounds[:-1], len(flat)), dtype=np.float64) * (n > 0)
     margin = sums[:, : len(curves)] / np.sqrt(np.maximum(n, 1))[:, None] + curves[:, 2]
     prob = 1 / (1 + np.exp(-np.clip(curves[:, 0] * margin + curves[:, 1], -40, 40)))
     families = sorted(set(model["families"].values()))
@@ -135,7 +145,9 @@ def predict(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
         best, q = _winner(names, f, model, margin[mine], prob[mine])
         lang[mine] = np.array(names, object)[best]
         score[mine] = p[mine] * q
-    return lang, score
+    usual = n * np.array([model["usual"][x] for x in lang])
+    known = np.where(usual > 0, np.minimum(1.0, seen / np.where(usual > 0, usual, 1.0)), 1.0)
+    return lang, score, known
 
 
 def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -149,9 +161,15 @@ def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``doc`` (struct of the columns of ``docs``), ``lang_pred`` and ``score``.
+    """``doc`` (struct of the columns of ``docs``), ``lang_pred``, ``score`` and ``known``.
 
-    Null or empty texts and texts without a letter are ``und`` with score 0, as is everything if nothing was learned.
+    The score says which language is likelier, not whether the text is in any of them: where no trigram is known, it is what
+    the machines' constants make of it. ``known`` tells that: the share of the text's trigrams that two learned rows have (so
+    a row does not vouch for itself), over the median of that share among the learned rows of ``lang_pred``, at most 1. It is
+    1 where nothing can be said: no language was learned, or no row to compare with, or the text has no trigram.
+
+    Null or empty texts and texts without a letter are ``und`` with score and known 0. If nothing was learned, everything is
+    ``und`` with score 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -163,12 +181,12 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             text = T.filled(batch.column(1))
             for a, b in T.slices(text, 1 << 20):
                 data, off = T.utf8(text.slice(a, b - a))
-                told = _letters(data, off) if m["langs"] else np.zeros(b - a, bool)
-                lang, score = predict(m, data, off) if m["langs"] else (np.full(b - a, "und", object), np.zeros(b - a))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.where(told, lang, "und").tolist(), pa.string()), pa.array(np.where(told, score, 0.0))], names=["doc", "lang_pred", "score"])
+                told = _letters(data, off)
+                lang, score, known = predict(m, data, off) if m["langs"] else (np.full(b - a, "und", object), np.zeros(b - a), np.ones(b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.where(told, lang, "und").tolist(), pa.string()), pa.array(np.where(told, score, 0.0)), pa.array(np.where(told, known, 0.0))], names=["doc", "lang_pred", "score", "known"])
 
     packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return packed.mapInArrow(run, f"doc {packed.schema['doc'].dataType.simpleString()}, lang_pred string, score double")
+    return packed.mapInArrow(run, f"doc {packed.schema['doc'].dataType.simpleString()}, lang_pred string, score double, known double")
 
 
 def op7_language_families(spark, sf_dir: str) -> DataFrame:
