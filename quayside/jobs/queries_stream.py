@@ -107,8 +107,8 @@ def _(t):
 
 @query("str11_user_state", "SELECT user_id, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1")
 def _(t):
-    s = S.user_state(events(t, 1), "user_id", "ts", "value", "100 days")
-    return S.run_now(s, "update").select("user_id", "n", F.round("total", 3).alias("total"))
+    s = S.user_state(events(t), "user_id", "ts", "value", "100 days")
+    return S.run_now(s, "update", keys=["user_id"]).select("user_id", "n", F.round("total", 3).alias("total"))
 
 
 @query("src3_read_merged_schema", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS o_totalprice FROM orders")

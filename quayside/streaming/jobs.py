@@ -145,9 +145,11 @@ def user_state(df: DataFrame, key: str, ts: str, value: str, timeout: str = "1 h
     return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, total double, last_seen long", "n long, total double, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_now(df: DataFrame, mode: str, columns: str | None = None) -> DataFrame:
-    """Drive a stream over what is there now through a file sink or, for complete and update modes, batch by batch, and
-    return the last state per batch as a table in the scratch folder."""
+def run_now(df: DataFrame, mode: str, columns: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Drive a stream over what is there now, each batch written as a table in the scratch folder, and return: in append
+    mode all rows, in complete mode those of the last batch, in update mode the newest row for each of ``keys``."""
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a row")
     spark = df.sparkSession
     out, check = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
 
@@ -156,4 +158,6 @@ def run_now(df: DataFrame, mode: str, columns: str | None = None) -> DataFrame:
 
     df.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     made = spark.read.parquet(out)
+    if mode == "update":
+        return made.groupBy(*keys).agg(F.max_by(F.struct(*made.columns), "batch").alias("_r")).select("_r.*")
     return made if mode == "append" else made.where(F.col("batch") == made.agg(F.max("batch")).first()[0])
