@@ -48,6 +48,12 @@ def _(t):
     return N.linked_entities(v, "e", ["a"])
 
 
+@query("ano6_linked_entities_whole")
+def _(t):
+    """All users, linked by an equal value of an event of the same type."""
+    return N.linked_entities(t.events.select("user_id", F.to_json(F.struct("event_type", "value")).alias("a")), "user_id", ["a"])
+
+
 def labelled(t):
     """Labelled documents with a made-up score that leans to the label, and plain features."""
     d = t.documents.select("doc_id", "lang", "source", F.length("text").alias("n"), F.size(F.split("text", " ")).alias("w"), F.size(F.split("text", "[|%$]")).alias("marks"))

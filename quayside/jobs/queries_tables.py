@@ -106,6 +106,16 @@ def _(t):
     return out.select("u", "p", F.round("affinity", 3).alias("affinity"), "popularity", F.round("log_popularity", 6).alias("log_popularity"))
 
 
+@query("jon5_ranking_features_whole", "WITH i AS (SELECT o_custkey AS u, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey), pop AS (SELECT p, count(*) n FROM i GROUP BY 1) SELECT u, p, round(c_acctbal * p_retailprice, 3) AS affinity, n AS popularity, round(ln(1 + n), 6) AS log_popularity FROM (SELECT DISTINCT u, p FROM i) LEFT JOIN customer ON c_custkey = u LEFT JOIN part ON p_partkey = p JOIN pop USING (p)")
+def _(t):
+    """All customers with an order, each with all parts of its orders."""
+    inter = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("u"), F.col("l_partkey").alias("p"))
+    users = t.customer.select(F.col("c_custkey").alias("u"), "c_acctbal")
+    items = t.part.select(F.col("p_partkey").alias("p"), "p_retailprice")
+    out = J.ranking_features(inter.distinct(), users, items, inter, "u", "p", "c_acctbal", "p_retailprice")
+    return out.select("u", "p", F.round("affinity", 3).alias("affinity"), "popularity", F.round("log_popularity", 6).alias("log_popularity"))
+
+
 @query("jon6_join_predictions_actuals", "SELECT doc_id, n_chars, quality FROM documents JOIN labels USING (doc_id)")
 def _(t):
     return J.join_predictions_actuals(t.documents.select("doc_id", "n_chars"), t.labels.select("doc_id", "quality"), ["doc_id"])
