@@ -1,48 +1,88 @@
-"""Connected components by alternating large-star and small-star rounds.
+"""Connected components by local contraction.
 
-Each round is two groupings and two joins over the edge table, all with map-side combining, and ends in a written
-table. The number of edges never grows, and rounds needed grow with the logarithm of the longest path. Edges and
-labels stay on the executors; the driver sees one count and one checksum a round.
+Each task contracts the edges it happens to hold, a chunk at a time, to a forest: every node with the smallest node it
+reaches there. A node that got several roots from different chunks links those roots, and only these links go on to the
+next level; there are fewer of them each time, and once they fit into one chunk they are settled. A level is one
+grouping, with as many rows a node as there are chunks that hold it, and ends in a written table. The driver sees
+whether any link is left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.scratch import materialize
 
+CHUNK_EDGES = 1 << 20  # edges that a task contracts at once
+
+
+def _smallest_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of the nodes 0 to n - 1, the smallest node that the edges (a, b) connect it with."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            above = root[root]
+            if (above == root).all():
+                break
+            root = above
 
-def _star(pairs: DataFrame, keep_larger: bool) -> DataFrame:
-    """Hang the neighbours of each node ``u`` on the smallest node among them and ``u``."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    hung = pairs.join(least, "u")
-    if keep_larger:
-        return hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
+def _forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(held).combine_chunks()
+    ends = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks], table.schema.field(0).type).combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(ends.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    code = place[ends.indices.to_numpy()]
+    root = _smallest_reached(code[: table.num_rows], code[table.num_rows :], len(order))
+    nodes = ends.dictionary.take(pa.array(order))
+    return pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(root))], names=["node", "root"])
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_levels: int = 60, chunk_edges: int = CHUNK_EDGES) -> DataFrame:
     """Component of every node that has an edge: ``(node, component)``, the component being its smallest node.
 
     Null ends are ignored, a loop makes a component of one node, repeated edges count once, and an empty edge table
-    gives an empty result. Raises RuntimeError if ``max_rounds`` do not settle the labels.
+    gives an empty result. Raises RuntimeError if links are left after ``max_levels``.
     """
-    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    loops = ends.where("a = b").select(F.col("a").alias("node")).distinct()
-    e = materialize(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, True).distinct()
-        e = materialize(_star(large, False).where("u <> v").distinct(), "edges")
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= chunk_edges:
+                yield _forest(held)
+                held, n = [], 0
+        if n:
+            yield _forest(held)
+
+    kind = edges.schema[src].dataType.simpleString()
+    level = edges.select(F.col(src).alias("u"), F.col(dst).cast(kind).alias("v")).where("u is not null and v is not null")
+    tables = []
+    for _ in range(max_levels):
+        found = level.mapInArrow(contract, f"node {kind}, root {kind}").groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots"))
+        table = materialize(found.select("node", "root", F.filter("roots", lambda r: r != F.col("root")).alias("more")), "forest")
+        tables.append(table)
+        level = table.where("size(more) > 0").select(F.col("root").alias("u"), F.explode("more").alias("v"))
+        if level.isEmpty():
             break
-        seen = mark
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    hung = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    linked = hung.unionByName(roots)
-    return linked.unionByName(loops.join(linked, "node", "left_anti").select("node", F.col("node").alias("component")))
+        raise RuntimeError(f"components did not settle in {max_levels} levels")
+    labels = tables[-1].select("node", F.col("root").alias("component"))
+    for table in reversed(tables[:-1]):
+        above = labels.select(F.col("node").alias("root"), "component")
+        labels = table.select("node", "root").join(above, "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+    return labels

@@ -1,6 +1,7 @@
 """Edge cases and properties of the library's operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,28 @@ def test_components(spark):
     assert connected_components(e.where("src < 0")).count() == 0
 
 
+def test_components_over_many_chunks(spark):
+    rng = random.Random(3)
+    for edges in ([(rng.randrange(300), rng.randrange(300)) for _ in range(260)], [(i, i + 1) for i in range(150)], [(9, i) for i in range(200)]):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        rng.shuffle(edges)
+        for kind, f in (("long", int), ("string", "{:04d}".format)):
+            df = spark.createDataFrame([(f(a), f(b)) for a, b in edges], f"src {kind}, dst {kind}").repartition(8)
+            df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+            got = {r.node: r.component for r in connected_components(df, chunk_edges=7).collect()}
+            df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+            assert got == {f(x): f(find(x)) for x in root}
+
+
 def test_links_are_not_squared(spark):
     df = spark.range(3000).selectExpr("id AS e", "'same' AS phone", "concat('m', id % 1000) AS mail")
     got = N.linked_entities(df, "e", ["phone", "mail"])
