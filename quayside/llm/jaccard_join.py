@@ -1,25 +1,24 @@
 """N-gram Jaccard join: every pair of texts whose sets of n-word shingles are alike enough, found without comparing all.
 
 Method
-1. A text becomes the set of 64-bit hashes of its n-word shingles (whole text; fewer words: the whole sequence).
-   Equal sets share a digest, the *node*, and count once from here on.
+1. A text becomes the set of 64-bit hashes of its n-word shingles (whole text; fewer words: the whole sequence). Equal
+   sets share a 128-bit digest; each distinct set is a *node* and counts once from here on.
 2. Rare-first order. A fixed fraction of the hash space, wider than any prefix needs, holds the *counted* shingles; they
-   come first, ordered by the number of documents that hold them (an exact count over all documents), then by hash. The
-   rest comes after, ordered by hash. This is one order for all documents, which is all that prefix filtering needs, and
-   only a fraction of the shingles is shuffled. A text too small to fill its prefix from the counted ones goes on with
-   the others.
+   come first, ordered by the number of nodes that hold them (an exact count over all nodes), then by hash. The rest comes
+   after, ordered by hash. This is one order for all nodes, which is all that prefix filtering needs, and only a fraction
+   of the shingles is shuffled. A set too small to fill its prefix from the counted ones goes on with the others.
 3. Prefix filter: two sets of a similarity of ``num/den`` at least share a shingle among the first
-   ``size - ceil(size * num / den) + 1`` of each. Shingles that one document alone holds fill prefix places but find
-   nothing, so most documents leave here.
-4. Candidates share a prefix shingle and pass the length and the positional filter. First each document meets the hub of
-   each of its prefix shingles' lists, the one with the fewest rare shingles before it: as many pairs as there are list
+   ``size - ceil(size * num / den) + 1`` of each. Shingles that one node alone holds fill prefix places but find nothing,
+   so most nodes leave here.
+4. The nodes that stay go through 2 and 3 again among themselves, now with all their shingles counted, which makes the
+   positional filter sharp.
+5. Candidates share a prefix shingle and pass the length and the positional filter. First each node meets the hub of each
+   of its prefix shingles' lists, the one with the fewest rare shingles before it: as many pairs as there are list
    entries. Of thousands of near copies of one text, most link to such a hub at once.
-5. Documents that still share a prefix shingle with another component go through 2 to 4 again among themselves, now with
-   all their shingles counted, which makes the positional filter sharp. The pairs whose ends are then still in different
-   components are all looked at, so no link that would join two components is lost. A bound of the symmetric difference
-   (parities of hashed places, as an odd sketch: they differ in no more places than the sets) is part of the join's
-   condition, so that pairs of copies that were edited too much to link are not made.
-6. A candidate is verified once: the suffix filter bounds the overlap by halving both sets at a pivot, then the sets are
+6. The pairs whose ends are then in different components are all looked at, so no link that would join two components is
+   lost. A bound of the symmetric difference (parities of hashed places, as an odd sketch: they differ in no more places
+   than the sets) is part of the join's condition, so that pairs of copies that were edited too much to link are not made.
+7. A candidate is verified once: the suffix filter bounds the overlap by halving both sets at a pivot, then the sets are
    intersected exactly.
 """
 
@@ -39,7 +38,7 @@ from quayside.llm import tokens as T
 
 _WORDS = {"space": T.space_words, "alnum": T.alnum_words}
 _ODD_WORDS = 16  # 1024 parities a set
-_FILTER_BITS = 25  # of the bitmap that spares most other texts the shuffle in step 5; 4 MB at any input size
+_FILTER_BITS = 27  # at most, of the bitmap that spares most other sets the shuffle before step 4 (16 MB)
 
 
 def _needed(size: np.ndarray | int, num: int, den: int):
@@ -54,8 +53,8 @@ def _batches(batches: Iterator[pa.RecordBatch], n: int, words: str) -> Iterator[
             yield batch.slice(a, b - a), T.shingle_sets(_WORDS[words](*T.utf8(text.slice(a, b - a))), n)
 
 
-def _node(s: np.ndarray) -> int:
-    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(s: np.ndarray) -> bytes:
+    return blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, words: str) -> DataFrame:
@@ -73,21 +72,23 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
                 counted.append(s[:k])
                 others.append(s[k : max(prefix, k)])
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            node = pa.array([_node(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), node, T.list_column(counted, pa.int64()), T.list_column(others, pa.int64())], names=["id", "size", "node", "counted", "others"])
+            digest = np.frombuffer(b"".join(map(_digest, sets)), np.int64).reshape(-1, 2)
+            columns = [rows.column(0), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), T.list_column(counted, pa.int64()), T.list_column(others, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "hi", "lo", "counted", "others"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, size long, node long, counted array<long>, others array<long>")
+    texts = docs.select(T.column(id_col).alias("id"), T.column(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, f"id {id_type}, size long, hi long, lo long, counted array<long>, others array<long>")
 
 
 def _prefixes(postings: DataFrame, num: int, den: int) -> DataFrame:
     """``(node, size, key, pos)``: the shared shingles of each node's prefix and their places in its order.
 
-    ``postings``: ``(node, size, n_counted, i, key)``, the first ``n_counted`` of a node ordered by document frequency,
+    ``postings``: ``(node, size, n_counted, i, key)``, the first ``n_counted`` of a node ordered by the number of nodes,
     the others by ``i``.
     """
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    mine = postings.join(shared.hint("shuffle_merge"), "key").select("node", "size", "n_counted", "key", "df", "i").dropDuplicates(["node", "key"])
+    mine = postings.join(shared.hint("shuffle_merge"), "key")
     places = mine.groupBy("node", "size", "n_counted").agg(
         F.array_sort(F.collect_list(F.when(F.col("i") < F.col("n_counted"), F.struct("df", "key")))).alias("first"),
         F.collect_list(F.when(F.col("i") >= F.col("n_counted"), F.struct("i", "key"))).alias("later"),
@@ -127,19 +128,14 @@ def _rename(df: DataFrame, side: str) -> DataFrame:
     return df.select("key", *[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in df.columns if c != "key"])
 
 
-def _star_pairs(prefixes: DataFrame, comps: DataFrame | None, num: int, den: int) -> DataFrame:
-    """Each node with the hubs of its shingles' lists; given components, only if the hub is in another one."""
+def _star_pairs(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """Each node with the hubs of its shingles' lists."""
     hubs = prefixes.groupBy("key").agg(F.min(F.struct("pos", "size", "node")).alias("hub"))
     hubs = hubs.select("key", F.col("hub.node").alias("h"), F.col("hub.size").alias("size_h"), F.col("hub.pos").alias("pos_h"))
     met = prefixes.join(hubs.hint("shuffle_merge"), "key").where("node <> h")
     first = "(size_h < size or size_h = size and h < node)"
     pick = lambda x, y, c: F.expr(f"case when {first} then {x} else {y} end").alias(c)
-    pairs = _filtered(met.select("key", pick("h", "node", "a"), pick("node", "h", "b"), pick("size_h", "size", "size_a"), pick("size", "size_h", "size_b"), pick("pos_h", "pos", "pos_a"), pick("pos", "pos_h", "pos_b")), num, den)
-    if comps is None:
-        return pairs
-    of = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"comp_{side}"))
-    known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return known.where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
+    return _filtered(met.select(pick("h", "node", "a"), pick("node", "h", "b"), pick("size_h", "size", "size_a"), pick("size", "size_h", "size_b"), pick("pos_h", "pos", "pos_a"), pick("pos", "pos_h", "pos_b")), num, den)
 
 
 def _mixed(prefixes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -193,51 +189,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, overlap long, link boolean")
 
 
-def _wanted_sets(docs: DataFrame, text_col: str, nodes: DataFrame, n: int, words: str) -> DataFrame:
-    """Sorted shingle sets of the given nodes, made from the texts again. A bitmap of fixed size holds most other texts
-    back before the shuffle; the join after it is exact."""
-    slots = nodes.select((F.xxhash64("node").bitwiseAND((1 << _FILTER_BITS) - 1)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
-    found = slots.toPandas()  # at most 2^19 rows of two numbers
-    bitmap = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
-    bitmap[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    seen = nodes.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+def _wanted_sets(docs: DataFrame, text_col: str, wanted: DataFrame, n: int, words: str) -> DataFrame:
+    """``(node, size, shingles, odd)`` of the nodes of ``wanted`` (node, hi, lo), the sets being made from the texts again.
+
+    A bitmap of eight bits a node, but 2 ** _FILTER_BITS at most, holds most other sets back before the shuffle. With far
+    more nodes than bits it holds back less, and the shuffle grows to that of all sets; the join after it is exact.
+    """
+    bits = min(_FILTER_BITS, max(16, (8 * wanted.count()).bit_length()))
+    slot = F.col("hi").bitwiseAND((1 << bits) - 1)
+    found = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[found["w"].to_numpy()] = found["bits"].to_numpy()
+    seen = wanted.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
     T.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = seen.value
         for _, sets in _batches(batches, n, words):
-            named = [(_node(s), s) for s in sets if len(s)]
-            ids = np.fromiter((k for k, _ in named), np.int64, len(named))
-            slot = _spark_xxhash64(ids) & np.uint64((1 << _FILTER_BITS) - 1)
-            held = ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
-            kept = [s.view(np.int64) for (_, s), k in zip(named, held) if k]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[held]), T.list_column([np.sort(s) for s in kept], pa.int64()), T.list_column([_odd(s.view(np.uint64)) for s in kept], pa.int64())], names=["node", "shingles", "odd"])
-
-    made = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, shingles array<long>, odd array<long>")
+            sets = [s for s in sets if len(s)]
+            digest = np.frombuffer(b"".join(map(_digest, sets)), np.int64).reshape(-1, 2)
+            at = digest[:, 0].view(np.uint64) if len(sets) else np.zeros(0, np.uint64)
+            at = at & np.uint64((1 << bits) - 1)
+            held = ((seen.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+            kept = [s for s, k in zip(sets, held) if k]
+            columns = [pa.array(digest[held, 0]), pa.array(digest[held, 1]), T.list_column([np.sort(s.view(np.int64)) for s in kept], pa.int64()), T.list_column([_odd(s) for s in kept], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "shingles", "odd"])
+
+    made = docs.select(T.column(text_col).cast("string").alias("text")).mapInArrow(run, "hi long, lo long, shingles array<long>, odd array<long>")
     # Equal sets come once per copy: keep one, by the partial aggregation's first.
-    once = made.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("odd").alias("odd"))
-    return once.join(nodes.hint("shuffle_merge"), "node", "left_semi")
-
-
-def _spark_xxhash64(v: np.ndarray) -> np.ndarray:
-    """The hash of a long that the ``xxhash64`` function gives (seed 42)."""
-    u = np.uint64
-    p1, p2, p3, p4, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x85EBCA77C2B2AE63), u(0x27D4EB2F165667C5)
-    rot = lambda x, r: (x << u(r)) | (x >> u(64 - r))
-    with np.errstate(over="ignore"):
-        h = u(42) + p5 + u(8)
-        h = h ^ (rot(v.astype(np.int64).view(np.uint64) * p2, 31) * p1)
-        h = rot(h, 27) * p1 + p4
-        h = (h ^ (h >> u(33))) * p2
-        h = (h ^ (h >> u(29))) * p3
-        return h ^ (h >> u(32))
+    once = made.groupBy("hi", "lo").agg(F.first("shingles").alias("shingles"), F.first("odd").alias("odd"))
+    return once.join(wanted.hint("shuffle_merge"), ["hi", "lo"]).select("node", F.size("shingles").cast("long").alias("size"), "shingles", "odd")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, num: int = 4, den: int = 5, words: str = "space") -> dict[str, DataFrame]:
     """All links between texts whose shingle sets have a Jaccard similarity of ``num / den`` or more, as components.
 
-    Returns ``members``: one row per input row with ``id``, ``size`` (of its set), ``node`` (digest of its set; null for
+    Returns ``members``: one row per input row with ``id``, ``size`` (of its set), ``node`` (number of its set; null for
     no words) and ``component`` (smallest id that links reach, its own included); and ``links``: the verified pairs
     ``(a, b, overlap)`` of nodes that connect the components.
 
@@ -245,37 +232,41 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeated ids are separate rows; ids may be null, and a component of null ids alone is null. An empty table gives
     empty results. Other columns of ``docs`` are not looked at.
     """
-    signed = _signatures(docs, id_col, text_col, n, num, den, words)
-    sig = materialize(signed.select("id", "size", "node"), "signatures")
-    coarse = _met(_prefixes(signed.where("size > 0").select("node", "size", F.size("counted").alias("n_counted"), F.posexplode(F.concat("counted", "others")).alias("i", "key")), num, den), "prefixes")
-    sets = materialize(_wanted_sets(docs, text_col, coarse.select("node").distinct(), n, words), "sets", compression="lz4")
-    done = materialize(_verified(_star_pairs(coarse, None, num, den), sets, num, den), "verified")
+    sig = materialize(_signatures(docs, id_col, text_col, n, num, den, words), "signatures")
+    slim = sig.select("id", "size", "hi", "lo")
+    alike = sig.where("size > 0").groupBy("hi", "lo").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("counted").alias("counted"), F.first("others").alias("others"))
+    nodes = materialize(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    part = nodes.select("node", "size", F.size("counted").alias("n_counted"), F.posexplode(F.concat("counted", "others")).alias("i", "key"))
+    wanted = _met(_prefixes(part, num, den), "prefixes").select("node").distinct()
+    wanted = materialize(nodes.select("node", "hi", "lo").join(wanted.hint("shuffle_merge"), "node", "left_semi"), "wanted")
+    sets = materialize(_wanted_sets(docs, text_col, wanted, n, words), "sets", compression="lz4")
+    whole = sets.select("node", "size", F.col("size").cast("int").alias("n_counted"), F.posexplode("shingles").alias("i", "key"))
+    met = materialize(_met(_prefixes(whole, num, den), "prefixes"), "met")
+    done = materialize(_verified(_star_pairs(met, num, den), sets, num, den), "verified")
     comps = materialize(connected_components(done.where("link"), "a", "b"), "components")
-    open_ = _mixed(coarse, comps).select("node").distinct()
-    whole = sets.join(open_.hint("shuffle_merge"), "node", "left_semi").select("node", F.size("shingles").cast("long").alias("size"), F.size("shingles").alias("n_counted"), F.posexplode("shingles").alias("i", "key"))
-    fine = _met(_prefixes(whole, num, den), "prefixes")
-    for make in (lambda: _star_pairs(fine, comps, num, den).join(done.select("a", "b"), ["a", "b"], "left_anti"), lambda: _cross_pairs(materialize(_mixed(fine, comps).join(sets.select("node", "odd"), "node"), "mixed"), done, num, den)):
-        done = done.unionByName(materialize(_verified(make(), sets, num, den), "verified"))
-        comps = materialize(connected_components(done.where("link"), "a", "b"), "components")
+    mixed = materialize(_mixed(met, comps).join(sets.select("node", "odd").hint("shuffle_merge"), "node"), "mixed")
+    done = done.unionByName(materialize(_verified(_cross_pairs(mixed, done, num, den), sets, num, den), "verified"))
     links = done.where("link").drop("link")
-    rows = sig.select("id", "size", "node")
-    named = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).join(comps, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component"))
-    labels = named.select("node", "root").join(roots.hint("shuffle_merge"), "root").select("node", "component")
-    members = rows.join(labels.hint("shuffle_merge"), "node", "left").select("id", "size", "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
-    return {"members": members, "links": links}
+    comps = connected_components(links, "a", "b")
+    rooted = nodes.select("node", "hi", "lo", "least").join(comps, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    roots = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    labels = rooted.select("node", "hi", "lo", "root").join(roots.hint("shuffle_merge"), "root").select("node", "hi", "lo", "component")
+    members = slim.where("size > 0").join(labels.hint("shuffle_merge"), ["hi", "lo"]).select("id", "size", "node", "component")
+    alone = slim.where("size = 0").select("id", "size", F.lit(None).cast("long").alias("node"), F.col("id").alias("component"))
+    return {"members": members.unionByName(alone), "links": links}
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id; of rows that share it, one.
 
-    A row with a null id stays if it belongs to no component with another row.
+    A row with a null id stays if it belongs to no component with another row. Columns keep their names, whatever they are.
     """
-    marked = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    members = jaccard_join(marked.select("_row", text_col), "_row", text_col, **how)["members"]
-    ids = marked.select(F.col("_row").alias("id"), F.col(id_col).alias("doc"))
-    kept = members.join(ids, "id").groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id")).alias("k")).select(F.col("k.id").alias("_row"))
-    return marked.join(kept.hint("shuffle_merge"), "_row", "left_semi").drop("_row")
+    row = T.unused_name("_row", docs.columns)
+    marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    members = jaccard_join(marked.select(T.column(text_col), row), row, text_col, **how)["members"]
+    ids = marked.select(F.col(row).alias("id"), T.column(id_col).alias("doc"))
+    kept = members.join(ids, "id").groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id")).alias("k")).select(F.col("k.id").alias(row))
+    return marked.join(kept.hint("shuffle_merge"), row, "left_semi").select(*map(T.column, docs.columns))
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -13,10 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -45,11 +47,28 @@ _SPACE = _byte_set((0x20, 0x20), (0x09, 0x0D))
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of at most BATCH_ROWS rows (the session's default is for narrow rows; a batch of
-    whole texts takes its size several times over, in the JVM's buffers and in the worker)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Hand texts to Python in batches of at most BATCH_ROWS rows and about BATCH_BYTES (the session's defaults are for
+    narrow rows; a batch of whole texts takes its size several times over, in the JVM's buffers and in the worker)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def column(name: str) -> Column:
+    """The column of this name, whatever signs the name has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def row_and_text(docs: DataFrame, text_col: str) -> DataFrame:
+    """``doc``, a struct of all columns, and ``text``, the text as a string."""
+    return docs.select(F.struct(*map(column, docs.columns)).alias("doc"), column(text_col).cast("string").alias("text"))
+
+
+def unused_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores before it as set it apart from the names taken."""
+    while name.lower() in {x.lower() for x in taken}:
+        name = f"_{name}"
+    return name
 
 
 class Words:

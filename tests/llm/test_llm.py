@@ -327,10 +327,10 @@ def test_many_near_copies_stay_linear(spark):
     assert out["members"].where("component <> 0").count() == 0 and out["links"].count() < 400 * 20
 
 
-def test_spark_hash(spark):
-    v = [0, 1, -1, 2**62, -(2**63)]
-    want = [r[0] for r in spark.createDataFrame([(x,) for x in v], "v long").select(F.xxhash64("v")).collect()]
-    assert jaccard_join._spark_xxhash64(np.array(v)).view(np.int64).tolist() == want
+def test_join_keeps_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (3, "", "z", 3)], "doc_id long, `te.xt` string, _row string, `a.b` int")
+    got = jaccard_join.keep_one_per_group(df, text_col="te.xt")
+    assert got.columns == df.columns and sorted((r.doc_id, r._row) for r in got.collect()) == [(1, "x"), (3, "z")]
 
 
 # -- 8 sharding
