@@ -9,8 +9,9 @@ merged into removal spans.
 An index is kept cheap without leaving anything out that could match: words that no phrase has are one symbol, which is
 never searched for, and a run of them stands once; equal texts of a shard are indexed once and reported each.
 
-The phrases go to the executors in blocks of a fixed number of windows; if there are more than one block's, the texts
-are read once per block. So neither the driver nor an executor holds more than a block, however long the benchmark is.
+The phrases go to the executors in blocks of bounded size; if there is more than one block, the texts are read once per
+block. So neither the driver nor an executor holds more than a block, however long the benchmark is. A single item longer
+than a block makes a block of its own.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from quayside.functions.scratch import materialize
 from quayside.llm import tokens as T
 
-SHARD_BYTES = 4 << 20  # some 700,000 words; a longer text makes a shard of its own
+SHARD_BYTES = 2 << 20  # some 350,000 words; a longer text makes a shard of its own
 SAMPLE = 16
 BLOCK_ITEMS = 20_000  # benchmark items a block; their texts are bounded by BLOCK_BYTES as well
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20  # some 700,000 windows, 30 MB as word numbers
 
 
 class WaveletTree:
@@ -96,7 +97,7 @@ class FMIndex:
         for j in range(phrases.shape[1] - 1, -1, -1):
             live = np.flatnonzero((j < lengths) & (hi > lo))
             if len(live):
-                c = phrases[live, j]
+                c = phrases[live, j].astype(np.int64)
                 lo[live] = self.first[c] + self.tree.rank(c, lo[live])
                 hi[live] = self.first[c] + self.tree.rank(c, hi[live])
         return lo, hi
@@ -157,16 +158,19 @@ class Phrases:
         words = T.alnum_words(*T.utf8(T.filled(pa.array(texts, pa.string()))))
         h, off = words.hashes(), words.offsets
         self.vocabulary, number = np.unique(h, return_inverse=True)
-        rows, owner = [], []
-        for i, (a, b) in enumerate(zip(off.tolist(), off[1:].tolist())):
-            for at in range(a, max(b - window, a) + 1 if b > a else a):
-                rows.append(np.concatenate((number[at : min(at + window, b)] + FIRST_WORD, np.zeros(max(0, window - (b - at)), np.int64))))
-                owner.append(i)
-        table = np.array(rows, np.int64).reshape(-1, window)
-        self.rows, of = np.unique(table, axis=0, return_inverse=True)
+        n = np.diff(off)
+        windows = np.where(n > 0, np.maximum(n - window, 0) + 1, 0)
+        owner = np.repeat(np.arange(len(n)), windows)
+        start = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + off[:-1][owner]
+        number = np.concatenate((number + FIRST_WORD, np.zeros(window, np.int64))).astype(np.int32)
+        table = np.lib.stride_tricks.sliding_window_view(number, window)[start]
+        for j in range(window):
+            table[start + j >= off[1:][owner], j] = 0
+        rows, of = np.unique(table.view(np.dtype((np.void, 4 * window)))[:, 0], return_inverse=True)
+        self.rows = rows.view(np.int32).reshape(-1, window)
         self.lengths = (self.rows > 0).sum(axis=1)
         by = np.argsort(of, kind="stable")
-        self.items = np.array(owner, np.int64)[by]
+        self.items = owner[by]
         self.item_offsets = np.searchsorted(of[by], np.arange(len(self.rows) + 1))
         self.ids = [None if x is None else str(x) for x in item_ids]
 
@@ -267,7 +271,7 @@ def _scan(docs: DataFrame, phrases: Phrases) -> DataFrame:
                     names=["doc", "n_words", "items", "spans"],
                 )
 
-    return docs.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, n_words long, items array<string>, spans {SPANS}")
+    return docs.mapInArrow(run, T.schema(docs, "doc", f"n_words long, items array<string>, spans {SPANS}"))
 
 
 SPANS = "array<struct<start:bigint,end:bigint,first_byte:bigint,last_byte:bigint>>"
@@ -294,7 +298,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", *,
     empty tables give no rows or no spans; null item ids hit words but name no item. Columns of ``docs`` keep their names
     inside ``doc``, whatever they are.
     """
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    packed = T.row_and_text(docs, text_col)
     parts, phrases, k = [], None, 1
     for phrases, k in _blocks(benchmark, item_col, item_text_col, window):
         if k == 1:
@@ -348,8 +352,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         hit = found.where("size(spans) > 0")
         if hit.isEmpty():
             return clean
-        pieces = hit.select("doc", F.col(f"doc.{text_col}").cast("string").alias("text"), "spans", left.alias("left")).mapInArrow(cut, f"doc {found.schema['doc'].dataType.simpleString()}, cut string, left long")
-        current = pieces.where("left > 0").select([F.col("cut").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in columns])
+        pieces = hit.select("doc", F.col("doc").getField(text_col).cast("string").alias("text"), "spans", left.alias("left")).mapInArrow(cut, T.schema(found, "doc", "cut string, left long"))
+        current = pieces.where("left > 0").select([F.col("cut").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in columns])
 
 
 def op10_fm_decontamination(spark, sf_dir: str) -> DataFrame:

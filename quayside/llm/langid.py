@@ -53,8 +53,8 @@ def contests(langs: list[str], families: dict[str, list[str]]) -> list[tuple[str
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, learn: F.Column | None = None, families: dict[str, list[str]] | None = None, sample_rows: int = SAMPLE_ROWS, cost: float = 4.0) -> dict:
     """Machines for all contests among the languages of the rows with a language and an id for which ``learn`` holds."""
     families = FAMILIES if families is None else families
-    known = docs.select(F.col(id_col).alias(id_col), F.col(lang_col).cast("string").alias("y")).where("y is not null")
-    known = (known if learn is None else known.where(learn)).groupBy(F.col(id_col).alias("id")).agg(F.min("y").alias("y"))
+    known = docs.select(T.column(id_col).alias(id_col), T.column(lang_col).cast("string").alias("y")).where("y is not null")
+    known = (known if learn is None else known.where(learn)).groupBy(T.column(id_col).alias("id")).agg(F.min("y").alias("y"))
     sample = bounded_sample(docs, known, id_col, text_col, sample_rows).where("text <> ''")
 
     T.bound_batches(docs.sparkSession)
@@ -73,7 +73,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         held = np.bincount(np.concatenate([np.zeros(0, np.int64), *(f for _, _, f in rows)]), minlength=1 << BITS)
         shared = [(y, np.mean(held[f] > 1)) for _, y, f in rows if len(f)]
         usual = np.array([np.median([v for z, v in shared if z == y] or [0.0]) for y in langs])
-        yield _weights("languages", ",".join(langs), "", (held > 1).astype(float), usual)
+        yield _weights("languages", "", "", (held > 1).astype(float), usual, langs)
         for where, one, other in contests(langs, families):
             side = lambda y: y if where else _family_of(y, families)  # noqa: E731, B023
             mine = [(f, side(y)) for _, y, f in rows if (not where or _family_of(y, families) == where) and side(y) in (one, other)]
@@ -89,23 +89,27 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             a, b = logistic_curve(margin, sign[apart])
             yield _weights(where, one, other, w[: 1 << BITS], np.array([a, b, w[1 << BITS]]))
 
-    made = sample.mapInArrow(sets, "id string, y string, features array<int>").repartition(1).mapInArrow(fit, "place string, one string, other string, at array<int>, weight array<double>, curve array<double>").collect()
-    langs = [x for r in made if r.place == "languages" for x in r.one.split(",") if x]
-    pairs = [r for r in made if r.place != "languages"]
+    made = sample.mapInArrow(sets, "id string, y string, features array<int>").repartition(1).mapInArrow(fit, _MACHINE).collect()  # a row a contest
+    langs = [x for r in made if r.langs is not None for x in r.langs]
+    pairs = [r for r in made if r.langs is None]
     weight = np.zeros((1 << BITS, max(1, len(pairs))), np.float32)
     for k, r in enumerate(pairs):
-        weight[r["at"], k] = r.weight
+        weight[np.frombuffer(bytes(r["at"]), "<i4"), k] = np.frombuffer(bytes(r.weight), "<f8")
     seen, usual = np.zeros(1 << BITS, bool), {}
     for r in made:
-        if r.place == "languages":
-            seen[r["at"]] = True
+        if r.langs is not None:
+            seen[np.frombuffer(bytes(r["at"]), "<i4")] = True
             usual = dict(zip(langs, r.curve))
     return {"seen": seen, "usual": usual, "langs": langs, "families": {x: _family_of(x, families) for x in langs}, "contests": [(r.place, r.one, r.other) for r in pairs], "weight": weight, "curves": np.array([r.curve for r in pairs]).reshape(-1, 3)}
 
 
-def _weights(where: str, one: str, other: str, w: np.ndarray, curve: np.ndarray) -> pa.RecordBatch:
+_MACHINE = "place string, one string, other string, at binary, weight binary, curve array<double>, langs array<string>"
+
+
+def _weights(where: str, one: str, other: str, w: np.ndarray, curve: np.ndarray, langs: list[str] | None = None) -> pa.RecordBatch:
     some = np.flatnonzero(w)
-    return pa.RecordBatch.from_arrays([pa.array([where]), pa.array([one]), pa.array([other]), T.list_column([some.astype(np.int32)], pa.int32()), T.list_column([w[some]], pa.float64()), T.list_column([curve], pa.float64())], names=["place", "one", "other", "at", "weight", "curve"])
+    at, weight = pa.array([some.astype("<i4").tobytes()], pa.binary()), pa.array([w[some].astype("<f8").tobytes()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([where]), pa.array([one]), pa.array([other]), at, weight, T.list_column([curve], pa.float64()), pa.array([langs], pa.list_(pa.string()))], names=[x.split()[0] for x in _MACHINE.split(", ")])
 
 
 def _winner(names: list[str], place: str, model: dict, margin: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +173,8 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     1 where nothing can be said: no language was learned, or no row to compare with, or the text has no trigram.
 
     Null or empty texts and texts without a letter are ``und`` with score and known 0. If nothing was learned, everything is
-    ``und`` with score 0.
+    ``und`` with score 0. Repeated rows are reported each; an empty table gives no rows; columns keep their names inside
+    ``doc``, whatever they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -179,14 +184,14 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         m = shared.value
         for batch in batches:
             text = T.filled(batch.column(1))
-            for a, b in T.slices(text, 1 << 20):
+            for a, b in T.slices(text):
                 data, off = T.utf8(text.slice(a, b - a))
                 told = _letters(data, off)
                 lang, score, known = predict(m, data, off) if m["langs"] else (np.full(b - a, "und", object), np.zeros(b - a), np.ones(b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.where(told, lang, "und").tolist(), pa.string()), pa.array(np.where(told, score, 0.0)), pa.array(np.where(told, known, 0.0))], names=["doc", "lang_pred", "score", "known"])
 
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return packed.mapInArrow(run, f"doc {packed.schema['doc'].dataType.simpleString()}, lang_pred string, score double, known double")
+    packed = T.row_and_text(docs, text_col)
+    return packed.mapInArrow(run, T.schema(packed, "doc", "lang_pred string, score double, known double"))
 
 
 def op7_language_families(spark, sf_dir: str) -> DataFrame:

@@ -179,7 +179,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ``n_words``; ``n_base``, ``first_word`` and ``last_word``: places of the base phrases, their smallest and largest
     start; ``base_labels`` and ``labels`` (distinct, sorted); ``expressions`` of identifier tags in canonical form;
     ``score`` h / (h + 1) for h hits. Null texts count as empty: no words, no labels, score 0. A tag without a
-    well-formed expression adds no label. Repeated rows are reported each.
+    well-formed expression adds no label. Repeated rows are reported each; an empty table gives no rows; columns keep their
+    names inside ``doc``, whatever they are.
     """
 
     T.bound_batches(docs.sparkSession)
@@ -194,8 +195,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.list_(pa.string())] * 3 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array([r[k] for r in rows], t) for k, t in zip(_NAMES, kinds))], names=["doc", *_NAMES])
 
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return packed.mapInArrow(run, f"doc {packed.schema['doc'].dataType.simpleString()}, {_SCHEMA}")
+    packed = T.row_and_text(docs, text_col)
+    return packed.mapInArrow(run, T.schema(packed, "doc", _SCHEMA))
 
 
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]

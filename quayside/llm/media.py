@@ -2,8 +2,11 @@
 
 ``store`` writes any bytes as a track of 8-bit raw samples: a file type box, a movie box with the sample tables and a
 media data box. ``probe`` walks the nested boxes of any such container, decodes the sample tables (times, sizes, chunks,
-sync samples) and gives codec, duration and the byte ranges of the keyframes; ``samples`` reads the payload back by those
-tables alone.
+sync samples) and the runs of movie fragments, and gives codec, duration and the byte ranges of the keyframes of each
+track; ``samples`` reads the payload back by those tables alone.
+
+Containers come from anywhere: counts are cut down to what the boxes can hold before anything is made of them, boxes more
+than DEPTH deep are not walked, and a table that gives more payload than the container has bytes gives none.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from quayside.llm import tokens as T
 
 SAMPLE_BYTES = 4096  # bytes of payload that make a chunk
 RATE = 8000
+DEPTH = 16
 _NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 _IDENTITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -70,11 +74,14 @@ def store(payload: bytes, rate: int = RATE, chunk: int = SAMPLE_BYTES) -> bytes:
     return ftyp + movie(base) + _box(b"mdat", payload)
 
 
-def boxes(data: memoryview, start: int = 0, end: int | None = None, path: str = "") -> Iterator[tuple[str, int, int]]:
-    """(path, body start, body end) of every box, nested ones after their parent. A box that says it is longer than its
-    parent, or shorter than its head, ends the walk of that parent."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def boxes(data: memoryview) -> Iterator[tuple[str, int, int, int]]:
+    """(path, start, body start, body end) of every box, nested ones after their parent. A box that says it is longer than
+    its parent, or shorter than its head, ends the walk of that parent."""
+    open_ = [(0, len(data), "")]
+    while open_:
+        start, end, path = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1 and start + 16 <= end:
@@ -82,12 +89,12 @@ def boxes(data: memoryview, start: int = 0, end: int | None = None, path: str =
         elif size == 0:
             size = end - start
         if size < body - start or start + size > end:
-            return
+            continue
         name = f"{path}/{kind.decode('latin-1')}"
-        yield name, body, start + size
-        if kind in _NESTED:
-            yield from boxes(data, body, start + size, name)
-        start += size
+        yield name, start, body, start + size
+        open_.append((start + size, end, path))
+        if kind in _NESTED and name.count("/") < DEPTH:
+            open_.append((body, start + size, name))
 
 
 def _table(data: memoryview, at: tuple[int, int] | None, width: int, kind: str = ">u4") -> np.ndarray:
@@ -100,42 +107,119 @@ def _table(data: memoryview, at: tuple[int, int] | None, width: int, kind: str =
     return np.frombuffer(data, kind, n * width, at[0] + 8).reshape(n, width).astype(np.int64)
 
 
+def _numbers(data: memoryview, at: tuple[int, int], count: int, skip: int = 0) -> list[int]:
+    """As many 32-bit numbers of a full box's body (after version and flags) as asked for and there."""
+    count = max(0, min(count, (at[1] - at[0] - 4 - skip) // 4))
+    return list(struct.unpack_from(f">{count}I", data, at[0] + 4 + skip))
+
+
+def _track(view: memoryview, at: dict[str, tuple[int, int]]) -> dict:
+    """Codec, handler, time scale, duration and sample tables of one ``trak`` box."""
+    stsd, mdhd, hdlr, tkhd = (at.get(k) for k in ("stsd", "mdhd", "hdlr", "tkhd"))
+    codec = bytes(view[stsd[0] + 12 : stsd[0] + 16]).decode("latin-1").strip() if stsd and stsd[1] - stsd[0] >= 16 else ""
+    handler = bytes(view[hdlr[0] + 8 : hdlr[0] + 12]).decode("latin-1") if hdlr and hdlr[1] - hdlr[0] >= 12 else ""
+    scale = struct.unpack_from(">I", view, mdhd[0] + (20 if view[mdhd[0]] else 12))[0] if mdhd and mdhd[1] - mdhd[0] >= 24 else 0
+    number = struct.unpack_from(">I", view, tkhd[0] + (20 if view[tkhd[0]] else 12))[0] if tkhd and tkhd[1] - tkhd[0] >= 24 else 0
+    times = _table(view, at.get("stts"), 2)
+    stsz = at.get("stsz")
+    fixed, n = struct.unpack_from(">II", view, stsz[0] + 4) if stsz and stsz[1] - stsz[0] >= 12 else (0, 0)
+    sizes = np.zeros(0, np.int64) if fixed or not n else np.frombuffer(view, ">u4", min(n, (stsz[1] - stsz[0] - 12) // 4), stsz[0] + 12).astype(np.int64)
+    chunk = _table(view, at["co64"], 1, ">u8")[:, 0] if "co64" in at else _table(view, at.get("stco"), 1)[:, 0]
+    runs = _table(view, at.get("stsc"), 3)
+    per = np.zeros(len(chunk), np.int64)
+    for i, (first, count, _) in enumerate(runs):
+        per[max(first - 1, 0) : max(runs[i + 1][0] - 1, 0) if i + 1 < len(runs) else None] = count
+    reached = np.minimum(np.cumsum(per), n if fixed else len(sizes))
+    per = np.diff(reached, prepend=0)
+    if fixed:
+        t = {"offsets": chunk, "sizes": per * fixed, "counts": per}
+    else:
+        of = np.repeat(np.arange(len(chunk)), per)
+        sums = np.concatenate(([0], np.cumsum(sizes)))
+        t = {"offsets": chunk[of] + sums[: len(of)] - sums[(reached - per)[of]], "sizes": sizes[: len(of)], "counts": np.ones(len(of), np.int64)}
+    sync = _table(view, at["stss"], 1)[:, 0] if "stss" in at else None
+    return t | {"codec": codec, "handler": handler, "scale": scale, "number": number, "ticks": int((times[:, 0] * times[:, 1]).sum()), "n_samples": int(n), "sync": sync}
+
+
+def _fragment(view: memoryview, at: list[tuple[str, int, int]], moof: int, defaults: dict[int, list[int]]) -> tuple[int, list[tuple[int, int, bool]], int]:
+    """Track number, samples (offset, size, is a keyframe) and ticks of one ``traf`` box."""
+    number, base, duration, size, flags, out, ticks = 0, moof, 0, 0, 0, [], 0
+    for kind, a, b in at:
+        if b - a < 8:
+            continue
+        said = struct.unpack_from(">I", view, a)[0] & 0xFFFFFF
+        if kind == "tfhd":
+            number = struct.unpack_from(">I", view, a + 4)[0]
+            duration, size, flags = defaults.get(number, [0, 0, 0])
+            place = a + 8
+            if said & 1 and place + 8 <= b:
+                base, place = struct.unpack_from(">Q", view, place)[0], place + 8
+            place += 4 * bool(said & 2)
+            more = _numbers(view, (place - 4, b), 3)
+            duration = more.pop(0) if said & 8 and more else duration
+            size = more.pop(0) if said & 16 and more else size
+            flags = more.pop(0) if said & 32 and more else flags
+        elif kind == "trun":
+            place, count = a + 8, struct.unpack_from(">I", view, a + 4)[0]
+            at_byte = out[-1][0] + out[-1][1] if out else base
+            if said & 1 and place + 4 <= b:
+                at_byte, place = base + struct.unpack_from(">i", view, place)[0], place + 4
+            first = flags
+            if said & 4 and place + 4 <= b:
+                first, place = struct.unpack_from(">I", view, place)[0], place + 4
+            fields = [k for k in (0x100, 0x200, 0x400, 0x800) if said & k]
+            # Without fields of its own a sample takes no place in the box; it must then have bytes of the container.
+            count = min(count, (b - place) // (4 * len(fields)) if fields else len(view) // size if size else 0, len(view) - len(out))
+            rows = np.frombuffer(view, ">u4", count * len(fields), place).reshape(count, len(fields)).astype(np.int64) if count and fields else np.zeros((count, 0), np.int64)
+            column = lambda k, value: rows[:, fields.index(k)] if k in fields else np.full(count, value, np.int64)  # noqa: E731, B023
+            sizes, marks = column(0x200, size), column(0x400, flags)
+            if count and said & 4 and 0x400 not in fields:
+                marks = np.concatenate(([first], marks[1:]))
+            starts = at_byte + np.cumsum(sizes) - sizes
+            out += zip(starts.tolist(), sizes.tolist(), ((marks & 0x10000) == 0).tolist())
+            ticks += int(column(0x100, duration).sum())
+    return number, out, ticks
+
+
 def tracks(data: bytes) -> list[dict]:
-    """Codec, time scale, duration and sample tables of each track. Samples of one size in a chunk stay one run:
-    ``offsets``, ``sizes`` and ``counts`` are per chunk for tables with a fixed size, else per sample (count 1)."""
+    """Codec, handler, time scale, duration and samples of each track, those of movie fragments included.
+
+    Samples of one size in a chunk stay one run: ``offsets``, ``sizes`` and ``counts`` are per chunk for tables with a fixed
+    size, else per sample (count 1). ``sync`` numbers the keyframes from 1; None: every sample is one.
+    """
     view = memoryview(data)
     found: list[dict[str, tuple[int, int]]] = []
-    for name, a, b in boxes(view):
+    defaults: dict[int, list[int]] = {}
+    parts: list[tuple[int, list[tuple[str, int, int]]]] = []
+    moof = 0
+    for name, start, a, b in boxes(view):
         if name == "/moov/trak":
             found.append({})
         elif name.startswith("/moov/trak/") and found:
             found[-1].setdefault(name.rpartition("/")[2], (a, b))
-    out = []
-    for at in found:
-        stsd, mdhd = at.get("stsd"), at.get("mdhd")
-        codec = bytes(view[stsd[0] + 12 : stsd[0] + 16]).decode("latin-1").strip() if stsd and stsd[1] - stsd[0] >= 16 else ""
-        scale = 0
-        if mdhd and mdhd[1] - mdhd[0] >= 24:
-            scale = struct.unpack_from(">I", view, mdhd[0] + (20 if view[mdhd[0]] else 12))[0]
-        times = _table(view, at.get("stts"), 2)
-        ticks = int((times[:, 0] * times[:, 1]).sum())
-        stsz = at.get("stsz")
-        fixed, n = struct.unpack_from(">II", view, stsz[0] + 4) if stsz and stsz[1] - stsz[0] >= 12 else (0, 0)
-        sizes = np.zeros(0, np.int64) if fixed or not n else np.frombuffer(view, ">u4", min(n, (stsz[1] - stsz[0] - 12) // 4), stsz[0] + 12).astype(np.int64)
-        chunk = _table(view, at["co64"], 1, ">u8")[:, 0] if "co64" in at else _table(view, at.get("stco"), 1)[:, 0]
-        runs = _table(view, at.get("stsc"), 3)
-        per = np.zeros(len(chunk), np.int64)
-        for i, (first, count, _) in enumerate(runs):
-            per[first - 1 : runs[i + 1][0] - 1 if i + 1 < len(runs) else None] = count
-        if fixed:
-            t = {"offsets": chunk, "sizes": per * fixed, "counts": per}
-        else:
-            before = np.concatenate(([0], np.cumsum(per)))[:-1]
-            of = np.repeat(np.arange(len(chunk)), per)[: len(sizes)]
-            sums = np.concatenate(([0], np.cumsum(sizes)))
-            t = {"offsets": chunk[of] + sums[: len(of)] - sums[np.minimum(before[of], len(sizes))], "sizes": sizes[: len(of)], "counts": np.ones(len(of), np.int64)}
-        sync = _table(view, at["stss"], 1)[:, 0] if "stss" in at else None
-        out.append(t | {"codec": codec, "scale": scale, "ticks": ticks, "n_samples": int(n), "sync": sync})
+        elif name == "/moov/mvex/trex":
+            number, *rest = (_numbers(view, (a, b), 5) + [0] * 5)[:5]
+            defaults[number] = rest[1:]
+        elif name == "/moof":
+            moof = start
+        elif name == "/moof/traf":
+            parts.append((moof, []))
+        elif name in ("/moof/traf/tfhd", "/moof/traf/trun") and parts:
+            parts[-1][1].append((name[-4:], a, b))
+    out = [_track(view, at) for at in found]
+    for start, at in parts:
+        number, samples_, ticks = _fragment(view, at, start, defaults)
+        t = next((t for t in out if t["number"] == number), None)
+        if t is None or not samples_:
+            continue
+        before = int(t["counts"].sum())
+        keys = t["sync"] if t["sync"] is not None else np.arange(1, before + 1)
+        t["sync"] = np.concatenate((keys, before + 1 + np.flatnonzero([k for _, _, k in samples_])))
+        t["offsets"] = np.concatenate((t["offsets"], [o for o, _, _ in samples_]))
+        t["sizes"] = np.concatenate((t["sizes"], [n for _, n, _ in samples_]))
+        t["counts"] = np.concatenate((t["counts"], np.ones(len(samples_), np.int64)))
+        t["n_samples"] += len(samples_)
+        t["ticks"] += ticks
     return out
 
 
@@ -144,9 +228,13 @@ def keyframe_ranges(track: dict) -> list[tuple[int, int]]:
     if track["sync"] is None:
         starts, ends = track["offsets"], track["offsets"] + track["sizes"]
     else:
-        at = np.searchsorted(np.cumsum(track["counts"]), track["sync"])
-        at = at[at < len(track["offsets"])]
-        starts, ends = track["offsets"][at], track["offsets"][at] + track["sizes"][at]
+        reached = np.cumsum(track["counts"])
+        sync = track["sync"][track["sync"] > 0]
+        at = np.searchsorted(reached, sync)
+        sync, at = sync[at < len(reached)], at[at < len(reached)]
+        one = track["sizes"][at] // np.maximum(track["counts"][at], 1)  # samples of a run have one size
+        starts = track["offsets"][at] + (sync - 1 - (reached - track["counts"])[at]) * one
+        ends = starts + one
     if not len(starts):
         return []
     new = np.concatenate(([True], starts[1:] != ends[:-1]))
@@ -155,8 +243,9 @@ def keyframe_ranges(track: dict) -> list[tuple[int, int]]:
 
 
 def samples(data: bytes, track: dict) -> bytes:
-    """The payload of a track, by its tables."""
-    return b"".join(data[o : o + s] for o, s in zip(track["offsets"].tolist(), track["sizes"].tolist()))
+    """The payload of a track, by its tables; none if they give more bytes than the container has."""
+    spans = [(o, min(o + s, len(data))) for o, s in zip(track["offsets"].tolist(), track["sizes"].tolist()) if 0 <= o < len(data)]
+    return b"".join(data[a:b] for a, b in spans) if sum(b - a for a, b in spans) <= len(data) else b""
 
 
 def padded(text: bytes, unit: int = 64) -> bytes:
@@ -176,39 +265,53 @@ def store_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 raw = [t.encode() for t in text.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(r) for r in raw], pa.int64()), pa.array([store(padded(r)) for r in raw], pa.binary())], names=["doc", "n_bytes", "media"])
 
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return packed.mapInArrow(run, f"doc {packed.schema['doc'].dataType.simpleString()}, n_bytes long, media binary")
+    packed = T.row_and_text(docs, text_col)
+    return packed.mapInArrow(run, T.schema(packed, "doc", "n_bytes long, media binary"))
 
 
-_PROBE = "codec string, time_scale long, duration double, n_samples long, keyframes array<struct<start:bigint,end:bigint>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+_RANGES = "array<struct<start:bigint,end:bigint>>"
+_PROBE = f"codec string, time_scale long, duration double, n_samples long, keyframes {_RANGES}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tracks array<struct<codec:string,handler:string,time_scale:bigint,duration:double,n_samples:bigint,keyframes:{_RANGES}>>"
 _RANGE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_TRACKS = pa.list_(pa.struct([("codec", pa.string()), ("handler", pa.string()), ("time_scale", pa.int64()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("keyframes", _RANGE)]))
+_KINDS = {
+    "codec": pa.string(), "time_scale": pa.int64(), "duration": pa.float64(), "n_samples": pa.int64(), "keyframes": _RANGE, "payload_bytes": pa.int64(), "payload_sha256": pa.string(),
+    "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "tracks": _TRACKS,
+}
+_NO_TRACK = {"codec": "", "time_scale": 0, "duration": 0.0, "n_samples": 0, "keyframes": []}
+
+
+def describe(data: bytes) -> dict:
+    """What ``probe`` says of one container."""
+    found = tracks(data)
+    every = [
+        {"codec": t["codec"], "handler": t["handler"], "time_scale": t["scale"], "duration": t["ticks"] / t["scale"] if t["scale"] else 0.0, "n_samples": t["n_samples"], "keyframes": [{"start": a, "end": b} for a, b in keyframe_ranges(t)]}
+        for t in found
+    ]
+    main = next((i for i, t in enumerate(found) if t["handler"] == "vide"), 0)
+    body = samples(data, found[main]) if found else b""
+    return (every[main] if found else _NO_TRACK) | {
+        "payload_bytes": len(body), "payload_sha256": hashlib.sha256(body).hexdigest(), "tail_crc32": zlib.crc32(body[-64:]),
+        "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "tracks": every,
+    }
 
 
 def probe(media: DataFrame, column: str = "media") -> DataFrame:
-    """The other columns of ``media`` as ``row`` (a struct) and what the containers of ``column`` say of their first track.
+    """The other columns of ``media`` as ``row`` (a struct) and what the containers of ``column`` say of their main track:
+    the first video track, else the first track. ``tracks`` has all of them.
 
-    Null, empty or broken containers give an empty codec, no samples and no ranges.
+    Null, empty or broken containers give an empty codec, no samples and no ranges. Repeated rows are reported each; an
+    empty table gives no rows; columns keep their names inside ``row``, whatever they are.
     """
-    rest = [c for c in media.columns if c != column]
-
-    def one(data: bytes) -> tuple:
-        t = next(iter(tracks(data)), None)
-        body = samples(data, t) if t else b""
-        ranges = [{"start": a, "end": b} for a, b in keyframe_ranges(t)] if t else []
-        return (t["codec"] if t else "", t["scale"] if t else 0, t["ticks"] / t["scale"] if t and t["scale"] else 0.0, t["n_samples"] if t else 0, ranges, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest())
-
-    kinds = [pa.string(), pa.int64(), pa.float64(), pa.int64(), _RANGE, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-    names = [x.split()[0] for x in _PROBE.split(", ")]
-
     T.bound_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [one(m.as_py() or b"") for m in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["row", *names])
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                rows = [describe(m.as_py() or b"") for m in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in _KINDS.items())], names=["row", *_KINDS])
 
-    packed = media.select(F.struct(*rest).alias("row"), F.col(column).alias("media"))
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {_PROBE}")
+    packed = media.select(F.struct(*(T.column(c) for c in media.columns if c != column)).alias("row"), T.column(column).alias("media"))
+    return packed.mapInArrow(run, T.schema(packed, "row", _PROBE))
 
 
 def op9_media_columns(spark, sf_dir: str) -> DataFrame:

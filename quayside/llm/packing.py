@@ -3,12 +3,12 @@
 Tokens. Byte-level BPE merges nothing across the pieces that its splitting pattern makes, so the ids of a text are those
 of its pieces in a row. The pieces are found with array steps over the code points of a slice of texts; each distinct
 piece is given to the tokenizer once and kept in a table of bounded size. Texts with code points beyond the basic plane
-go to the tokenizer whole.
+or with one of the vocabulary's added tokens go to the tokenizer whole.
 
-Packing. A document is cut into full pieces, which make sequences of their own, and a rest. Rests are dealt to groups at
-random (a number of groups in proportion to the rows, so a group stays as small at any input size), and each group is
-packed by first-fit decreasing: the leftmost bin with room is found by walking down a tournament tree of the bins' free
-space.
+Packing. A document is cut into full pieces, which make sequences of their own, and a rest. Documents are dealt to groups
+at random with their rests (a number of groups in proportion to the rows, so a group stays as small at any input size),
+and each group is packed by first-fit decreasing: the leftmost bin with room is found by walking down a tournament tree of
+the bins' free space.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from quayside.llm import tokens as T
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 GROUP_ROWS = 8192
-_KNOWN_MOST = 800_000  # distinct pieces that a worker keeps; then it begins anew
+_KNOWN_MOST = 400_000  # distinct pieces that a worker keeps; then it begins anew
+_SLICE = 512 << 10
 
 
 def _classes() -> np.ndarray:
@@ -93,52 +94,55 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = _classes()
         self._forget()
 
     def _forget(self) -> None:
         self.hashes, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _keep(self, hashes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Take new pieces into the kept table, which is emptied before it would grow beyond its bound."""
         if len(self.hashes) + len(hashes) > _KNOWN_MOST:
             self._forget()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate((self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum()))))
+        if len(hashes) > _KNOWN_MOST:
+            return
         every = np.concatenate((self.hashes, hashes))
         by = np.argsort(every, kind="stable")
-        self.hashes, self.starts, self.sizes = every[by], np.concatenate((self.starts, starts))[by], np.concatenate((self.sizes, sizes))[by]
+        starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.hashes, self.starts, self.sizes = every[by], starts[by], np.concatenate((self.sizes, sizes))[by]
+        self.flat = np.concatenate((self.flat, flat))
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each document, without an end mark."""
-        begin, far = split_points(data, offsets, self.classes)
+        begin, whole = split_points(data, offsets, self.classes)
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                whole[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = raw.find(token, at + 1)
         end = np.concatenate((begin[1:], [len(data)])) if len(begin) else begin
-        h = T.hash_spans(data, begin, end)
-        distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == distinct[inside]
-        if not known.all():
-            missing = np.flatnonzero(~known)
-            raw = data.tobytes()
-            held = len(self.hashes)
-            words = [raw[begin[i] : end[i]].decode() for i in where[missing].tolist()]
-            self._learn(distinct[missing], words)
-            if len(self.hashes) < held + len(missing):  # it began anew
-                missing = np.flatnonzero(known)
-                self._learn(distinct[missing], [raw[begin[i] : end[i]].decode() for i in where[missing].tolist()])
-            at = np.searchsorted(self.hashes, distinct)
-        start, size = self.starts[at][inverse], self.sizes[at][inverse]
+        distinct, where, inverse = np.unique(T.hash_spans(data, begin, end), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        new = np.flatnonzero(~known)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([raw[begin[i] : end[i]].decode() for i in where[new].tolist()], add_special_tokens=False)]
+        # The slice's own table: the kept ids, as they are now, and the new ones after them.
+        starts, sizes = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        starts[known], sizes[known] = self.starts[at[known]], self.sizes[at[known]]
+        sizes[new] = np.fromiter(map(len, ids), np.int64, len(ids))
+        starts[new] = len(self.flat) + np.cumsum(sizes[new]) - sizes[new]
+        added = np.fromiter((x for i in ids for x in i), np.uint32, int(sizes[new].sum()))
+        table = np.concatenate((self.flat, added))
+        start, size = starts[inverse], sizes[inverse]
         sums = np.concatenate(([0], np.cumsum(size)))
-        take = np.arange(sums[-1]) - np.repeat(sums[:-1], size) + np.repeat(start, size)
-        flat = self.flat[take]
+        flat = table[np.arange(sums[-1]) - np.repeat(sums[:-1], size) + np.repeat(start, size)]
+        self._keep(distinct[new], sizes[new], added)
         bounds = sums[np.searchsorted(begin, offsets)]
         out = [flat[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
-        for i in np.flatnonzero(far).tolist():
-            text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+        for i in np.flatnonzero(whole).tolist():
+            text = raw[offsets[i] : offsets[i + 1]].decode()
             out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return out
 
@@ -188,7 +192,7 @@ def document_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
         coder = _pieces_of(vocabulary)
         for batch in batches:
             text = T.filled(batch.column(1))
-            for a, b in T.slices(text, 2 << 20):
+            for a, b in T.slices(text, _SLICE):
                 row, start, size, crc, total, kept = [], [], [], [], [], []
                 for i, ids in enumerate(coder.ids(*T.utf8(text.slice(a, b - a)))):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -208,19 +212,22 @@ def document_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(T.column(id_col).alias("id"), T.column(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, *, capacity: int = 1024, group_rows: int = GROUP_ROWS, seed: int = 17) -> DataFrame:
     """``pieces`` (any columns, one of them ``length``) with ``sequence_id`` and ``offset``.
 
-    Full pieces and rests alike go through first-fit decreasing in groups of about ``group_rows`` rows, dealt at random.
-    The pieces are written first, so that a task that runs again deals its rows as before. Repeated rows are packed each;
-    an empty table gives an empty result; a length beyond ``capacity`` is an error.
+    A piece of ``capacity`` is a sequence of its own, with a negative number. The others, one a document, are dealt at
+    random to groups of about ``group_rows`` rows and go through first-fit decreasing there; equal lengths go in the order
+    written. The pieces are written first, so that a task that runs again deals its rows as before. Repeated rows are packed
+    each; columns keep their names, those of this function excepted; an empty table gives an empty result; a length beyond
+    ``capacity`` is an error.
     """
-    held = materialize(pieces.select(F.struct(*pieces.columns).alias("piece"), F.col("length").cast("long").alias("n"), F.monotonically_increasing_id().alias("k")), "pieces")
-    groups = max(1, -(-held.count() // group_rows))
-    dealt = held.withColumn("g", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(groups)))
+    held = materialize(pieces.select(F.struct(*map(T.column, pieces.columns)).alias("piece"), F.col("length").cast("long").alias("n"), F.monotonically_increasing_id().alias("k")), "pieces")
+    rests = held.where(F.col("n") != capacity)
+    groups = max(1, -(-rests.count() // group_rows))
+    dealt = rests.withColumn("g", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(groups)))
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("n", "descending"), ("k", "ascending")])
@@ -231,8 +238,9 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, group_rows: int = GROUP_ROW
         ids = (table["g"].to_numpy() << 32) | bins
         return pa.table({"piece": table["piece"], "sequence_id": ids, "offset": offsets})
 
-    packed = dealt.groupBy("g").applyInArrow(fit, f"piece {held.schema['piece'].dataType.simpleString()}, sequence_id long, offset long")
-    return packed.select("piece.*", "sequence_id", "offset")
+    packed = dealt.groupBy("g").applyInArrow(fit, T.schema(held, "piece", "sequence_id long, offset long"))
+    full = held.where(F.col("n") == capacity).select("piece", (-1 - F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(full).select("piece.*", "sequence_id", "offset")
 
 
 def assembled(packed: DataFrame, *, capacity: int = 1024, pad_id: int = 0) -> DataFrame:
@@ -245,7 +253,8 @@ def assembled(packed: DataFrame, *, capacity: int = 1024, pad_id: int = 0) -> Da
 def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, length: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """All documents as pieces with their sequences: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    A null or empty text is its end mark alone. Ids may repeat or be null. Other columns are not looked at.
+    A null or empty text is its end mark alone. Ids may repeat or be null; repeated rows are packed each. Rests of one
+    length go in the order in which the pieces were written. Other columns, whatever their names, are not looked at.
     """
     return pack(document_pieces(docs, vocabulary, id_col, text_col, length=length, end_id=end_id, with_ids=with_ids), capacity=length)
 

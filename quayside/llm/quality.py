@@ -157,7 +157,7 @@ def bounded_sample(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: st
     """``(id, y, text)`` for the ``rows`` ids of ``chosen`` (id, y) with the smallest hash, one text each (the least of
     several). Only the ids are broadcast, and their number is bounded by ``rows``."""
     ids = chosen.where("id is not null").orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(T.column(id_col).alias("id"), F.coalesce(T.column(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
@@ -185,18 +185,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _arrays(b.column(2)))), key=lambda row: row[0])
         model = fit_nbsvm([f for _, _, f in rows], np.array([y for _, y, _ in rows], np.int64))
-        some = np.flatnonzero(model["ratio"])
-        at = np.concatenate((some, [-1, -2, -3]))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate((model["ratio"][some], model["curve"]))), pa.array(np.concatenate((model["weight"][some], np.zeros(3))))], names=["at", "ratio", "weight"])
-
-    made = sample.mapInArrow(sets, "id string, y int, features array<int>").repartition(1).mapInArrow(fit, "at long, ratio double, weight double").toPandas()
-    size = (1 << BITS) + PATTERNS
-    model = {"ratio": np.zeros(size), "weight": np.zeros(size), "curve": made[made["at"] < 0].sort_values("at", ascending=False)["ratio"].to_numpy()}
-    held = made[made["at"] >= 0]
-    model["ratio"][held["at"]], model["weight"][held["at"]] = held["ratio"], held["weight"]
+        yield pa.RecordBatch.from_arrays([pa.array([model[k].astype("<f8").tobytes()], pa.binary()) for k in _PARTS], names=_PARTS)
+
+    made = sample.mapInArrow(sets, "id string, y int, features array<int>").repartition(1).mapInArrow(fit, ", ".join(f"{k} binary" for k in _PARTS)).first()
+    model = {k: np.frombuffer(bytes(made[k]), "<f8") for k in _PARTS}
     return model | {"square": model["ratio"] ** 2}
 
 
+_PARTS = ["ratio", "weight", "curve"]
+
+
 def _arrays(column: pa.ListArray) -> list[np.ndarray]:
     off, flat = column.offsets.to_numpy(), column.values.to_numpy()
     return [flat[a:b] for a, b in zip(off, off[1:])]
@@ -205,7 +203,8 @@ def _arrays(column: pa.ListArray) -> list[np.ndarray]:
 def score_quality(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
     """``doc`` (struct of the columns of ``docs``) and ``score``: 0 to 1, higher where label 1 is likelier.
 
-    Null texts count as empty; empty texts are scored by the model's bias and their length alone.
+    Null texts count as empty; empty texts are scored by the model's bias and their length alone. Repeated rows are scored
+    each; an empty table gives no rows; columns keep their names inside ``doc``, whatever they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -218,8 +217,8 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray], text_col: str =
                 s = scores(shared.value, *features_of(*T.utf8(text.slice(a, b - a))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s)], names=["doc", "score"])
 
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return packed.mapInArrow(run, f"doc {packed.schema['doc'].dataType.simpleString()}, score double")
+    packed = T.row_and_text(docs, text_col)
+    return packed.mapInArrow(run, T.schema(packed, "doc", "score double"))
 
 
 def op4_nbsvm_quality(spark, sf_dir: str) -> DataFrame:

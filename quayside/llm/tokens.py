@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 18
 BATCH_ROWS = 1000
@@ -64,6 +65,11 @@ def row_and_text(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.struct(*map(column, docs.columns)).alias("doc"), column(text_col).cast("string").alias("text"))
 
 
+def schema(rows: DataFrame, name: str, more: str) -> StructType:
+    """The column ``name`` of ``rows`` as it is there, then the columns that ``more`` declares."""
+    return StructType([rows.schema[name], *StructType.fromDDL(more).fields])
+
+
 def unused_name(name: str, taken: list[str]) -> str:
     """``name``, with as many underscores before it as set it apart from the names taken."""
     while name.lower() in {x.lower() for x in taken}:

@@ -5,17 +5,20 @@ arguments name (``{"$ref": "<call id>"}`` anywhere in the arguments); their orde
 dependency, level n + 1 waits for level n, calls of a cycle and those that wait for one have no level. Levels are settled
 in rounds that double the reach, each ending in a written table, so a conversation is never gathered in one task and a long
 one takes few rounds. Arguments are checked against a schema per tool, and everything is serialised as canonical JSON:
-keys sorted, no blanks, numbers in one form.
+keys sorted, no blanks, plain numbers without trailing zeros. Numbers with an exponent are read as doubles and written as
+such (``1E2`` as ``100.0``, one beyond a double's range as the string ``Infinity``).
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.scratch import materialize
 
-_TYPES = {"string": ["STRING"], "integer": ["BIGINT", "DECIMAL(%,0)"], "number": ["BIGINT", "DECIMAL%", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "array": ["ARRAY%"], "object": ["OBJECT%"]}
+_TYPES = {"string": ["STRING"], "integer": ["BIGINT", "DECIMAL(%,0)"], "number": ["BIGINT", "DECIMAL%", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "array": ["ARRAY%"], "object": ["OBJECT%"], "null": ["VOID"]}
 
 
 def canonical_json(text: F.Column) -> F.Column:
@@ -23,50 +26,97 @@ def canonical_json(text: F.Column) -> F.Column:
     return F.to_json(F.try_parse_json(text))
 
 
-def _problems(tool: dict, args: F.Column) -> list[F.Column]:
-    """A message or null for each rule of one tool's schema: its properties, ``required`` and ``additionalProperties``."""
-    out = []
-    keys = F.json_object_keys(args)
-    for name in sorted(tool.get("required", [])):
-        out.append(F.when(~F.array_contains(keys, name), F.lit(f"missing {name}")))
-    if tool.get("additionalProperties") is False:
-        extra = F.array_except(keys, F.array(*[F.lit(k) for k in tool["properties"]]).cast("array<string>"))
-        out.append(F.when(F.size(extra) > 0, F.concat(F.lit("unknown "), F.array_join(F.array_sort(extra), " "))))
-    for name, rule in sorted(tool["properties"].items()):
-        value = F.try_variant_get(F.try_parse_json(args), f"$.{name}", "variant")
-        kind = F.schema_of_variant(value)
-        here = F.array_contains(keys, name)
+#: Rules of a schema that are checked; others than these and the notes are refused, so that none is passed over.
+_RULES = {"type", "properties", "required", "additionalProperties", "items", "minItems", "maxItems", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern", "anyOf"}
+_NOTES = {"title", "description", "default", "examples", "$schema", "$id", "$comment", "format", "deprecated"}
+
+
+def _variant(value: F.Column, kind: str) -> F.Column:
+    return F.try_variant_get(value, "$", kind)
+
+
+def _is(value: F.Column, kind: str) -> F.Column:
+    like = F.lit(False)
+    for pattern in _TYPES[kind]:
+        like = like | F.schema_of_variant(value).like(pattern)
+    whole = _variant(value, "double") == F.floor(_variant(value, "double")) if kind == "integer" else F.lit(False)
+    return F.coalesce(like | (whole & F.schema_of_variant(value).isin("DOUBLE", "FLOAT")), F.lit(False))
+
+
+def _one_of(value: F.Column, allowed: list) -> F.Column:
+    return F.coalesce(F.to_json(value).isin([json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in allowed]), F.lit(False))
+
+
+def _problems(rule: dict, value: F.Column, name: str) -> F.Column:
+    """An array of messages, one for each rule of a schema that the variant ``value`` breaks."""
+    if unknown := set(rule) - _RULES - _NOTES:
+        raise ValueError(f"rules that are not checked: {sorted(unknown)}")
+    out, more = [], []
+    say = lambda bad, what: out.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(what)))
+    kinds = [rule["type"]] if isinstance(rule.get("type"), str) else rule.get("type", [])
+    if kinds:
         fits = F.lit(False)
-        for like in _TYPES[rule["type"]]:
-            fits = fits | kind.like(like)
-        out.append(F.when(here & ~F.coalesce(fits, F.lit(False)), F.lit(f"{name} is not {rule['type']}")))
-        number = F.try_variant_get(F.try_parse_json(args), f"$.{name}", "double")
-        text = F.try_variant_get(F.try_parse_json(args), f"$.{name}", "string")
-        for key, bad, what in (("minimum", number < rule.get("minimum", 0), "too small"), ("maximum", number > rule.get("maximum", 0), "too large"), ("minLength", F.length(text) < rule.get("minLength", 0), "too short"), ("maxLength", F.length(text) > rule.get("maxLength", 0), "too long")):
-            if key in rule:
-                out.append(F.when(fits & bad, F.lit(f"{name} {what}")))
-        if "enum" in rule:
-            out.append(F.when(fits & ~text.isin([str(x) for x in rule["enum"]]), F.lit(f"{name} not allowed")))
-    return out
+        for kind in kinds:
+            fits = fits | _is(value, kind)
+        say(~fits, f"{name} is not {' or '.join(kinds)}" if name else f"not {' or '.join(kinds)}")
+    shown = name or "value"
+    number = F.when(_is(value, "number"), _variant(value, "double"))
+    text = F.when(_is(value, "string"), _variant(value, "string"))
+    items = F.when(_is(value, "array"), _variant(value, "array<variant>"))
+    fields = F.when(_is(value, "object"), _variant(value, "map<string,variant>"))
+    for key, bad, what in (
+        ("minimum", lambda x: number < x, "too small"), ("maximum", lambda x: number > x, "too large"), ("exclusiveMinimum", lambda x: number <= x, "too small"), ("exclusiveMaximum", lambda x: number >= x, "too large"),
+        ("minLength", lambda x: F.length(text) < x, "too short"), ("maxLength", lambda x: F.length(text) > x, "too long"), ("pattern", lambda x: ~text.rlike(x), "does not match"),
+        ("minItems", lambda x: F.size(items) < x, "too short"), ("maxItems", lambda x: F.size(items) > x, "too long"),
+        ("enum", lambda x: ~_one_of(value, x), "not allowed"), ("const", lambda x: ~_one_of(value, [x]), "not allowed"),
+    ):
+        if key in rule:
+            say(bad(rule[key]), f"{shown} {what}")
+    below = f"{name}." if name else ""
+    properties = rule.get("properties", {})
+    for key in sorted(rule.get("required", [])):
+        say(~F.map_contains_key(fields, F.lit(key)), f"missing {below}{key}")
+    if rule.get("additionalProperties") is False:
+        extra = F.array_except(F.map_keys(fields), F.array(*[F.lit(k) for k in properties]).cast("array<string>"))
+        out.append(F.when(F.size(extra) > 0, F.concat(F.lit("unknown "), F.array_join(F.array_sort(F.transform(extra, lambda k: F.concat(F.lit(below), k))), " "))))
+    for key, inner in sorted(properties.items()):
+        found = _problems(inner, F.try_element_at(fields, F.lit(key)), below + key)
+        more.append(F.when(F.map_contains_key(fields, F.lit(key)), found))
+    if isinstance(rule.get("additionalProperties"), dict):
+        rest = F.filter(F.map_values(F.map_filter(fields, lambda k, _: ~k.isin(sorted(properties)))), lambda v: F.lit(True))
+        more.append(F.array_distinct(F.flatten(F.transform(rest, lambda v: _problems(rule["additionalProperties"], v, f"{below}*")))))
+    if "items" in rule:
+        more.append(F.array_distinct(F.flatten(F.transform(items, lambda v: _problems(rule["items"], v, f"{name}[]")))))
+    if "anyOf" in rule:
+        none = F.lit(True)
+        for option in rule["anyOf"]:
+            none = none & (F.size(_problems(option, value, name)) > 0)
+        say(none, f"{shown} fits no option")
+    found = F.array_compact(F.array(F.lit(None).cast("string"), *out))
+    nothing = F.array().cast("array<string>")
+    for part in more:
+        found = F.concat(found, F.coalesce(part, nothing))
+    return found
 
 
 def validate_arguments(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """``calls`` with ``errors``: what is wrong with ``arguments`` under the schema of ``name``; none: an empty array.
 
-    Arguments that are null, not JSON or not an object, and unknown tools are errors of their own.
+    Checked are the rules of ``_RULES`` at any depth; a schema with another rule raises ValueError. Arguments that are null,
+    not JSON or not an object, and unknown tools are errors of their own.
     """
-    args = F.col("arguments")
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(args)).like("OBJECT%"), F.lit(False))
+    args = F.try_parse_json("arguments")
     found = F.when(F.col("name").isNull() | ~F.col("name").isin(sorted(schemas)), F.array(F.lit("unknown tool")))
-    found = found.when(~is_object, F.array(F.lit("arguments are not an object")))
+    found = found.when(~_is(args, "object"), F.array(F.lit("arguments are not an object")))
     for name, tool in sorted(schemas.items()):
-        found = found.when(F.col("name") == name, F.array_compact(F.array(F.lit(None).cast("string"), *_problems(tool, args))))
+        found = found.when(F.col("name") == name, _problems(tool, args, ""))
     return calls.withColumn("errors", found)
 
 
 def order_calls(calls: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, level)`` for each call whose dependencies (``depends``, ids of calls of the same conversation) can all be
-    met. ``keys``: the conversation's columns and the call's identifier, last. Unknown ids are no dependencies.
+    met. ``keys``: the conversation's columns and the call's identifier, last. Unknown ids are no dependencies. Calls that
+    share an identifier are one here, with the dependencies of all of them.
 
     A level is one more than the highest level among the dependencies. An open call carries its dependencies with a
     distance and the best level known so far. In each round a dependency that is settled is turned into a level, and one
@@ -75,7 +125,7 @@ def order_calls(calls: DataFrame, keys: list[str]) -> DataFrame:
     cycle.
     """
     group, call = keys[:-1], keys[-1]
-    plain = calls.select(*keys, "depends").dropDuplicates(keys)
+    plain = calls.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("depends"))).alias("depends"))
     known = plain.select(*group, F.col(call).alias("on"))
     edges = plain.select(*keys, F.explode(F.array_distinct("depends")).alias("on")).join(known.hint("shuffle_merge"), [*group, "on"], "left_semi")
     waits = edges.groupBy(*keys).agg(F.collect_set(F.struct("on", F.lit(1).cast("long").alias("w"))).alias("deps"))

@@ -5,6 +5,9 @@ cuts records by their declared lengths and synthesises what WARC asks for: a rec
 run gives the same), a timestamp, a record type, block and payload digests. Records whose payload is that of another
 become revisits of it; that decision is made over all records by a grouping on the digest.
 
+Old archives are seldom whole. What can't be read becomes a row with a ``problem`` in place of an error that ends the job,
+and reading goes on at the next header line or member.
+
 Archives are rows of a table: a number and some megabytes of concatenated gzip members, one a record. Spark's own writer
 commits them, so a task that runs again leaves no half-written archive, and any store that Spark can write will do.
 """
@@ -52,34 +55,60 @@ def arc_record(version: int, url: bytes, date: str, mime: str, block: bytes, nam
     return b" ".join(clean if k == "url" else fields[k] for k in ARC_FIELDS[version]) + b"\n" + block + b"\n"
 
 
+def _header(line: bytes, fields: list[bytes]) -> list[bytes] | None:
+    """Fields of a header line, or None. Blanks beyond those that the version has belong to the URL or, as in ``text/html;
+    charset=utf-8``, to the content type."""
+    parts = line.rstrip(b"\r").split(b" ")
+    extra, date, kind = len(parts) - len(fields), fields.index("date"), fields.index("type")
+    if extra < 0 or not parts[-1].isdigit():
+        return None
+    for of_url in range(extra + 1):
+        of_type = extra - of_url
+        cut = [b" ".join(parts[: of_url + 1]), *parts[of_url + 1 : of_url + kind], b" ".join(parts[of_url + kind : of_url + kind + 1 + of_type]), *parts[of_url + kind + 1 + of_type :]]
+        if cut[date].isdigit() and len(cut[date]) <= 14:
+            return cut
+    return cut if not extra else None
+
+
 def parse_arc(data: bytes) -> Iterator[dict]:
     """Records of an ARC file but its version block. ``truncated`` marks one whose declared length goes beyond the end.
 
-    Raises ValueError for a missing or unknown version block or a header line that its version does not allow.
+    A line that is no header line of the file's version, where one should stand, gives a record whose ``problem`` says so
+    (None elsewhere) and whose block is what is passed over up to the next header line. A missing or unknown version block
+    gives one such record for the whole file.
     """
-    at, fields = 0, None
+    at, fields, passed = 0, None, None
+
+    def lost(upto: int) -> dict:
+        return {"url": "", "date": "", "type": "", "block": data[passed:upto], "truncated": False, "problem": "not a header line of the version"}
+
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
             continue
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
-        parts = data[at:end].rstrip(b"\r").split(b" ")
         if fields is None:
-            if not parts[0].startswith((b"filedesc://", b"dns:filedesc")) or not parts[-1].isdigit():
-                raise ValueError("an ARC file begins with a version block")
-            body = data[end + 1 : end + 1 + int(parts[-1])]
-            version = body[:1]
-            if version not in (b"1", b"2"):
-                raise ValueError(f"unknown ARC version {version!r}")
-            fields, at = ARC_FIELDS[int(version)], end + 1 + int(parts[-1])
+            parts = data[at:end].rstrip(b"\r").split(b" ")
+            body = data[end + 1 : end + 2]
+            if not parts[0].startswith((b"filedesc://", b"dns:filedesc")) or not parts[-1].isdigit() or body not in (b"1", b"2"):
+                yield {"url": "", "date": "", "type": "", "block": data, "truncated": False, "problem": "no version block of a known version"}
+                return
+            fields, at = ARC_FIELDS[int(body)], end + 1 + int(parts[-1])
+            continue
+        parts = _header(data[at:end], fields)
+        if parts is None:
+            passed, at = at if passed is None else passed, end + 1
             continue
-        if len(parts) != len(fields) or not parts[-1].isdigit():
-            raise ValueError(f"header line with {len(parts)} fields where the version has {len(fields)}")
+        if passed is not None:
+            yield lost(at)
+            passed = None
         length = int(parts[-1])
         block = data[end + 1 : end + 1 + length]
-        yield dict(zip(fields, (p.decode("utf-8", "replace") for p in parts))) | {"block": block, "truncated": len(block) < length}
+        yield dict(zip(fields, (p.decode("utf-8", "replace") for p in parts))) | {"block": block, "truncated": len(block) < length, "problem": None}
         at = end + 1 + length
+    if passed is not None:
+        yield lost(len(data))
 
 
 def warc_date(arc: str) -> str:
@@ -98,16 +127,17 @@ def synthesise(record: dict) -> dict:
     name = f"{url} {record['date']} {base32_sha1(block)}"
     return {
         "record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}", "type": kind, "uri": url, "date": warc_date(record["date"]), "mime": record["type"],
-        "head": head + mark, "payload": payload, "payload_digest": base32_sha1(payload), "truncated": record["truncated"],
+        "head": head + mark, "payload": payload, "payload_digest": base32_sha1(payload), "truncated": record["truncated"], "problem": record["problem"],
     }
 
 
-_RECORD = "record_id string, type string, uri string, date string, mime string, head binary, payload binary, payload_digest string, truncated boolean"
+_RECORD = "record_id string, type string, uri string, date string, mime string, head binary, payload binary, payload_digest string, truncated boolean, problem string"
 _RECORD_PA = pa.schema([(n, {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in _RECORD.split(", "))])
 
 
 def convert_arc(arcs: DataFrame, column: str = "arc") -> DataFrame:
-    """WARC records of ARC files in a binary column, all as responses or resources so far. Null and empty files have none."""
+    """WARC records of ARC files in a binary column, all as responses or resources so far. Null and empty files have none;
+    what can't be read is a record with a ``problem``. Repeated files are read each; other columns are not looked at."""
 
     T.bound_batches(arcs.sparkSession)
 
@@ -117,7 +147,7 @@ def convert_arc(arcs: DataFrame, column: str = "arc") -> DataFrame:
                 rows = [synthesise(r) for r in parse_arc(data.as_py() or b"")]
                 yield pa.RecordBatch.from_pylist(rows, schema=_RECORD_PA)
 
-    return arcs.select(F.col(column).alias("arc")).mapInArrow(run, _RECORD)
+    return arcs.select(T.column(column).alias("arc")).mapInArrow(run, _RECORD)
 
 
 def mark_revisits(records: DataFrame, rank: F.Column, least_bytes: int = 0) -> DataFrame:
@@ -168,30 +198,58 @@ def write_archives(records: DataFrame, name: str = "warc", level: int = 4) -> Da
     return materialize(records.mapInArrow(run, "warc binary").select(F.monotonically_increasing_id().alias("archive"), "warc"), name, compression="none")
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names lower-cased) and block of each gzip member's record; the block's digest is checked."""
-    while data:
+_STEP = 1 << 16
+_MEMBER = b"\x1f\x8b\x08"
+
+
+def _members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """Each gzip member's bytes. After a damaged one, with what could be read of it, the next mark of a member is sought."""
+    at = 0
+    while at < len(data):
+        start, parts, problem = at, [], None
         d = zlib.decompressobj(31)
-        raw = d.decompress(data) + d.flush()
-        data = d.unused_data
+        try:
+            while not d.eof and at < len(data):  # a step at a time, as what a member leaves unused is copied
+                parts.append(d.decompress(data[at : at + _STEP]))
+                at = min(at + _STEP, len(data))
+            at -= len(d.unused_data)
+        except zlib.error:
+            problem = "damaged member"
+        if not d.eof and problem is None:
+            problem = "member without an end"
+        if problem:
+            at = data.find(_MEMBER, start + 1)
+            at = len(data) if at < 0 else at
+        yield b"".join(parts), problem
+
+
+def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Header fields (names lower-cased), block and problem (None: none) of each gzip member's record; the block's length
+    and digest are checked."""
+    for raw, problem in _members(data):
         head, _, rest = raw.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("a member does not begin with a WARC version")
+        lines = head.decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        block = rest[: int(fields["content-length"])]
-        if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
-            raise ValueError(f"record {fields.get('warc-record-id')}: its block does not have its digest")
-        yield fields, block
-
-
-_READ = "record_id string, type string, uri string, date string, refers_to string, head binary, payload binary, payload_digest string"
+        length = fields.get("content-length", "")
+        block = rest[: int(length)] if length.isdigit() else b""
+        if not problem and (not lines[0].startswith("WARC/") or not length.isdigit() or "warc-type" not in fields):
+            problem = "not a WARC record"
+        if not problem and len(block) < int(length):
+            problem = "block shorter than its length"
+        if not problem and fields.get("warc-block-digest", "").startswith("sha1:") and fields["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
+            problem = "block differs from its digest"
+        yield fields, block, problem
+
+
+_READ = "record_id string, type string, uri string, date string, refers_to string, head binary, payload binary, payload_digest string, problem string"
 _READ_PA = pa.schema([(n, pa.binary() if t == "binary" else pa.string()) for n, t in (x.split() for x in _READ.split(", "))])
 
 
 def read_archives(archives: DataFrame, column: str = "warc", *, payloads: bool = True) -> DataFrame:
     """Records of archives in a binary column (a table of archives, or files read with ``binaryFile``). A payload's digest
-    is computed anew from its bytes; a revisit has the digest of its header and no payload."""
+    is computed anew from its bytes; a revisit has the digest of its header and no payload. A record that can't be read
+    whole has a ``problem`` and what could be read. Null and empty archives have no records; repeated ones are read each;
+    other columns are not looked at."""
     keep_payload = payloads
 
     T.bound_batches(archives.sparkSession)
@@ -199,18 +257,19 @@ def read_archives(archives: DataFrame, column: str = "warc", *, payloads: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows = []
-                for f, block in parse_warc(data.as_py() or b""):
+                rows: list[dict] = []
+                for f, block, problem in parse_warc(data.as_py() or b""):
                     head, mark, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
-                    revisit = f["warc-type"] == "revisit"
+                    revisit = f.get("warc-type") == "revisit"
                     rows.append({
-                        "record_id": f["warc-record-id"].strip("<>"), "type": f["warc-type"], "uri": f.get("warc-target-uri"), "date": f.get("warc-date"),
-                        "refers_to": f["warc-refers-to"].strip("<>") if revisit else None, "head": head + mark, "payload": None if revisit else payload if keep_payload else b"",
-                        "payload_digest": f["warc-payload-digest"].removeprefix("sha1:") if revisit else base32_sha1(payload), "payload_bytes": None if revisit else len(payload),
+                        "record_id": f.get("warc-record-id", "").strip("<>"), "type": f.get("warc-type"), "uri": f.get("warc-target-uri"), "date": f.get("warc-date"),
+                        "refers_to": f.get("warc-refers-to", "").strip("<>") if revisit else None, "head": head + mark, "payload": None if revisit else payload if keep_payload else b"",
+                        "payload_digest": f.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else base32_sha1(payload), "problem": problem,
+                        "payload_bytes": None if revisit else len(payload),
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema=_READ_PA.append(pa.field("payload_bytes", pa.int64())))
 
-    return archives.select(F.col(column).alias("warc")).mapInArrow(run, _READ + ", payload_bytes long")
+    return archives.select(T.column(column).alias("warc")).mapInArrow(run, _READ + ", payload_bytes long")
 
 
 def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, date: str = "20240101000000") -> DataFrame:
@@ -248,7 +307,7 @@ def op2_arc_to_warc(spark, sf_dir: str) -> DataFrame:
     """All pages through ARC files into WARC archives and back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     records = convert_arc(pages_to_arc(pages))
-    archives = write_archives(mark_revisits(records, page_number()))
+    archives = write_archives(mark_revisits(records.where("problem is null"), page_number()))
     read = read_archives(archives, payloads=False).select("record_id", page_number().alias("page_id"), "type", "payload_bytes", "payload_digest", "refers_to")
     whole = read.where("type <> 'revisit'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("page_id").alias("of_page"), F.max("payload_bytes").alias("of_bytes"))
     back = read.join(whole.hint("shuffle_merge"), "refers_to", "left")

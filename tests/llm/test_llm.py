@@ -109,10 +109,12 @@ def test_arc_headers():
         assert s["date"] == "2020-01-02T03:04:05Z" and s["payload"] == b"hi" and s["type"] == "response"
         (cut,) = warc.parse_arc(data[:-4])
         assert cut["truncated"]
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(b"http://x 1 2 3 4\n"))
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(warc.arc_version_block(1, "x", "2020") + b"only three fields\n"))
+    (bad,) = warc.parse_arc(b"http://x 1 2 3 4\n")
+    assert bad["problem"] and bad["block"] == b"http://x 1 2 3 4\n"
+    good = warc.arc_record(1, b"http://a/", "20200102030405", "text/html; charset=utf-8", b"hi", "x", 0)
+    found = list(warc.parse_arc(warc.arc_version_block(1, "x", "2020") + b"only three fields\nand more\n" + good + b"http://a b/ 1.1.1.1 20200102030405 text/html 2\nyo\n"))
+    assert [r["problem"] is None for r in found] == [False, True, True] and [r["block"] for r in found] == [b"only three fields\nand more\n", b"hi", b"yo"]
+    assert found[1]["type"] == "text/html; charset=utf-8" and found[2]["url"] == "http://a b/"
     assert warc.warc_date("2020") == "2020-01-01T00:00:00Z" and warc.warc_date("junk") == "1970-01-01T00:00:00Z"
 
 
@@ -127,6 +129,30 @@ def test_pages_and_revisits(spark, tmp_path):
     assert warc.op2_arc_to_warc(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_damaged_archives(spark):
+    record = lambda i, body: {"record_id": f"urn:{i}", "type": "resource", "uri": "u", "date": "d", "mime": "text/plain", "head": b"", "payload": body, "payload_digest": warc.base32_sha1(body), "truncated": False, "refers_to": None}
+    parts = [warc._gzip(warc._warc_record(record(i, b"x%d" % i * 50)), 4) for i in range(4)]
+    false = warc._gzip(warc._warc_record(record(9, b"true")).replace(b"true", b"lied"), 4)
+    data = parts[0] + parts[1][:-30] + b"junk" + parts[2] + false + parts[3] + warc._gzip(b"no record", 4) + parts[0][:20]
+    got = warc.read_archives(spark.createDataFrame([(data, 1), (None, 2), (b"", 3)], "warc binary, record_id int")).collect()
+    assert [r.record_id for r in got if r.problem is None] == ["urn:0", "urn:2", "urn:3"]
+    assert {"block differs from its digest", "not a WARC record", "member without an end"} <= {r.problem for r in got}
+    many = b"".join(warc._gzip(warc._warc_record(record(i, b"y" * 40)), 1) for i in range(20_000))
+    assert sum(p is None for _, _, p in warc.parse_warc(many)) == 20_000
+
+
+def test_pages_table_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    best = {}
+    for p in pages:
+        best[p.html or ""] = max(best.get(p.html or "", -1), p.page_id)
+    want = {}
+    for p in pages:
+        raw, k = (p.html or "").encode(), best[p.html or ""]
+        want[p.page_id] = (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if k == p.page_id else "revisit", None if k == p.page_id else k)
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op2_arc_to_warc(spark, sf).collect()} == want
+
+
 # -- 3 packing
 
 
@@ -152,9 +178,7 @@ def check_pieces(got, texts, tokenizer, capacity=1024):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.public_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.public_vocabulary())
 
 
 def test_packing(spark, sf, docs, tokenizer):
@@ -180,6 +204,17 @@ def test_pieces_equal_the_tokenizer(tokenizer, text):
     assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_beyond_the_table(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "_KNOWN_MOST", 1000)
+    coder = packing.Pieces(packing.public_vocabulary())
+    texts = [" ".join(f"w{i}x" for i in range(a, b)) for a, b in ((0, 300), (100, 800), (0, 300), (250, 900))] + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", ""]
+    for t in texts:
+        (got,) = coder.ids(*tokens.utf8(tokens.filled(pa.array([t]))))
+        assert got.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    got = coder.ids(*tokens.utf8(tokens.filled(pa.array(texts))))
+    assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_first_fit_decreasing(lengths):
@@ -267,6 +302,36 @@ def test_levels_of_long_chains(spark):
     assert {int(r.call_id): r.level for r in tool_calls.order_calls(df, ["conv_id", "call_id"]).collect()} == want
 
 
+def test_schemas(spark):
+    schema = {
+        "properties": {
+            "x.y": {"type": "integer"}, "n": {"enum": [1, "a", None]}, "any": {},
+            "list": {"type": "array", "maxItems": 2, "items": {"type": "object", "properties": {"k": {"type": ["string", "null"], "pattern": "^a"}}, "required": ["k"]}},
+            "o": {"anyOf": [{"type": "string"}, {"type": "number", "exclusiveMinimum": 0}]},
+        },
+        "additionalProperties": {"type": "boolean"},
+    }
+    cases = {
+        '{"x.y":1,"n":null,"any":[1],"list":[{"k":"ab"},{"k":null}],"o":"s","z":true}': [],
+        '{"x.y":"1","n":2,"o":-1,"z":0}': ["x.y is not integer", "n not allowed", "o fits no option", "* is not boolean"],
+        '{"x.y":1.0,"list":[{"k":"b"},{},{"k":1}],"o":0.5}': ["list too long", "list[].k does not match", "missing list[].k", "list[].k is not string or null"],
+        "[]": ["arguments are not an object"], "{": ["arguments are not an object"],
+    }
+    df = spark.createDataFrame([(i, "t", a) for i, a in enumerate(cases)], "i int, name string, arguments string")
+    got = {r.i: r.errors for r in tool_calls.validate_arguments(df, {"t": schema}).collect()}
+    assert {i: sorted(e) for i, e in got.items()} == {i: sorted(e) for i, e in enumerate(cases.values())}
+    with pytest.raises(ValueError):
+        tool_calls.validate_arguments(df, {"t": {"uniqueItems": True}})
+
+
+def test_repeated_calls_and_long_texts(spark):
+    call = lambda i, a, extra=0: ("c", i, 1, "t", a, extra)
+    calls = spark.createDataFrame([call("a", "{}"), call("b", '{"p":{"$ref":"a"}}'), call("d", '{"p":{"$ref":"a"}}'), call("d", '{"p":{"$ref":"b"},"q":"%s"}' % LONG)], "conv_id string, call_id string, pos int, name string, arguments string, level int")
+    results = spark.createDataFrame([("c", "a", 2, LONG)], "conv_id string, call_id string, pos int, content string")
+    got = tool_calls.link_tool_calls(calls, results, {"t": {}}).collect()
+    assert sorted((r.call_id, r.level, r.status) for r in got) == [("a", 0, "linked"), ("b", 1, "unanswered"), ("d", 2, "unanswered"), ("d", 2, "unanswered")]
+
+
 # -- 6 similarity join
 
 
