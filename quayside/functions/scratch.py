@@ -1,8 +1,9 @@
 """Tables written between the steps of a job.
 
 Iterative jobs cut their lineage here: a written table survives the loss of executors, which a local checkpoint does
-not. The folder is the one that the cluster names in ``spark.checkpoint.dir``; only a session without that setting (a
-test, a notebook) gets a temporary folder of the machine.
+not. The folder is the one that the cluster names in ``spark.checkpoint.dir``. A session without that setting gets a
+temporary folder of the machine if it runs on this machine alone (a test, a notebook), else an error: executors would write
+each to its own disk and the reader would miss their rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table that only this run reads."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if master.partition("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         base = f"file://{tempfile.gettempdir()}/quayside-scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -26,4 +30,16 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` gave back and that nothing reads any more. Other DataFrames are left alone."""
+    for table in tables:
+        path = table.__dict__.pop("_scratch", None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

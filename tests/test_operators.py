@@ -1,6 +1,7 @@
 """Edge cases and properties of the library's operators."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -108,6 +109,25 @@ def test_components(spark):
     assert connected_components(e.where("src < 0")).count() == 0
 
 
+def test_scratch_tables(spark):
+    from quayside.functions.scratch import discard, materialize, scratch_path
+
+    df = spark.range(5)
+    table = materialize(df, "t")
+    (path,) = {f.rpartition("/")[0] for f in table.inputFiles()}
+    assert table.count() == 5 and scratch_path(spark, "t") != scratch_path(spark, "t")
+    discard(table, df)
+    discard(table)
+    assert not os.path.exists(path.removeprefix("file://")) and df.count() == 5
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, other=None: {"spark.master": "spark://host:7077"}.get(key, other))
+
+    with pytest.raises(ValueError):
+        scratch_path(Elsewhere, "t")
+
+
 def test_components_over_many_chunks(spark):
     rng = random.Random(3)
     for edges in ([(rng.randrange(300), rng.randrange(300)) for _ in range(260)], [(i, i + 1) for i in range(150)], [(9, i) for i in range(200)]):
