@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.graph import connected_components
-from quayside.functions.scratch import materialize
+from quayside.functions.scratch import discard, materialize
 from quayside.llm import tokens as T
 
 _WORDS = {"space": T.space_words, "alnum": T.alnum_words}
@@ -105,10 +105,10 @@ def _prefixes(postings: DataFrame, num: int, den: int) -> DataFrame:
     return located.select("node", "size", "prefix", F.inline("at")).where("pos < prefix").drop("prefix")
 
 
-def _met(prefixes: DataFrame, name: str) -> DataFrame:
+def _met(prefixes: DataFrame) -> DataFrame:
     """The entries whose shingle stands in the prefix of another node too."""
-    held = materialize(prefixes, name)
-    return held.join(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").hint("shuffle_merge"), "key", "left_semi")
+    shared = prefixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return prefixes.join(shared.hint("shuffle_merge"), "key", "left_semi")
 
 
 def _filtered(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -237,15 +237,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alike = sig.where("size > 0").groupBy("hi", "lo").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("counted").alias("counted"), F.first("others").alias("others"))
     nodes = materialize(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
     part = nodes.select("node", "size", F.size("counted").alias("n_counted"), F.posexplode(F.concat("counted", "others")).alias("i", "key"))
-    wanted = _met(_prefixes(part, num, den), "prefixes").select("node").distinct()
-    wanted = materialize(nodes.select("node", "hi", "lo").join(wanted.hint("shuffle_merge"), "node", "left_semi"), "wanted")
+    coarse = materialize(_prefixes(part, num, den), "prefixes")
+    wanted = materialize(nodes.select("node", "hi", "lo").join(_met(coarse).select("node").distinct().hint("shuffle_merge"), "node", "left_semi"), "wanted")
+    discard(coarse)
     sets = materialize(_wanted_sets(docs, text_col, wanted, n, words), "sets", compression="lz4")
     whole = sets.select("node", "size", F.col("size").cast("int").alias("n_counted"), F.posexplode("shingles").alias("i", "key"))
-    met = materialize(_met(_prefixes(whole, num, den), "prefixes"), "met")
+    fine = materialize(_prefixes(whole, num, den), "prefixes")
+    met = materialize(_met(fine), "met")
+    discard(wanted, fine)
     done = materialize(_verified(_star_pairs(met, num, den), sets, num, den), "verified")
     comps = materialize(connected_components(done.where("link"), "a", "b"), "components")
     mixed = materialize(_mixed(met, comps).join(sets.select("node", "odd").hint("shuffle_merge"), "node"), "mixed")
+    discard(met, comps)
     done = done.unionByName(materialize(_verified(_cross_pairs(mixed, done, num, den), sets, num, den), "verified"))
+    discard(mixed, sets)
     links = done.where("link").drop("link")
     comps = connected_components(links, "a", "b")
     rooted = nodes.select("node", "hi", "lo", "least").join(comps, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")

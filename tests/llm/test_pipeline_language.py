@@ -42,3 +42,19 @@ def test_nothing_learned_keeps_every_text_with_a_letter(spark, sf):
     assert docs.count() > 0
     got = P.language(spark, _with(docs, OTHER), sf)
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in docs.collect()} | {-1, -2}
+
+
+def test_stages_on_edge_cases(spark, sf):
+    import corpus_pipeline as P
+
+    rows = [(1, None, "en", None, 1, "r"), (2, "", None, "s", None, "r"), (2, "", None, "s", None, "r"), (None, "the same few words of text here", "en", "s", 5, "r"), (7, "the same few words of text here", "en", "s", 5, None), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `_ro.w` string")
+    for table in (docs, docs.where("doc_id < 0")):
+        n = table.count()
+        for name, stage in P.STAGES:
+            out = stage(spark, table, sf)
+            if name == "packing":
+                assert out.count() == n
+            else:
+                assert out.columns == docs.columns and out.count() <= n
+    assert sorted(str(r.doc_id) for r in P.near_duplicates(spark, docs, sf).collect()) == ["1", "2", "2", "7", "None"]
