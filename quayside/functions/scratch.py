@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table that only this run reads."""
@@ -29,7 +31,12 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the scratch folder and read it back, with the same columns."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.options(**options).parquet(path)
+    kept = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # what was shuffled on the way is not needed once the table stands
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, kept)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table
