@@ -61,8 +61,7 @@ def _(t):
 @query("str6_split_late", "SELECT 'all' AS part, count(*) AS n FROM events")
 def _(t):
     good, late, check = (scratch_path(t.spark, n) for n in ("good", "late", "check"))
-    write = lambda path: lambda df: df.select("event_id").write.mode("append").parquet(path)
-    S.split_late(events(t), "ts", 86400, write(good), write(late), check).awaitTermination()
+    S.split_late(events(t).select("event_id", "ts"), "ts", 86400, S.by_batch(good), S.by_batch(late), check).awaitTermination()
     return t.spark.read.parquet(good).unionByName(t.spark.read.parquet(late)).agg(F.lit("all").alias("part"), F.count("*").alias("n"))
 
 
@@ -116,7 +115,7 @@ def _(t):
     path = scratch_path(t.spark, "merged")
     t.orders.where("o_orderkey % 2 = 1").select("o_orderkey").write.parquet(f"{path}/a")
     t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice").write.parquet(f"{path}/b")
-    return t.spark.read.option("mergeSchema", True).parquet(f"{path}/a", f"{path}/b").select("o_orderkey", "o_totalprice")
+    return files.read_merged_schema(t.spark, f"{path}/*").select("o_orderkey", "o_totalprice")
 
 
 @query("src6_read_fixed_width", "SELECT c_custkey, c_mktsegment, c_nationkey FROM customer")

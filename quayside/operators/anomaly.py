@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.graph import connected_components
 from quayside.functions.scratch import materialize
+from quayside.operators.quantiles import quantile_row
 from quayside.operators.features import assemble
 
 
@@ -101,7 +102,7 @@ def reconstruction_anomaly(df: DataFrame, columns: list[str], k: int, percentile
     p = PCA(k=k, inputCol="_s", outputCol="_p").fit(v).transform(v)
     square = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda acc, x: acc + x * x)
     out = p.withColumn("reconstruction_error", F.greatest(F.lit(0.0), square("_s") - square("_p"))).drop("_v", "_s", "_p")
-    cut = out.agg(F.percentile("reconstruction_error", F.lit(percentile)).alias("_c"))
+    cut = quantile_row(out, {"_c": ("reconstruction_error", percentile)})
     return out.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", F.col("reconstruction_error") > F.col("_c")).drop("_c")
 
 

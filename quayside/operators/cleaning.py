@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quayside.operators.quantiles import quantile_row
+
 #: Spellings of a missing value.
 NULL_WORDS = ["", "NULL", "null", "Null", "N/A", "n/a", "NA", "None", "none", "#N/A"]
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
@@ -95,8 +97,11 @@ def filter_by_condition(df: DataFrame, condition: str) -> DataFrame:
 def remove_outliers_iqr(df: DataFrame, column: str, multiplier: float = 1.5, exact: bool = True) -> DataFrame:
     """Rows within the quartiles widened by ``multiplier`` ranges. The bounds are one row, joined by broadcast; with
     ``exact=False`` the quartiles come from a sketch of bounded size."""
-    q = (lambda p: F.percentile(column, F.lit(p))) if exact else (lambda p: F.percentile_approx(column, p, 10000))
-    b = df.agg(q(0.25).alias("_a"), q(0.75).alias("_b")).select((F.col("_a") - multiplier * (F.col("_b") - F.col("_a"))).alias("_lo"), (F.col("_b") + multiplier * (F.col("_b") - F.col("_a"))).alias("_hi"))
+    if exact:
+        quartiles = quantile_row(df, {"_a": (column, 0.25), "_b": (column, 0.75)})
+    else:
+        quartiles = df.agg(F.percentile_approx(column, 0.25, 10000).alias("_a"), F.percentile_approx(column, 0.75, 10000).alias("_b"))
+    b = quartiles.select((F.col("_a") - multiplier * (F.col("_b") - F.col("_a"))).alias("_lo"), (F.col("_b") + multiplier * (F.col("_b") - F.col("_a"))).alias("_hi"))
     return df.join(F.broadcast(b), F.col(column).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 

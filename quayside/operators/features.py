@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.operators.joins import asof_join, latest_per_key
+from quayside.operators.quantiles import quantile_row
 
 EARTH_KM = 6371.0
 #: Fixed value: the digits of place cells.
@@ -127,13 +128,15 @@ def missing_indicators(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def cap_outliers(df: DataFrame, columns: list[str], method: str = "iqr", lower: float = 0.01, upper: float = 0.99, multiplier: float = 1.5) -> DataFrame:
-    """Values beyond the bounds become the bounds; the bounds of all columns come from one aggregate."""
+    """Values beyond the bounds become the bounds; the bounds of all columns are one row."""
+    shares = (0.25, 0.75) if method == "iqr" else (lower, upper)
+    found = quantile_row(df, {f"_q{i}_{c}": (c, p) for c in columns for i, p in enumerate(shares)})
     aggs = []
     for c in columns:
-        q = [F.percentile(c, F.lit(p)) for p in ((0.25, 0.75) if method == "iqr" else (lower, upper))]
+        q = [F.col(f"_q0_{c}"), F.col(f"_q1_{c}")]
         lo, hi = (q[0] - multiplier * (q[1] - q[0]), q[1] + multiplier * (q[1] - q[0])) if method == "iqr" else q
         aggs += [lo.alias(f"_lo_{c}"), hi.alias(f"_hi_{c}")]
-    made = df.crossJoin(F.broadcast(df.agg(*aggs)))
+    made = df.crossJoin(F.broadcast(found.select(*aggs)))
     return made.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_lo_{c}")), F.col(f"_hi_{c}"))) for c in columns}).select(*df.columns)
 
 
@@ -144,8 +147,8 @@ def correct_skew(df: DataFrame, columns: list[str], method: str = "log1p") -> Da
 
 def robust_scale(df: DataFrame, columns: list[str], centering: bool = False) -> DataFrame:
     """By the range of the quartiles; a range of 0 gives 0."""
-    aggs = [x for c in columns for x in (F.percentile(c, F.lit(0.5)).alias(f"_m_{c}"), (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias(f"_r_{c}"))]
-    made = df.crossJoin(F.broadcast(df.agg(*aggs)))
+    found = quantile_row(df, {f"_{k}_{c}": (c, p) for c in columns for k, p in (("a", 0.25), ("m", 0.5), ("b", 0.75))})
+    made = df.crossJoin(F.broadcast(found.select(*[x for c in columns for x in (F.col(f"_m_{c}"), (F.col(f"_b_{c}") - F.col(f"_a_{c}")).alias(f"_r_{c}"))])))
     return made.withColumns({f"{c}_scaled": F.when(F.col(c).isNotNull(), F.coalesce(F.try_divide(F.col(c) - (F.col(f"_m_{c}") if centering else F.lit(0.0)), F.col(f"_r_{c}")), F.lit(0.0))) for c in columns}).select(*df.columns, *[f"{c}_scaled" for c in columns])
 
 

@@ -18,13 +18,18 @@ def _same(columns: list[str], a: str, b: str) -> Column:
 
 
 def _sides(a: DataFrame, b: DataFrame, keys: list[str], how: str = "full_outer") -> DataFrame:
-    """``keys, _a, _b``: rows of both sides as structs, null where there is none."""
-    return a.select(*keys, F.struct(*a.columns).alias("_a")).join(b.select(*keys, F.struct(*b.columns).alias("_b")), keys, how)
+    """``keys, _a, _b``: rows of both sides as structs, null where there is none. A null key is a key as any other."""
+    left = a.select(*[F.col(k).alias(f"_l_{k}") for k in keys], F.struct(*a.columns).alias("_a"))
+    right = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.struct(*b.columns).alias("_b"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_l_{k}").eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, same, how).select(*[F.coalesce(f"_l_{k}", f"_r_{k}").alias(k) for k in keys], "_a", "_b")
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], update_columns: list[str] | None = None) -> DataFrame:
     """Source rows replace or join the target's by key; with ``update_columns`` a match takes over only those. The source
-    has one row per key."""
+    has one row per key: several make as many rows. A null key matches a null key, so a second run adds nothing."""
     out = []
     for c in target.columns:
         new = F.col(f"_b.{c}") if c in source.columns else F.lit(None).cast(target.schema[c].dataType)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quayside.functions.scratch import materialize
 from quayside.operators.enrichment import number_rows
 from quayside.operators.features import assemble
+from quayside.operators.quantiles import long_values, quantiles
 
 
 def _place(key: str) -> Column:
@@ -211,14 +212,10 @@ def daily_metrics(predictions: DataFrame, actuals: DataFrame, on: list[str], ts:
     return classification_metrics(predictions.join(actuals, on).withColumn("day", F.col(ts).cast("date")), label, score, by=["day"])
 
 
-def _long(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("r")).select("r.column", "r.v").where("v is not null")
-
-
 def psi(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10, floor: float = 1e-4) -> DataFrame:
     """Population stability index per column, over bins between the reference's quantiles."""
-    r, c = _long(reference, columns), _long(current, columns)
-    edges = r.groupBy("column").agg(F.percentile("v", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
+    r, c = long_values(reference, columns), long_values(current, columns)
+    edges = quantiles(r, [i / bins for i in range(1, bins)]).groupBy("column").agg(F.array_sort(F.collect_list("q")).alias("edges"))
     binned = lambda df, n: df.join(F.broadcast(edges), "column").groupBy("column", F.size(F.filter("edges", lambda x: x < F.col("v"))).alias("bin")).agg(F.count("*").alias(n))
     both = edges.select("column", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).join(binned(r, "a"), ["column", "bin"], "left").join(binned(c, "b"), ["column", "bin"], "left")
     w = Window.partitionBy("column")
@@ -228,7 +225,7 @@ def psi(reference: DataFrame, current: DataFrame, columns: list[str], bins: int
 
 def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
     """Largest distance of the distribution functions per column. Rows shrink to distinct values first."""
-    per = _long(reference, columns).withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(_long(current, columns).withColumn("a", F.lit(0)).withColumn("b", F.lit(1))).groupBy("column", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    per = long_values(reference, columns).withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(long_values(current, columns).withColumn("a", F.lit(0)).withColumn("b", F.lit(1))).groupBy("column", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     w, t = Window.partitionBy("column").orderBy("v"), Window.partitionBy("column")
     gap = F.abs(F.sum("a").over(w) / F.sum("a").over(t) - F.sum("b").over(w) / F.sum("b").over(t))
     return per.select("column", gap.alias("gap")).groupBy("column").agg(F.max("gap").alias("ks"))

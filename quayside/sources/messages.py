@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SOH = "\x01"
-#: Names of FIX tags and of SWIFT fields.
+#: Names of FIX tags, by tag, and of SWIFT fields.
 FIX_TAGS = {
-    "8": "BeginString", "9": "BodyLength", "35": "MsgType", "49": "SenderCompID", "56": "TargetCompID", "34": "MsgSeqNum", "52": "SendingTime", "11": "ClOrdID", "37": "OrderID",
-    "55": "Symbol", "54": "Side", "38": "OrderQty", "44": "Price", "40": "OrdType", "39": "OrdStatus", "150": "ExecType", "10": "CheckSum",
+    "8": "BeginString", "9": "BodyLength", "10": "CheckSum", "11": "ClOrdID", "31": "LastPx", "32": "LastQty", "34": "MsgSeqNum", "35": "MsgType", "37": "OrderID", "38": "OrderQty",
+    "39": "OrdStatus", "40": "OrdType", "44": "Price", "49": "SenderCompID", "52": "SendingTime", "54": "Side", "55": "Symbol", "56": "TargetCompID", "150": "ExecType",
 }
 SWIFT_FIELDS = {"20": "reference", "32A": "value_date_currency_amount", "50K": "ordering_customer", "59": "beneficiary", "71A": "charges"}
 
 
+def _last(pairs: Column, tag: str) -> Column:
+    """The last value of a tag among ``(tag, value)`` pairs."""
+    return F.try_element_at(F.filter(pairs, lambda p: p["tag"] == tag), F.lit(-1))["value"]
+
+
+def _named(pairs: Column, names: dict[str, str], other: str) -> Column:
+    """All pairs in their order as ``(name, value)``; unnamed tags as ``other`` and the tag."""
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.transform(pairs, lambda p: F.struct(F.coalesce(F.try_element_at(known, p["tag"]), F.concat(F.lit(other), p["tag"])).alias("name"), p["value"].alias("value")))
+
+
 def parse_fix_log(df: DataFrame, column: str, message_types: list[str] | None = None, others: list[str] = ()) -> DataFrame:
-    """A column per named tag and ``Tag<n>`` for each of ``others``; null where a message lacks it."""
-    m = F.str_to_map(F.col(column), F.lit(SOH), F.lit("="))
+    """A column per named tag and ``Tag<n>`` for each of ``others``; null where a message lacks it. Of a repeated tag (a
+    repeating group) the column has the last value; ``fields`` has every pair in its order, unnamed tags as ``Tag<n>``.
+    Pieces without ``=`` are passed over; null messages give no row, empty ones a row of nulls."""
+    parts = F.filter(F.split(F.col(column), SOH), lambda x: x.contains("="))
+    pairs = F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).alias("tag"), F.substr(x, F.instr(x, "=") + 1).alias("value")))
     tags = FIX_TAGS | {t: f"Tag{t}" for t in others}
-    rows = df.where(F.col(column).isNotNull()).withColumn("_m", m)
-    rows = rows.where(F.try_element_at("_m", F.lit("35")).isin(message_types)) if message_types else rows
-    return rows.select(*[c for c in df.columns if c != column], *[F.try_element_at("_m", F.lit(t)).alias(n) for t, n in tags.items()])
+    rows = df.where(F.col(column).isNotNull()).withColumn("_m", pairs)
+    rows = rows.where(_last(F.col("_m"), "35").isin(message_types)) if message_types else rows
+    return rows.select(*[c for c in df.columns if c != column], *[_last(F.col("_m"), t).alias(n) for t, n in tags.items()], _named(F.col("_m"), FIX_TAGS, "Tag").alias("fields"))
 
 
 def parse_x12_claims(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -39,13 +53,14 @@ def parse_x12_claims(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def parse_swift_mt(df: DataFrame, column: str) -> DataFrame:
-    """Message type of block 2 and the fields of block 4, as a map and by name."""
+    """Message type of block 2 and the fields of block 4: ``fields`` has every one in its order, unnamed ones as
+    ``Field<n>``; the named columns have the last value of a repeated field (statements repeat ``:61:``)."""
     body = F.regexp_extract(column, r"(?s)\{4:\s*(.*?)-\}", 1)
     keys = F.regexp_extract_all(body, F.lit(r"(?m)^:(\d{2}[A-Z]?):"), F.lit(1))
     values = F.transform(F.regexp_extract_all(body, F.lit(r"(?s):\d{2}[A-Z]?:(.*?)(?=\n:\d{2}[A-Z]?:|\z)"), F.lit(1)), lambda v: F.trim(F.regexp_replace(v, r"[\r\n]+", " ")))
-    fields = F.map_from_arrays(keys, values)
-    made = df.withColumn("message_type", F.regexp_extract(column, r"\{2:[IO](\d{3})", 1)).withColumn("_f", fields)
-    return made.select(*df.columns, "message_type", F.col("_f").alias("fields"), *[F.try_element_at("_f", F.lit(k)).alias(n) for k, n in SWIFT_FIELDS.items()])
+    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("tag"), v.alias("value")))
+    made = df.withColumn("message_type", F.regexp_extract(column, r"\{2:[IO](\d{3})", 1)).withColumn("_f", pairs)
+    return made.select(*df.columns, "message_type", _named(F.col("_f"), SWIFT_FIELDS, "Field").alias("fields"), *[_last(F.col("_f"), k).alias(n) for k, n in SWIFT_FIELDS.items()])
 
 
 def parse_swift_mx(df: DataFrame, column: str, leaves: list[str]) -> DataFrame:

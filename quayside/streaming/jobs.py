@@ -50,9 +50,15 @@ def dedupe_stream(df: DataFrame, keys: list[str], ts: str, delay: str) -> DataFr
     return _timed(df, ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def split_late(df: DataFrame, ts: str, delay_seconds: int, on_time: Callable[[DataFrame], None], late: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+def by_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch as a partition ``batch`` of a table, in place of what an earlier run of it wrote."""
+    return lambda df, number: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def split_late(df: DataFrame, ts: str, delay_seconds: int, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Batches split against the latest time seen before each batch; late rows go to ``late``. The time is read from the
-    stored maximum of earlier batches, so a batch that runs again is split as before."""
+    stored maximum of earlier batches, so a batch that runs again is split as before. The sinks get the number of the batch,
+    by which they overwrite what an earlier run of it wrote (see ``by_batch``)."""
     marks = f"{checkpoint}/latest"
 
     def each(batch: DataFrame, number: int) -> None:
@@ -67,9 +73,9 @@ def split_late(df: DataFrame, ts: str, delay_seconds: int, on_time: Callable[[Da
                     raise
         t = F.unix_timestamp(F.col(ts).cast("timestamp"))
         is_late = F.lit(False) if seen is None else F.coalesce(t < seen - delay_seconds, F.lit(False))
-        on_time(batch.where(~is_late))
-        late(batch.where(is_late))
-        batch.agg(F.lit(number).cast("long").alias("batch"), F.max(t).alias("latest")).where("latest is not null").write.mode("append").parquet(marks)
+        on_time(batch.where(~is_late), number)
+        late(batch.where(is_late), number)
+        batch.agg(F.max(t).alias("latest")).where("latest is not null").write.mode("overwrite").parquet(f"{marks}/batch={number}")
         batch.unpersist()
 
     return df.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/query").trigger(availableNow=True).start()

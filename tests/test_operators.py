@@ -244,7 +244,7 @@ def test_late_rows_are_split(spark, tmp_path):
     (src / "a.json").write_text('{"id": 1, "ts": "2024-01-02T00:00:00"}\n')
     schema = "id long, ts timestamp"
     seen = {"good": [], "late": []}
-    put = lambda k: lambda df: seen[k].extend(r.id for r in df.collect())
+    put = lambda k: lambda df, _: seen[k].extend(r.id for r in df.collect())
     ST.split_late(ST.stream_files(spark, f"file://{src}", schema), "ts", 3600, put("good"), put("late"), f"file://{tmp_path}/c").awaitTermination()
     (src / "b.json").write_text('{"id": 2, "ts": "2024-01-01T00:00:00"}\n{"id": 3, "ts": "2024-01-02T01:00:00"}\n')
     ST.split_late(ST.stream_files(spark, f"file://{src}", schema), "ts", 3600, put("good"), put("late"), f"file://{tmp_path}/c").awaitTermination()
@@ -263,3 +263,35 @@ def test_plans(spark):
     numbered = plan(E.number_rows(df, ["v"], "n"))
     assert numbered.count("SinglePartition") == 1 and "Window [coalesce" not in numbered.split("SinglePartition")[1]  # the list of files alone
     assert "BatchEvalPython" not in plan(H.apply_cdc(df.select("k", "v"), df, ["k"], ["seq"]))
+
+
+def test_repeated_tags_and_fields(spark):
+    from quayside.sources import messages as M
+
+    fix = M.SOH.join(["8=FIX.4.4", "35=8", "31=9.5", "32=100", "448=A", "448=B=C", "junk", "58=", "10=001"])
+    (r,) = M.parse_fix_log(spark.createDataFrame([(1, fix), (2, None)], "k int, line string"), "line", ["8"], ["448"]).collect()
+    assert (r.LastPx, r.LastQty, r.Tag448, r.CheckSum, r.Symbol) == ("9.5", "100", "B=C", "001", None)
+    assert [tuple(x) for x in r.fields if x.name.startswith("Tag")] == [("Tag448", "A"), ("Tag448", "B=C"), ("Tag58", "")]
+    mt = "{1:F01X}{2:I940Y}{4:\n:20:REF\n:61:first\n:61:second\n:86:a\nb\n-}"
+    (r,) = M.parse_swift_mt(spark.createDataFrame([(mt,)], "m string"), "m").collect()
+    assert r.message_type == "940" and r.reference == "REF" and [tuple(x) for x in r.fields] == [("reference", "REF"), ("Field61", "first"), ("Field61", "second"), ("Field86", "a b")]
+
+
+def test_quantiles(spark):
+    from quayside.operators.quantiles import long_values, quantiles
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([(rng.gauss(0, 1), float(rng.randrange(4)), None) for _ in range(501)] + [(None, 1.0, None)], "a double, `b.c` double, none double").repartition(5)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.95, 1.0]
+    got = {(r.column, r.share): r.q for r in quantiles(long_values(df, df.columns), shares).collect()}
+    for c in ("a", "b.c"):
+        want = df.agg(F.percentile(F.col(f"`{c}`"), F.array(*map(F.lit, shares)))).first()[0]
+        assert [got[c, s] for s in shares] == pytest.approx(want, rel=1e-12)
+    assert len(got) == 12
+
+
+def test_null_keys_merge(spark):
+    rows = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
+    new = spark.createDataFrame([(None, 5), (3, 3)], "k int, v int")
+    once = H.merge_upsert(rows, new, ["k"])
+    assert sorted(map(str, H.merge_upsert(once, new, ["k"]).collect())) == sorted(map(str, once.collect())) and once.count() == 3
