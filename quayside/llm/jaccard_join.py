@@ -58,7 +58,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, words: str) -> DataFrame:
-    share = min(1.0, 1.3 * (1 - num / den) + 0.01)
+    share = min(1.0, 1.15 * (1 - num / den) + 0.01)
     border = np.uint64(int(share * 2**64) - 1 if share < 1 else 2**64 - 1)
 
     T.bound_batches(docs.sparkSession)
@@ -84,24 +84,23 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
 def _prefixes(postings: DataFrame, num: int, den: int) -> DataFrame:
     """``(node, size, key, pos)``: the shared shingles of each node's prefix and their places in its order.
 
-    ``postings``: ``(node, size, n_counted, i, key)``, the first ``n_counted`` of a node ordered by the number of nodes,
-    the others by ``i``.
+    ``postings``: ``(node, size, key)``, ordered by the number of nodes, or ``(node, size, n_counted, i, key)``, of which the
+    first ``n_counted`` of a node are, and the others by ``i``.
     """
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     mine = postings.join(shared.hint("shuffle_merge"), "key")
-    places = mine.groupBy("node", "size", "n_counted").agg(
-        F.array_sort(F.collect_list(F.when(F.col("i") < F.col("n_counted"), F.struct("df", "key")))).alias("first"),
-        F.collect_list(F.when(F.col("i") >= F.col("n_counted"), F.struct("i", "key"))).alias("later"),
-    )
-    alone = F.col("n_counted") - F.size("first")
     prefix = F.expr(f"size - cast(ceil(size * {num}L / {den}) as bigint) + 1")
-    located = places.select(
-        "node", "size", prefix.alias("prefix"),
-        F.concat(
-            F.transform("first", lambda x, i: F.struct((alone + i).cast("long").alias("pos"), x["key"].alias("key"))),
-            F.transform("later", lambda x: F.struct(x["i"].cast("long").alias("pos"), x["key"].alias("key"))),
-        ).alias("at"),
-    )
+    place = lambda alone: F.transform("first", lambda x, i: F.struct((alone + i).cast("long").alias("pos"), x["key"].alias("key")))
+    if "i" not in postings.columns:
+        places = mine.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("first"))
+        at = place(F.col("size") - F.size("first"))
+    else:
+        places = mine.groupBy("node", "size", "n_counted").agg(
+            F.array_sort(F.collect_list(F.when(F.col("i") < F.col("n_counted"), F.struct("df", "key")))).alias("first"),
+            F.collect_list(F.when(F.col("i") >= F.col("n_counted"), F.struct("i", "key"))).alias("later"),
+        )
+        at = F.concat(place(F.col("n_counted") - F.size("first")), F.transform("later", lambda x: F.struct(x["i"].cast("long").alias("pos"), x["key"].alias("key"))))
+    located = places.select("node", "size", prefix.alias("prefix"), at.alias("at"))
     return located.select("node", "size", "prefix", F.inline("at")).where("pos < prefix").drop("prefix")
 
 
@@ -233,16 +232,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty results. Other columns of ``docs`` are not looked at.
     """
     sig = materialize(_signatures(docs, id_col, text_col, n, num, den, words), "signatures")
-    slim = sig.select("id", "size", "hi", "lo")
     alike = sig.where("size > 0").groupBy("hi", "lo").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("counted").alias("counted"), F.first("others").alias("others"))
     nodes = materialize(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    slim = materialize(sig.select("id", "size", "hi", "lo"), "signatures")
+    discard(sig)
     part = nodes.select("node", "size", F.size("counted").alias("n_counted"), F.posexplode(F.concat("counted", "others")).alias("i", "key"))
     coarse = materialize(_prefixes(part, num, den), "prefixes")
     wanted = materialize(nodes.select("node", "hi", "lo").join(_met(coarse).select("node").distinct().hint("shuffle_merge"), "node", "left_semi"), "wanted")
-    discard(coarse)
+    lists, nodes = nodes, materialize(nodes.select("node", "hi", "lo", "least"), "nodes")
+    discard(coarse, lists)
     sets = materialize(_wanted_sets(docs, text_col, wanted, n, words), "sets", compression="lz4")
-    whole = sets.select("node", "size", F.col("size").cast("int").alias("n_counted"), F.posexplode("shingles").alias("i", "key"))
-    fine = materialize(_prefixes(whole, num, den), "prefixes")
+    fine = materialize(_prefixes(sets.select("node", "size", F.explode("shingles").alias("key")), num, den), "prefixes")
     met = materialize(_met(fine), "met")
     discard(wanted, fine)
     done = materialize(_verified(_star_pairs(met, num, den), sets, num, den), "verified")
