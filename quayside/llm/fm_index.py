@@ -353,7 +353,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         if hit.isEmpty():
             return clean
         pieces = hit.select("doc", F.col("doc").getField(text_col).cast("string").alias("text"), "spans", left.alias("left")).mapInArrow(cut, T.schema(found, "doc", "cut string, left long"))
-        current = pieces.where("left > 0").select([F.col("cut").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in columns])
+        # Written first: cutting and searching in one task would need two Python workers.
+        current = materialize(pieces.where("left > 0").select([F.col("cut").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in columns]), "cut")
 
 
 def op10_fm_decontamination(spark, sf_dir: str) -> DataFrame:
