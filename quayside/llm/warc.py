@@ -198,7 +198,7 @@ def write_archives(records: DataFrame, name: str = "warc", level: int = 4) -> Da
     return materialize(records.mapInArrow(run, "warc binary").select(F.monotonically_increasing_id().alias("archive"), "warc"), name, compression="none")
 
 
-_STEP = 1 << 16
+_STEP = 1 << 13
 _MEMBER = b"\x1f\x8b\x08"
 
 
