@@ -108,15 +108,13 @@ def _(t):
 def _(t):
     o = t.orders.select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 30).alias("bk"))
     loaded = o.where("o_orderdate < TIMESTAMP '1997-01-01'")
-    top = loaded.agg(F.max("o_orderdate").alias("w"))
-    fresh = o.join(F.broadcast(top), F.col("o_orderdate") > F.col("w"))
     dim = t.nation.select(F.col("n_nationkey").cast("bigint").alias("nk"), (F.col("n_nationkey") + 1000).cast("bigint").alias("sk"))
-    return E.add_surrogate_key(J.resolve_foreign_keys(fresh, dim, "bk", "nk", "sk", "nation_sk"), "fact_sk", ["o_orderdate", "o_orderkey"], 1).select("o_orderkey", "nation_sk", "fact_sk")
+    return H.fact_incremental(o, loaded, "o_orderdate", [(dim, "bk", "nk", "sk", "nation_sk")], "fact_sk", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "nation_sk", "fact_sk")
 
 
 @query("inc3_backfill", "SELECT ts::DATE AS slice, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
-    made = H.backfill(lambda d: d.groupBy("event_type").agg(F.count("*").alias("n")), t.events, "ts", "2024-01-01", "2024-02-05")
+    made = H.backfill(lambda d, by: d.groupBy(*by, "event_type").agg(F.count("*").alias("n")), t.events, "ts", "2024-01-01", "2024-02-05")
     path = scratch_path(t.spark, "backfill")
     overwrite_partitions(made, path, ["slice"])
     overwrite_partitions(made.where("slice = DATE '2024-01-02'"), path, ["slice"])  # a slice that runs again

@@ -36,7 +36,12 @@ def _(t):
     return N.reconstruction_anomaly(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 2).select("l_orderkey", "l_linenumber", "reconstruction_error", "is_anomaly")
 
 
-@query("ano5_dbscan")
+@query("ano5_dbscan", """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_size / 10 AS x, p_retailprice / 100 AS y FROM part),
+near AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 0.15::DOUBLE * 0.15::DOUBLE),
+core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 5), e AS (SELECT near.a, near.b FROM near JOIN core USING (a) JOIN core c ON c.a = near.b),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY 1),
+l AS (SELECT near.a AS id, min(cluster) AS cluster FROM near JOIN c ON c.id = near.b GROUP BY 1)
+SELECT p_partkey, coalesce(cluster, -1) AS cluster, core.a IS NOT NULL AS is_core FROM part LEFT JOIN l ON l.id = p_partkey LEFT JOIN core ON core.a = p_partkey""")
 def _(t):
     pts = t.part.select("p_partkey", (F.col("p_size") / 10).alias("x"), (F.col("p_retailprice") / 100).alias("y"))
     return N.dbscan(pts, "p_partkey", ["x", "y"], 0.15, 5)
@@ -66,10 +71,14 @@ SCORED = "sc AS (SELECT doc_id, lang, source, quality, toxic, (doc_id * 37 % 101
 AUC = "(SELECT sum(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*) FROM sc a, sc b WHERE a.quality = 1 AND b.quality = 0)"
 
 
-@query("ano7_calibrate_scores")
+@query("ano7_calibrate_scores", f"""WITH {SCORED}, g AS (SELECT score, sum(quality) AS y, count(*) AS n, row_number() OVER (ORDER BY score) AS k FROM sc GROUP BY score),
+c AS (SELECT k, sum(y) OVER (ORDER BY k) AS cy, sum(n) OVER (ORDER BY k) AS cn, y, n FROM g),
+m AS (SELECT a.k AS a, b.k AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM c a JOIN c b ON b.k >= a.k),
+l AS (SELECT a, b AS k, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM m), h AS (SELECT k, max(least) AS calibrated FROM l GROUP BY k)
+SELECT doc_id, round(sc.score, 6) AS score, round(calibrated, 6) AS calibrated FROM sc JOIN g ON g.score = sc.score JOIN h ON h.k = g.k""")
 def _(t):
     d = labelled(t)
-    return N.calibrate_scores(d, d, "score", "quality").select("doc_id", "score", "calibrated")
+    return N.calibrate_scores(d, d, "score", "quality").select("doc_id", F.round("score", 6).alias("score"), F.round("calibrated", 6).alias("calibrated"))
 
 
 @query("ano8_supervised_fraud")
@@ -83,6 +92,16 @@ def _(t):
     return S.forecast_series(daily(t), "s", "day", "y", 14)
 
 
+@query("tsf1_forecast_trend", f"""WITH {DAILY}, a AS (SELECT s, day, y, day - min(day) OVER (PARTITION BY s) AS t FROM fc), b AS (SELECT s, avg(t) AS mt, avg(y) AS my, max(day) AS z, min(day) AS first, count(*) AS n FROM a GROUP BY s),
+l AS (SELECT s, sum((t - mt) * (y - my)) / sum((t - mt) * (t - mt)) AS slope FROM a JOIN b USING (s) GROUP BY s),
+e AS (SELECT s, day, y, false AS is_future FROM fc UNION ALL SELECT s, z + k::INT, NULL, true FROM b, range(1, 15) r(k)),
+h AS (SELECT s, e.day, e.y, is_future, my + slope * ((e.day - first) - mt) AS yhat, n FROM e JOIN b USING (s) JOIN l USING (s)), d2 AS (SELECT s, sqrt(sum((y - yhat) * (y - yhat)) / (max(n) - 2)) AS sd FROM h GROUP BY s)
+SELECT s, day, round(yhat, 2) AS yhat, round(yhat + 1.96 * sd, 2) AS upper, coalesce(abs(y - yhat) > 1.96 * sd, false) AS is_anomaly, is_future FROM h JOIN d2 USING (s)""")
+def _(t):
+    f = S.forecast_series(daily(t), "s", "day", "y", 14, harmonics=0)
+    return f.select("s", "day", F.round("yhat", 2).alias("yhat"), F.round("upper", 2).alias("upper"), "is_anomaly", "is_future")
+
+
 @query("tsf2_global_forecaster")
 def _(t):
     d = daily(t).select("s", "day", "y")
@@ -190,7 +209,7 @@ def _(t):
     return M.time_series_split(t.orders.select("o_orderdate", "o_orderkey"), "o_orderdate", 3, 10).select("split", "role", "o_orderkey")
 
 
-@query("mod4_oversample")
+@query("mod4_oversample", "WITH c AS (SELECT quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1) SELECT quality, (SELECT max(n) FROM c) AS count FROM c")
 def _(t):
     return M.oversample(labelled(t), "quality").groupBy("quality").count()
 
@@ -200,6 +219,16 @@ def _(t):
     return M.smote(labelled(t), "doc_id", "quality", ["n", "w", "marks"], 0)
 
 
+@query("mod4_smote_ratio", "SELECT 0 AS quality, greatest(count(*) FILTER (quality <> 0) * 2 - count(*) FILTER (quality = 0), 0) AS n, true AS inside FROM documents JOIN labels USING (doc_id)")
+def _(t):
+    """How many new rows there are, and whether all lie within the bounds of their class."""
+    d = labelled(t)
+    made = M.smote(d, "doc_id", "quality", ["n", "w", "marks"], 0, ratio=2.0)
+    box = d.where("quality = 0").agg(*[f(c).alias(f"{p}_{c}") for c in ("n", "w", "marks") for p, f in (("a", F.min), ("b", F.max))])
+    inside = F.expr(" AND ".join(f"{c} >= a_{c} - 1e-6 AND {c} <= b_{c} + 1e-6" for c in ("n", "w", "marks")))
+    return made.crossJoin(F.broadcast(box)).agg(F.lit(0).alias("quality"), F.count("*").alias("n"), F.coalesce(F.every(inside), F.lit(True)).alias("inside"))
+
+
 @query("mod5_train_and_score")
 def _(t):
     d = labelled(t)
@@ -254,7 +283,7 @@ def _(t):
     return M.permutation_importance(d, M.train(d, "quality", cols, "logistic"), cols, "quality", "doc_id")
 
 
-@query("srv2_route_versions")
+@query("srv2_route_versions", "SELECT c_custkey, CASE WHEN ('0x' || left(md5(c_custkey::VARCHAR), 8))::BIGINT / 4294967296 < 0.8 THEN 'a' ELSE 'b' END AS version FROM customer")
 def _(t):
     return M.route_versions(t.customer, "c_custkey", {"a": 0.8, "b": 0.2}).select("c_custkey", "version")
 

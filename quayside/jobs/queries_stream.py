@@ -47,12 +47,21 @@ def _(t):
     return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
-@query("str4_sessions", "WITH g AS (SELECT *, (ts - lag(ts) OVER w >= INTERVAL 12 HOUR)::INT AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(coalesce(b, 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k")
+SESSIONS = "WITH g AS (SELECT *, (ts - lag(ts) OVER w >= INTERVAL 12 HOUR)::INT AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(coalesce(b, 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k"
+
+
+@query("str4_sessions", SESSIONS)
 def _(t):
     w = S.sessions(t.events, "ts", ["user_id"], "value", "12 hours")
     return w.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
+@query("str4_sessions_stream", SESSIONS)
+def _(t):
+    w = S.run_now(S.sessions(events(t), "ts", ["user_id"], "value", "12 hours", "40 days"), "complete")
+    return w.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
 @query("str5_dedupe_stream", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
     return S.run_now(S.dedupe_stream(events(t), ["user_id", "event_type"], "ts", "100 days").select("user_id", "event_type"), "append").select("user_id", "event_type")
@@ -65,6 +74,18 @@ def _(t):
     return t.spark.read.parquet(good).unionByName(t.spark.read.parquet(late)).agg(F.lit("all").alias("part"), F.count("*").alias("n"))
 
 
+@query("str6_split_late_parts", "WITH m AS (SELECT max(floor(epoch(ts))) AS latest FROM events WHERE user_id % 2 = 0) SELECT event_id, coalesce(user_id % 2 = 1 AND floor(epoch(ts)) < latest - 86400, false) AS is_late FROM events, m")
+def _(t):
+    """The events of even users come first; those of odd ones come to a second run, which goes on where the first stopped."""
+    path, good, late, check = (scratch_path(t.spark, n) for n in ("arrived", "good", "late", "check"))
+    for i in range(2):
+        t.events.where(f"user_id % 2 = {i}").write.mode("append").parquet(path)
+        arrived = S.stream_files(t.spark, path, t.events.schema, "parquet").select("event_id", "ts")
+        S.split_late(arrived, "ts", 86400, S.by_batch(good), S.by_batch(late), check).awaitTermination()
+    sides = [t.spark.read.parquet(p).select("event_id", F.lit(p == late).alias("is_late")) for p in (good, late)]
+    return sides[0].unionByName(sides[1])
+
+
 @query("str7_stream_transform", "SELECT event_id, upper(event_type) AS event_type FROM events WHERE value > 10")
 def _(t):
     steps = [{"name": "filter_by_condition", "params": {"condition": "value > 10"}}, {"name": "normalize_case", "params": {"columns": ["event_type"], "case": "upper"}}]
@@ -110,6 +131,48 @@ def _(t):
     return S.run_now(s, "update", keys=["user_id"]).select("user_id", "n", F.round("total", 3).alias("total"))
 
 
+ORDER_ROWS = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
+
+
+def round_trip(t, kind: str, writing: dict | None = None, **reading):
+    """Orders written in a format and read back."""
+    path = scratch_path(t.spark, kind)
+    t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice").write.format(kind).options(**(writing or {})).save(path)
+    return files.read_files(t.spark, path, kind, "o_orderkey long, o_orderstatus string, o_totalprice double", **reading)
+
+
+@query("src1_read_json_lines", ORDER_ROWS)
+def _(t):
+    return round_trip(t, "json")
+
+
+@query("src1_read_orc", ORDER_ROWS)
+def _(t):
+    return round_trip(t, "orc")
+
+
+@query("src1_read_xml", ORDER_ROWS)
+def _(t):
+    return round_trip(t, "xml", {"rowTag": "order", "rootTag": "orders"}, rowTag="order")
+
+
+@query("src1_read_text", "SELECT o_orderkey || '|' || o_orderstatus AS value FROM orders")
+def _(t):
+    path = scratch_path(t.spark, "text")
+    t.orders.select(F.concat_ws("|", "o_orderkey", "o_orderstatus").alias("value")).write.text(path)
+    return files.read_files(t.spark, path, "text")
+
+
+@query("src1_read_multiline_json", "SELECT o_orderkey, 'C' || o_custkey AS customer FROM orders")
+def _(t):
+    """Each file holds one array over many lines."""
+    path = scratch_path(t.spark, "multiline")
+    one = F.concat(F.lit('{\n  "o_orderkey": '), F.col("o_orderkey"), F.lit(',\n  "customer": "C'), F.col("o_custkey"), F.lit('"\n}'))
+    lists = t.orders.groupBy(F.pmod(F.col("o_orderkey"), F.lit(997)).alias("k")).agg(F.array_join(F.collect_list(one), ",\n").alias("a"))
+    lists.repartitionByRange(4, "k").select(F.concat(F.lit("[\n"), "a", F.lit("\n]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_files(t.spark, path, "json", "o_orderkey long, customer string", multiLine=True)
+
+
 @query("src3_read_merged_schema", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS o_totalprice FROM orders")
 def _(t):
     path = scratch_path(t.spark, "merged")
@@ -185,6 +248,21 @@ def _(t):
     return files.read_modified_since(t.spark, path, "parquet", "2000-01-01T00:00:00", "o_orderkey long")
 
 
+@query("src5_read_modified_since_mark", "SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1")
+def _(t):
+    """Even orders are written before the mark, odd ones after it; marks have whole seconds."""
+    import time
+
+    path = scratch_path(t.spark, "modified")
+    o = t.orders.select("o_orderkey")
+    o.where("o_orderkey % 2 = 0").write.parquet(path)
+    time.sleep(1.1)
+    mark = t.spark.sql("SELECT date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss\")").first()[0]
+    time.sleep(1.1)
+    o.where("o_orderkey % 2 = 1").write.mode("append").parquet(path)
+    return files.read_modified_since(t.spark, path, "parquet", mark, "o_orderkey long")
+
+
 @query("src8_read_jdbc", "SELECT n_nationkey AS \"K\", n_name AS \"NAME\" FROM nation")
 def _(t):
     url, driver = "jdbc:derby:memory:quayside_queries;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
@@ -200,6 +278,23 @@ def _(t):
     return files.read_files(t.spark, path, "orc")
 
 
+@query("src11_write_table_lineitem", "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem")
+def _(t):
+    """All lines, then the first of each order once more, into partitions of ORC files."""
+    path, li = scratch_path(t.spark, "written"), t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
+    files.write_table(li, path, "orc", partition_by=["l_returnflag"])
+    files.write_table(li.where("l_linenumber = 1"), path, "orc", partition_by=["l_returnflag"])
+    return files.read_files(t.spark, path, "orc")
+
+
+@query("qty2_contract_breaches", "SELECT count(*) AS n, unnest(['o_missing: missing instead of int', 'o_orderkey: bigint instead of string', count(*) || ' rows, fewer than ' || (count(*) + 1)]) AS breach FROM orders")
+def _(t):
+    from quayside.operators.quality import enforce_contract
+
+    got = enforce_contract(t.orders, columns={"o_missing": "int", "o_orderkey": "string", "o_custkey": dict(t.orders.dtypes)["o_custkey"]}, min_rows=t.orders.count() + 1)
+    return t.spark.createDataFrame([(got["rows"], b) for b in got["breaches"]], "n long, breach string")
+
+
 @query("qty2_enforce_contract", "SELECT count(*) AS n, 1 AS breaches FROM orders")
 def _(t):
     from quayside.operators.quality import enforce_contract
@@ -218,11 +313,9 @@ def _(t):
 
 @query("fea22_materialize_features", "SELECT user_id, arg_max(value, {'t': ts, 'v': value}) AS value FROM events GROUP BY 1")
 def _(t):
-    from quayside.operators.features import read_features
-    from quayside.operators.history import merge_upsert
-    from quayside.operators.joins import latest_per_key
+    from quayside.operators.features import materialize_features, read_features
 
     e = t.events.select("user_id", F.col("ts").alias("feature_ts"), "value")
-    early = latest_per_key(e.where("feature_ts < TIMESTAMP '2024-01-15'"), ["user_id"], "feature_ts")
-    late = latest_per_key(e.where("feature_ts >= TIMESTAMP '2024-01-15'"), ["user_id"], "feature_ts")
-    return read_features(e.select("user_id").distinct(), merge_upsert(early, late, ["user_id"]), ["user_id"], ["value"])
+    late = materialize_features(None, e.where("feature_ts >= TIMESTAMP '2024-01-15'"), scratch_path(t.spark, "features"), ["user_id"], ["value"])
+    table = materialize_features(late, e.where("feature_ts < TIMESTAMP '2024-01-15'"), scratch_path(t.spark, "features"), ["user_id"], ["value"])
+    return read_features(e.select("user_id").distinct(), table, ["user_id"], ["value"])

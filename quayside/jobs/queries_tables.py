@@ -300,7 +300,7 @@ def _(t):
     return X.bucketize(t.lineitem.where("l_quantity >= 1"), "l_quantity", [1, 10, 25, 40], "b").select("l_orderkey", "l_linenumber", "b")
 
 
-@query("fea3_one_hot")
+@query("fea3_one_hot", "WITH f AS (SELECT p_brand, (row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1)::DOUBLE AS brand_index FROM part GROUP BY 1) SELECT p_partkey, brand_index, '(' || (SELECT count(*) FROM f) || ',[' || brand_index::INT || '],[1.0])' AS brand FROM part JOIN f USING (p_brand)")
 def _(t):
     return X.one_hot(t.part.select("p_partkey", "p_brand"), "p_brand", "brand").select("p_partkey", "brand_index", F.col("brand").cast("string").alias("brand"))
 
@@ -356,7 +356,9 @@ def _(t):
     return t.customer.select("c_custkey", F.round(X.haversine(lat, lon, F.lit(40.0), F.lit(-74.0)), 3).alias("km"))
 
 
-@query("fea14_geohash")
+@query("fea14_geohash", """WITH p AS (SELECT c_custkey, least(floor(((c_custkey * 13 % 3600 / 10 - 180) + 180.0::DOUBLE) / 360 * 32768), 32767)::BIGINT AS x, least(floor(((c_custkey * 7 % 1700 / 10 - 85) + 90.0::DOUBLE) / 180 * 32768), 32767)::BIGINT AS y FROM customer),
+b AS (SELECT c_custkey, d, sum(((CASE WHEN (5 * d + k) % 2 = 0 THEN x ELSE y END >> (14 - (5 * d + k) // 2)::BIGINT) & 1) << (4 - k)::BIGINT) AS v FROM p, range(6) r(d), range(5) q(k) GROUP BY ALL)
+SELECT c_custkey, string_agg(substr('0123456789bcdefghjkmnpqrstuvwxyz', v::INT + 1, 1), '' ORDER BY d) AS cell FROM b GROUP BY 1""")
 def _(t):
     lat, lon = (F.col("c_custkey") * 7 % 1700 / 10 - 85).cast("double"), (F.col("c_custkey") * 13 % 3600 / 10 - 180).cast("double")
     return t.customer.select("c_custkey", X.geohash(lat, lon, 6).alias("cell"))
@@ -382,6 +384,14 @@ def _(t):
     return X.robust_scale(t.customer, ["c_acctbal"], True).select("c_custkey", F.round("c_acctbal_scaled", 6).alias("v"))
 
 
+@query("fea19_standard_scale", "WITH m AS (SELECT avg(l_quantity) a, stddev_samp(l_quantity) b, avg(l_extendedprice) c, stddev_samp(l_extendedprice) d FROM lineitem) SELECT l_orderkey, l_linenumber, round((l_quantity - a) / b, 6) AS q, round((l_extendedprice - c) / d, 6) AS p FROM lineitem, m")
+def _(t):
+    from pyspark.ml.functions import vector_to_array
+
+    v = X.standard_scale(X.assemble(t.lineitem, ["l_quantity", "l_extendedprice"], "v"), "v", "s").withColumn("a", vector_to_array("s"))
+    return v.select("l_orderkey", "l_linenumber", F.round(F.col("a")[0], 6).alias("q"), F.round(F.col("a")[1], 6).alias("p"))
+
+
 @query("fea19_scale_and_pca")
 def _(t):
     v = X.standard_scale(X.assemble(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], "v"), "v", "s")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.graph import connected_components
 from quayside.functions.scratch import materialize
+from quayside.operators.enrichment import number_within
 from quayside.operators.quantiles import quantile_row
 from quayside.operators.features import assemble
 
@@ -35,7 +36,8 @@ def fraud_cases(flagged: DataFrame, key: str, score: str, bands: dict[str, float
     for name, least in reversed(ordered):
         band = F.when(F.col(score) >= least, name).otherwise(band)
     cases = flagged.withColumn("priority", band).where("priority is not null")
-    turn = F.row_number().over(Window.partitionBy("priority").orderBy(F.desc(score), key)) - 1
+    cases = number_within(cases.withColumn("_least", -F.col(score)), "priority", ["_least", key], "_turn")
+    turn = F.col("_turn")
     names = F.array(*[F.lit(a) for a in assignees])
     return cases.select(key, score, "priority", F.lit("open").alias("status"), F.element_at(names, (turn % len(assignees)).cast("int") + 1).alias("assignee"), F.concat(F.lit("case-"), F.substr(F.sha2(F.col(key).cast("string"), 256), F.lit(1), F.lit(12))).alias("case_id"))
 

@@ -30,6 +30,16 @@ def number_rows(df: DataFrame, order_by: list[str], name: str, start: int = 0) -
     return placed.join(F.broadcast(before), "_file").withColumn(name, F.col("_before") + F.col("_at") + start).drop("_file", "_at", "_before")
 
 
+def number_within(df: DataFrame, group: str, order_by: list[str], name: str, size: str | None = None) -> DataFrame:
+    """Numbers from 0 within each value of ``group`` (null is one), in the order of columns, and the rows of the group as
+    ``size``. No task sees a whole group: all rows are numbered by group and order, less the group's first number."""
+    numbered = number_rows(df, [group, *order_by], name)
+    of_group = numbered.groupBy(F.col(group).alias("_group")).agg(F.min(name).alias("_first"), F.count("*").alias("_size"))
+    both = numbered.join(of_group, F.col(group).eqNullSafe(F.col("_group")))
+    both = both.withColumn(name, F.col(name) - F.col("_first"))
+    return (both.withColumn(size, F.col("_size")) if size else both).drop("_group", "_first", "_size")
+
+
 def add_surrogate_key(df: DataFrame, name: str, order_by: list[str] | None = None, start: int = 0) -> DataFrame:
     """Unique growing numbers; dense and in order if ``order_by`` is given."""
     if order_by:

@@ -8,6 +8,7 @@ from pyspark.ml.feature import PCA, CountVectorizer, FeatureHasher, OneHotEncode
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.functions.scratch import materialize
 from quayside.operators.joins import asof_join, latest_per_key
 from quayside.operators.quantiles import quantile_row
 
@@ -73,7 +74,7 @@ def count_vectorize(df: DataFrame, tokens: str, vocabulary: int = 10000, min_df:
 def tfidf(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """``(key, term, tf, df, tfidf)`` with tf * ln((N + 1) / (df + 1)); document frequencies are counted over all rows."""
     n = df.agg(F.count("*").alias("_n"))
-    tf = df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = materialize(df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "terms")
     dfs = tf.groupBy("term").agg(F.count("*").alias("df"))
     return tf.join(dfs, "term").crossJoin(F.broadcast(n)).select(key, "term", "tf", "df", (F.col("tf") * F.log((F.col("_n") + 1) / (F.col("df") + 1))).alias("tfidf"))
 
@@ -178,6 +179,15 @@ def holiday_features(df: DataFrame, date: str, calendar: DataFrame, day: str = "
     return out.select(*df.columns, (F.coalesce(F.col("_h.a") == 0, F.lit(False))).alias("is_holiday"), F.when(F.col("_h.a") == 0, F.col("_h.n")).alias("holiday_name"), (-F.col("_h.s")).alias("days_to_holiday"))
 
 
+def materialize_features(table: DataFrame | None, batch: DataFrame, path: str, keys: list[str], columns: list[str], feature_ts: str = "feature_ts") -> DataFrame:
+    """A feature table with a batch taken in, written to ``path`` and read back: the newest row for each key, whether it
+    comes from ``table`` (None at first) or from the batch, so batches may come late or twice."""
+    kept = [*keys, feature_ts, *columns]
+    both = batch.select(*kept) if table is None else table.select(*kept).unionByName(batch.select(*kept))
+    latest_per_key(both, keys, feature_ts).select(*kept).write.mode("overwrite").parquet(path)
+    return batch.sparkSession.read.parquet(path)
+
+
 def read_features(entities: DataFrame, features: DataFrame, keys: list[str], columns: list[str], ts: str | None = None, feature_ts: str = "feature_ts") -> DataFrame:
     """Features of entities: the newest, or those as of each entity row's time."""
     if ts:

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.operators.enrichment import add_surrogate_key
+from quayside.operators.joins import resolve_foreign_keys
+
 OPEN_END = "9999-12-31"
 
 
@@ -133,13 +136,25 @@ def date_slices(start: str, end: str, days: int) -> list[tuple[str, str]]:
     return out
 
 
-def backfill(job: Callable[[DataFrame], DataFrame], df: DataFrame, ts: str, start: str, end: str, days: int = 1) -> DataFrame:
-    """A job over the slices of a range of days, as one plan; write it with ``overwrite_partitions``."""
-    made = [job(df.where((F.col(ts) >= F.lit(a).cast("timestamp_ntz")) & (F.col(ts) < F.lit(b).cast("timestamp_ntz")))).withColumn("slice", F.lit(a).cast("date")) for a, b in date_slices(start, end, days)]
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionByName(m)
-    return out
+def backfill(job: Callable[[DataFrame, list[str]], DataFrame], df: DataFrame, ts: str, start: str, end: str, days: int = 1) -> DataFrame:
+    """A job over the slices of a range of days, each named by its first day in ``slice``; write it with
+    ``overwrite_partitions``. The rows are read once: ``job`` gets those of the whole range and the columns that tell the
+    slices apart, by which it groups. Rows without a time are in no slice."""
+    day = F.col(ts).cast("date")
+    first = F.lit(start).cast("date")
+    at = F.date_add(first, (F.floor(F.date_diff(day, first) / days) * days).cast("int"))
+    return job(df.where((day >= first) & (day < F.lit(end).cast("date"))).withColumn("slice", at), ["slice"])
+
+
+def fact_incremental(source: DataFrame, loaded: DataFrame, watermark: str, dimensions: list[tuple[DataFrame, str, str, str, str]], surrogate: str, order_by: list[str], start: int = 1) -> DataFrame:
+    """The rows of ``source`` newer than the newest of ``loaded`` (all, if it is empty), with the keys of their dimensions,
+    each given as (dimension, foreign key, its natural key, its surrogate key, new column) with -1 where there is none,
+    and with surrogate keys of their own from ``start``."""
+    top = loaded.agg(F.max(watermark).alias("_w"))
+    fresh = source.join(F.broadcast(top), F.col("_w").isNull() | (F.col(watermark) > F.col("_w"))).drop("_w")
+    for dimension, fk, nk, sk, name in dimensions:
+        fresh = resolve_foreign_keys(fresh, dimension, fk, nk, sk, name)
+    return add_surrogate_key(fresh, surrogate, order_by, start)
 
 
 def catchup_slices(done: DataFrame, sources: DataFrame, source: str, day: str, start: str, now: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.scratch import materialize
-from quayside.operators.enrichment import number_rows
+from quayside.operators.enrichment import number_rows, number_within
 from quayside.operators.features import assemble
 from quayside.operators.quantiles import long_values, quantiles
 
@@ -24,15 +24,15 @@ def _place(key: str) -> Column:
 
 def stratified_split(df: DataFrame, label: str, key: str, ratio: float = 0.8) -> DataFrame:
     """``split``: train for the first share of each class in hash order, test for the rest."""
-    w = Window.partitionBy(label)
-    n = F.row_number().over(w.orderBy(_place(key), key))
-    return df.withColumn("split", F.when(n <= F.floor(F.count("*").over(w) * ratio), "train").otherwise("test"))
+    placed = number_within(df.withColumn("_place", _place(key)), label, ["_place", key], "_n", "_all")
+    return placed.withColumn("split", F.when(F.col("_n") < F.floor(F.col("_all") * ratio), "train").otherwise("test")).drop("_place", "_n", "_all")
 
 
 def assign_folds(df: DataFrame, key: str, k: int, label: str | None = None) -> DataFrame:
     """``fold`` 0 to k - 1: in turn within each class, or by the hash itself without one (no window over all rows)."""
     if label:
-        return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(_place(key), key)) - 1) % k).cast("int"))
+        placed = number_within(df.withColumn("_place", _place(key)), label, ["_place", key], "_n")
+        return placed.withColumn("fold", (F.col("_n") % k).cast("int")).drop("_place", "_n")
     return df.withColumn("fold", (F.conv(F.substr(_place(key), F.lit(1), F.lit(8)), 16, 10).cast("long") % k).cast("int"))
 
 
@@ -46,20 +46,41 @@ def time_series_split(df: DataFrame, ts: str, splits: int, gap: int = 0) -> Data
 
 
 def oversample(df: DataFrame, label: str, ratio: float = 1.0, seed: int = 1) -> DataFrame:
-    """The rare class (0/1) repeated at random until it has ``ratio`` times the rows of the other."""
+    """The rare class (0/1) repeated until it has ``ratio`` times the rows of the other: each of its rows equally often, but
+    for the remainder, which goes to rows in a hash order of all columns."""
     n = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     rare = min(n, key=n.get)
-    want = ratio * max(n.values()) / n[rare] - 1
-    return df if want <= 0 else df.unionByName(df.where(F.col(label) == rare).sample(True, want, seed))
+    want = round(ratio * max(n.values())) - n[rare]
+    if want <= 0:
+        return df
+    more = _times(df.where(F.col(label) == rare).withColumn("_h", F.xxhash64(*df.columns, F.lit(seed))), ["_h"], want, n[rare])
+    return df.unionByName(more.select(*df.columns))
 
 
-def smote(df: DataFrame, key: str, label: str, columns: list[str], rare, k: int = 3, seed: int = 1) -> DataFrame:
-    """Rows of the rare class and as many new ones between them and one of their k nearest of the same class."""
+def _times(df: DataFrame, order_by: list[str], want: int, n: int) -> DataFrame:
+    """``want`` rows made of the ``n`` of ``df``, which differ by at most one in how often they come; ``_copy`` counts from 1."""
+    numbered = number_rows(df, order_by, "_n")
+    often = F.lit(want // n) + F.when(F.col("_n") < want % n, 1).otherwise(0)
+    return numbered.withColumn("_copy", F.explode(F.when(often > 0, F.sequence(F.lit(1), often.cast("int"))))).drop("_n")
+
+
+def smote(df: DataFrame, key: str, label: str, columns: list[str], rare, k: int = 3, seed: int = 1, ratio: float | None = None) -> DataFrame:
+    """New rows of the rare class, each between a row of it and one of that row's k nearest of the same class: one for each
+    row, or so many that the class then has ``ratio`` times the rows of all other classes."""
     from quayside.operators.recommend import nearest_neighbours
 
     v = df.where(F.col(label) == rare).select(F.col(key).cast("long").alias(key), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
-    near = nearest_neighbours(v, v, key, "v", k).where(F.col("rank") == F.pmod(F.xxhash64("query", F.lit(seed)), F.lit(k)) + 1)
-    u = F.pmod(F.xxhash64("query", "neighbour", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    base = v.withColumn("_copy", F.lit(1))
+    if ratio is not None:
+        n = df.agg(F.count(F.when(F.col(label) == rare, 1)).alias("r"), F.count(F.when(F.col(label) != rare, 1)).alias("o")).first()
+        want = round(ratio * n["o"]) - n["r"]
+        base = _times(v, [key], want, n["r"]) if n["r"] and want > 0 else base.limit(0)
+    near = nearest_neighbours(v, v, key, "v", k)
+    most = near.groupBy("query").agg(F.max("rank").alias("_most"))
+    turn = F.pmod(F.xxhash64("query", "_copy", F.lit(seed)), F.col("_most")) + 1
+    picked = base.select(F.col(key).alias("query"), "_copy").join(most, "query").withColumn("rank", turn.cast("int"))
+    near = picked.join(near.withColumn("rank", F.col("rank").cast("int")), ["query", "rank"])
+    u = F.pmod(F.xxhash64("query", "neighbour", "_copy", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     a, b = v.select(F.col(key).alias("query"), F.col("v").alias("a")), v.select(F.col(key).alias("neighbour"), F.col("v").alias("b"))
     made = near.join(a, "query").join(b, "neighbour").withColumn("u", u)
     return made.select(*[(F.col("a")[i] + F.col("u") * (F.col("b")[i] - F.col("a")[i])).alias(c) for i, c in enumerate(columns)], F.lit(rare).alias(label))

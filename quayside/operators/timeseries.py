@@ -19,31 +19,43 @@ def _design(t: np.ndarray, period: int, harmonics: int) -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
-def forecast_series(df: DataFrame, series: str, date: str, y: str, periods: int, period: int = 7, harmonics: int = 2, z: float = 1.96) -> DataFrame:
-    """``series, date, y, yhat, lower, upper, is_anomaly, is_future`` per day: least squares on trend and seasons, one
-    series a group, with an interval from the residuals. A series of fewer days than the model has terms gets its mean."""
+def forecast_series(df: DataFrame, series: str, date: str, y: str, periods: int, period: int = 7, harmonics: int = 2, z: float = 1.96, regressors: list[str] | None = None, future: DataFrame | None = None) -> DataFrame:
+    """``series, date, y, yhat, lower, upper, is_anomaly, is_future`` per day: least squares on trend, seasons and the means
+    of the day's ``regressors``, one series a group, with an interval from the residuals. A series of fewer days than the
+    model has terms gets its mean. ``future`` has the regressors of days to come (series, date, regressors); a value that a
+    day lacks is that of the day before, at the beginning the first one there is, and 0 in a series without any."""
+    extra = [f"x{i}" for i in range(len(regressors or []))]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d")
+        known, pdf = pdf.set_index(pd.to_datetime(pdf["d"]))[extra].astype(float), pdf[pdf["y"].notna()]
+        if pdf.empty:
+            return pd.DataFrame({c: [] for c in (series, date, y, "yhat", "lower", "upper", "is_anomaly", "is_future")})
         day = pd.to_datetime(pdf["d"])
         t = (day - day.iloc[0]).dt.days.to_numpy(float)
         v = pdf["y"].to_numpy(float)
         ahead = t[-1] + np.arange(1, periods + 1)
         every = np.concatenate((t, ahead))
-        x = _design(t, period, harmonics)
+        dates = [day.iloc[0] + pd.Timedelta(days=int(k)) for k in every]
+        known = known.reindex(known.index.union(dates)).ffill().bfill().fillna(0.0).loc[dates].to_numpy()
+        design = np.hstack((_design(every, period, harmonics), known))
+        x = design[: len(t)]
         if len(t) > x.shape[1]:
             beta = np.linalg.lstsq(x, v, rcond=None)[0]
-            hat = _design(every, period, harmonics) @ beta
+            hat = design @ beta
             s = float(np.sqrt(((v - hat[: len(t)]) ** 2).sum() / (len(t) - x.shape[1])))
         else:
             hat, s = np.full(len(every), v.mean()), float(v.std())
-        dates = [(day.iloc[0] + pd.Timedelta(days=int(k))).date() for k in every]
         actual = np.concatenate((v, np.full(periods, np.nan)))
         odd = np.abs(actual - hat) > z * s
-        return pd.DataFrame({series: pdf["s"].iloc[0], date: dates, y: pd.Series(actual), "yhat": hat, "lower": hat - z * s, "upper": hat + z * s, "is_anomaly": odd & (np.arange(len(every)) < len(t)), "is_future": np.arange(len(every)) >= len(t)})
+        return pd.DataFrame({series: pdf["s"].iloc[0], date: [d.date() for d in dates], y: pd.Series(actual), "yhat": hat, "lower": hat - z * s, "upper": hat + z * s, "is_anomaly": odd & (np.arange(len(every)) < len(t)), "is_future": np.arange(len(every)) >= len(t)})
 
     kind = df.schema[series].dataType.simpleString()
-    daily = df.where(F.col(y).isNotNull() & F.col(date).isNotNull()).groupBy(F.col(series).alias("s"), F.col(date).cast("date").alias("d")).agg(F.sum(F.col(y).cast("double")).alias("y"))
+    daily = df.where(F.col(y).isNotNull() & F.col(date).isNotNull()).groupBy(F.col(series).alias("s"), F.col(date).cast("date").alias("d")).agg(F.sum(F.col(y).cast("double")).alias("y"), *[F.avg(F.col(c).cast("double")).alias(x) for c, x in zip(regressors or [], extra)])
+    if future is not None:
+        values = [F.avg(F.col(c).cast("double")).alias(x) for c, x in zip(regressors or [], extra)]
+        ahead = future.where(F.col(date).isNotNull()).groupBy(F.col(series).alias("s"), F.col(date).cast("date").alias("d")).agg(F.lit(None).cast("double").alias("y"), *values)
+        daily = daily.unionByName(ahead.join(daily.select("s", "d"), ["s", "d"], "left_anti"))
     return daily.groupBy("s").applyInPandas(fit, f"{series} {kind}, {date} date, {y} double, yhat double, lower double, upper double, is_anomaly boolean, is_future boolean")
 
 

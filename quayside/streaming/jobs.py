@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quayside.functions.scratch import scratch_path
+from quayside.functions.scratch import remove, scratch_path
 from quayside.operators.history import compact_changes
 from quayside.sources.files import write_table
 
@@ -109,12 +109,14 @@ def stream_upsert(df: DataFrame, path: str, keys: list[str], seq: list[str], che
     """Keep the last change per key in versions ``path/v=<batch>``; ``upserted`` reads the rows that are not deleted.
 
     Deletes stay as marks, so batches may come in any order of ``seq``. Each batch reads the version before and writes its
-    own whole, so a batch that runs again writes the same.
+    own whole, so a batch that runs again writes the same; versions older than the one before are removed.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         every = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v={number - 1}").unionByName(batch) if number else batch
         write_table(compact_changes(every, keys, seq), f"{path}/v={number}", mode="overwrite")
+        if number > 1:
+            remove(batch.sparkSession, f"{path}/v={number - 2}")
 
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
