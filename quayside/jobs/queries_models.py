@@ -47,13 +47,17 @@ def _(t):
     return N.dbscan(pts, "p_partkey", ["x", "y"], 0.15, 5)
 
 
-@query("ano6_linked_entities", "WITH RECURSIVE v AS (SELECT DISTINCT user_id % 400 AS e, (event_id * 7919) % 12000 AS a FROM events WHERE event_id % 9 = 0), p AS (SELECT DISTINCT x.e AS s, y.e AS d FROM v x JOIN v y USING (a)), r AS (SELECT s, d FROM p UNION SELECT r.s, p.d FROM r JOIN p ON r.d = p.s) SELECT s AS e, min(d) AS \"group\" FROM r GROUP BY 1")
+REACHED = 'r AS (SELECT s, d FROM p UNION SELECT r.s, p.d FROM r JOIN p ON r.d = p.s)'
+
+
+@query("ano6_linked_entities", f"WITH RECURSIVE v AS (SELECT DISTINCT l_orderkey AS e, l_partkey, l_shipdate FROM lineitem), p AS (SELECT DISTINCT x.e AS s, y.e AS d FROM v x JOIN v y USING (l_partkey, l_shipdate)), {REACHED} SELECT s AS e, min(d) AS \"group\" FROM r GROUP BY 1")
 def _(t):
-    v = t.events.where("event_id % 9 = 0").select((F.col("user_id") % 400).alias("e"), (F.col("event_id") * 7919 % 12000).alias("a"))
+    """Orders that ship the same part on the same day."""
+    v = t.lineitem.select(F.col("l_orderkey").alias("e"), F.concat_ws("|", "l_partkey", "l_shipdate").alias("a"))
     return N.linked_entities(v, "e", ["a"])
 
 
-@query("ano6_linked_entities_whole")
+@query("ano6_linked_entities_whole", f"WITH RECURSIVE v AS (SELECT user_id, min(user_id) OVER (PARTITION BY event_type, value) AS h FROM events), p AS (SELECT user_id AS s, h AS d FROM v UNION SELECT h, user_id FROM v), {REACHED} SELECT s AS user_id, min(d) AS \"group\" FROM r GROUP BY 1")
 def _(t):
     """All users, linked by an equal value of an event of the same type."""
     return N.linked_entities(t.events.select("user_id", F.to_json(F.struct("event_type", "value")).alias("a")), "user_id", ["a"])

@@ -96,12 +96,14 @@ def _(t):
     return J.orphans(t.orders.select("o_orderkey", (F.col("o_custkey") % 30).alias("bk")), t.nation.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey")), "bk", "n_nationkey").select("o_orderkey")
 
 
-@query("jon5_ranking_features", "WITH i AS (SELECT o_custkey % 100 AS u, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey), pop AS (SELECT p, count(*) n FROM i GROUP BY 1) SELECT c_custkey % 100 AS u, p_partkey AS p, round(c_acctbal * p_retailprice, 3) AS affinity, coalesce(n, 0) AS popularity, round(ln(1 + coalesce(n, 0)), 6) AS log_popularity FROM customer JOIN part ON p_partkey % 50 = c_custkey % 50 LEFT JOIN pop ON pop.p = p_partkey WHERE c_custkey < 100")
+@query("jon5_ranking_features", "WITH pop AS (SELECT l_partkey AS p, count(*) n FROM lineitem GROUP BY 1), c AS (SELECT c_custkey AS u, c_acctbal, (c_custkey * 31 + j * 17) % (SELECT count(*) FROM part) + 1 AS p FROM customer, range(20) r(j)) SELECT u, p, round(c_acctbal * p_retailprice, 3) AS affinity, coalesce(n, 0) AS popularity, round(ln(1 + coalesce(n, 0)), 6) AS log_popularity FROM c LEFT JOIN part ON p_partkey = p LEFT JOIN pop USING (p)")
 def _(t):
-    inter = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") % 100).alias("u"), F.col("l_partkey").alias("p"))
-    users = t.customer.where("c_custkey < 100").select((F.col("c_custkey") % 100).alias("u"), "c_acctbal")
+    """All customers, each with twenty parts, some of which nobody ordered."""
+    inter = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("p"))
+    users = t.customer.select(F.col("c_custkey").alias("u"), "c_acctbal")
     items = t.part.select(F.col("p_partkey").alias("p"), "p_retailprice")
-    cand = users.select("u", (F.col("u") % 50).alias("m")).join(items.select("p", (F.col("p") % 50).alias("m")), "m").select("u", "p")
+    made = users.crossJoin(F.broadcast(t.part.agg(F.count("*").alias("k")))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    cand = made.select("u", ((F.col("u") * 31 + F.col("j") * 17) % F.col("k") + 1).alias("p"))
     out = J.ranking_features(cand, users, items, inter, "u", "p", "c_acctbal", "p_retailprice")
     return out.select("u", "p", F.round("affinity", 3).alias("affinity"), "popularity", F.round("log_popularity", 6).alias("log_popularity"))
 

@@ -23,14 +23,13 @@ def forecast_series(df: DataFrame, series: str, date: str, y: str, periods: int,
     """``series, date, y, yhat, lower, upper, is_anomaly, is_future`` per day: least squares on trend, seasons and the means
     of the day's ``regressors``, one series a group, with an interval from the residuals. A series of fewer days than the
     model has terms gets its mean. ``future`` has the regressors of days to come (series, date, regressors); a value that a
-    day lacks is that of the day before, at the beginning the first one there is, and 0 in a series without any."""
+    day lacks is that of the day before, at the beginning the first one there is, and 0 in a series without any. Series that only
+    ``future`` has get no forecast."""
     extra = [f"x{i}" for i in range(len(regressors or []))]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d")
         known, pdf = pdf.set_index(pd.to_datetime(pdf["d"]))[extra].astype(float), pdf[pdf["y"].notna()]
-        if pdf.empty:
-            return pd.DataFrame({c: [] for c in (series, date, y, "yhat", "lower", "upper", "is_anomaly", "is_future")})
         day = pd.to_datetime(pdf["d"])
         t = (day - day.iloc[0]).dt.days.to_numpy(float)
         v = pdf["y"].to_numpy(float)
@@ -55,7 +54,7 @@ def forecast_series(df: DataFrame, series: str, date: str, y: str, periods: int,
     if future is not None:
         values = [F.avg(F.col(c).cast("double")).alias(x) for c, x in zip(regressors or [], extra)]
         ahead = future.where(F.col(date).isNotNull()).groupBy(F.col(series).alias("s"), F.col(date).cast("date").alias("d")).agg(F.lit(None).cast("double").alias("y"), *values)
-        daily = daily.unionByName(ahead.join(daily.select("s", "d"), ["s", "d"], "left_anti"))
+        daily = daily.unionByName(ahead.join(daily.select("s").distinct(), "s", "left_semi").join(daily.select("s", "d"), ["s", "d"], "left_anti"))
     return daily.groupBy("s").applyInPandas(fit, f"{series} {kind}, {date} date, {y} double, yhat double, lower double, upper double, is_anomaly boolean, is_future boolean")
 
 
