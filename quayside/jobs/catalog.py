@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayside.jobs import queries_basic, queries_history, queries_models, queries_stream, queries_tables  # noqa: F401  they register
+from quayside.jobs import queries_basic, queries_exact, queries_history, queries_models, queries_stream, queries_tables  # noqa: F401  they register
 from quayside.jobs.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
