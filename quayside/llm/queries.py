@@ -11,6 +11,7 @@ from quayside.llm.media import op9_media_columns
 from quayside.llm.packing import op3_ffd_packing
 from quayside.llm.quality import op4_nbsvm_quality
 from quayside.llm.sharding import op8_feistel_shards
+from quayside.llm.spelling import OP12_SQL, op12_spelling_variants
 from quayside.llm.tool_calls import OP5_SQL, op5_tool_call_links
 from quayside.llm.warc import op2_arc_to_warc
 
@@ -27,6 +28,7 @@ QUERIES = {
         op5_tool_call_links,
         op8_feistel_shards,
         op9_media_columns,
+        op12_spelling_variants,
         op13_source_divergence,
     ]
 }
@@ -34,5 +36,6 @@ SQL = {
     "op5_tool_call_links": OP5_SQL,
     "op6_ngram_jaccard_join": OP6_SQL,
     "op10_fm_decontamination": OP10_SQL,
+    "op12_spelling_variants": OP12_SQL,
     "op13_source_divergence": OP13_SQL,
 }
