@@ -9,6 +9,7 @@ from quayside.llm.langid import op7_language_families
 from quayside.llm.licenses import op1_license_scan
 from quayside.llm.media import op9_media_columns
 from quayside.llm.packing import op3_ffd_packing
+from quayside.llm.private import OP11_SQL, op11_contextual_pii
 from quayside.llm.quality import op4_nbsvm_quality
 from quayside.llm.sharding import op8_feistel_shards
 from quayside.llm.spelling import OP12_SQL, op12_spelling_variants
@@ -28,6 +29,7 @@ QUERIES = {
         op5_tool_call_links,
         op8_feistel_shards,
         op9_media_columns,
+        op11_contextual_pii,
         op12_spelling_variants,
         op13_source_divergence,
     ]
@@ -36,6 +38,7 @@ SQL = {
     "op5_tool_call_links": OP5_SQL,
     "op6_ngram_jaccard_join": OP6_SQL,
     "op10_fm_decontamination": OP10_SQL,
+    "op11_contextual_pii": OP11_SQL,
     "op12_spelling_variants": OP12_SQL,
     "op13_source_divergence": OP13_SQL,
 }
