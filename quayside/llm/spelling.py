@@ -112,7 +112,9 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for number, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             letters = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
-            powers = np.concatenate(([1], np.full(len(letters) - 1, _BASE, np.uint64))).astype(np.uint64).cumprod()
+            powers = np.full(len(letters), _BASE, np.uint64)
+            powers[0] = 1
+            powers = powers.cumprod()
             sums = np.concatenate((np.zeros(1, np.uint64), (letters * powers).cumsum()))
             found = np.concatenate((sums[-1:], sums[:-1] + (sums[-1] - sums[1:]) * inverse)).view(np.int64)
             for a in range(0, len(found), 50_000):
