@@ -2,8 +2,8 @@
 
 The automaton runs over the words of a whole text, lower-cased and one blank apart, and finds phrases of words wherever
 they stand, overlapping ones too. Identifier tags are found by the same automaton; the expression after a tag is read
-from the original text up to the end of its line and turned into reverse Polish order (``with`` binds tighter than
-``and``, that tighter than ``or``), from which its labels and its canonical form follow.
+from the original text up to the end of its line and turned into reverse Polish order (``with`` joins a licence with its
+exception, ``and`` binds tighter than ``or``), from which its labels and its canonical form follow.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ MORE = {
 TAG = "spdx license identifier"
 _TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
-_PRIORITY = {"or": 1, "and": 2, "with": 3}
+_PRIORITY = {"or": 1, "and": 2}
 
 
 def parse_expression(text: str) -> tuple[list[str], str] | None:
@@ -63,14 +63,24 @@ def parse_expression(text: str) -> tuple[list[str], str] | None:
     return _evaluate(polish) if polish else None
 
 
-def _polish(tokens: Iterable[str]) -> list[str]:
+def _polish(tokens: Iterable[str]) -> list[str | tuple[str, str]]:
     """Shunting yard, once over the tokens: the longest head in which operands and operators alternate and parentheses
-    balance, in reverse Polish order; empty if there is none."""
+    balance, in reverse Polish order; empty if there is none. An operand is a pair of a licence and its exception, ''
+    without one: ``with`` takes the names on its two sides and nothing else, and where it can't, the head ends before it."""
     out, stack, operand, depth = [], [], True, 0
-    size, rest = 0, []
+    size, last, rest = 0, None, []
+    named, excepting = False, False  # the token before is a licence's name; it is ``with``
     for token in tokens:
         word = token.lower()
-        if token == "(":
+        plain = word not in _PRIORITY and word not in ("with", "(", ")")
+        if excepting:
+            if not plain:
+                break
+            out[-1] = (out[-1][0], token)
+        elif word == "with":
+            if not named:
+                break
+        elif token == "(":
             if not operand:
                 break
             stack.append(token)
@@ -92,38 +102,28 @@ def _polish(tokens: Iterable[str]) -> list[str]:
         else:
             if not operand:
                 break
-            out.append(token)
+            out.append((token, ""))
             operand = False
-        if not operand and not depth:
-            # Without a parenthesis the stack holds three operators at most, their priorities rising.
-            size, rest = len(out), stack[::-1]
-    return out[:size] + rest
+        named, excepting = plain and not excepting, word == "with" and not excepting
+        if not operand and not depth and not excepting:
+            # Without a parenthesis the stack holds two operators at most, their priorities rising.
+            size, last, rest = len(out), out[-1], stack[::-1]
+    return [*out[: size - 1], last, *rest] if size else []
 
 
-def _evaluate(polish: list[str]) -> tuple[list[str], str] | None:
+def _evaluate(polish: list[str | tuple[str, str]]) -> tuple[list[str], str]:
     """Labels and canonical form: operands of a chain of one operator sorted and distinct, parentheses where needed."""
     stack: list[tuple[str, set[str]]] = []
-    labels = set()
     for token in polish:
-        if token not in _PRIORITY:
-            stack.append(("", {token}))
+        if isinstance(token, tuple):
+            stack.append(("", {f"{token[0]} WITH {token[1]}" if token[1] else token[0]}))
             continue
         right, left = stack.pop(), stack.pop()
-        if token == "with":
-            if left[0] or right[0]:
-                return None
-            stack.append(("", {f"{_shown(left, '')} WITH {_shown(right, '')}"}))
-            continue
         # The smaller side goes into the larger one, so a chain costs about its length.
         less, more = sorted((side[1] if side[0] == token else {_shown(side, token)} for side in (left, right)), key=len)
         more |= less
         stack.append((token, more))
-    top = stack.pop()
-    for token in polish:
-        if token not in _PRIORITY:
-            labels.add(token.lower())
-    exceptions = {polish[i - 1].lower() for i, t in enumerate(polish) if t == "with"}
-    return sorted(labels - exceptions), _shown(top, "")
+    return sorted({t[0].lower() for t in polish if isinstance(t, tuple)}), _shown(stack.pop(), "")
 
 
 def _shown(part: tuple[str, set[str]], above: str) -> str:
