@@ -5,8 +5,9 @@ media data box. ``probe`` walks the nested boxes of any such container, decodes
 sync samples) and the runs of movie fragments, and gives codec, duration and the byte ranges of the keyframes of each
 track; ``samples`` reads the payload back by those tables alone.
 
-Containers come from anywhere: counts are cut down to what the boxes can hold before anything is made of them, boxes more
-than DEPTH deep are not walked, and a table that gives more payload than the container has bytes gives none.
+Containers come from anywhere: counts are cut down to what the boxes can hold before anything is made of them, samples that
+take no place in a box stay one run, however many are declared, so what is held grows with the container's bytes alone,
+and a table that gives more payload than the container has bytes gives none.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from quayside.llm import tokens as T
 
 SAMPLE_BYTES = 4096  # bytes of payload that make a chunk
 RATE = 8000
-DEPTH = 16
 _NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 _IDENTITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -75,8 +75,9 @@ def store(payload: bytes, rate: int = RATE, chunk: int = SAMPLE_BYTES) -> bytes:
 
 
 def boxes(data: memoryview) -> Iterator[tuple[str, int, int, int]]:
-    """(path, start, body start, body end) of every box, nested ones after their parent. A box that says it is longer than
-    its parent, or shorter than its head, ends the walk of that parent."""
+    """(path, start, body start, body end) of every box, nested ones after their parent, at any depth. A path has the two
+    outermost boxes, ``*`` for all between and the box itself. A box that says it is longer than its parent, or shorter
+    than its head, ends the walk of that parent."""
     open_ = [(0, len(data), "")]
     while open_:
         start, end, path = open_.pop()
@@ -93,8 +94,9 @@ def boxes(data: memoryview) -> Iterator[tuple[str, int, int, int]]:
         name = f"{path}/{kind.decode('latin-1')}"
         yield name, start, body, start + size
         open_.append((start + size, end, path))
-        if kind in _NESTED and name.count("/") < DEPTH:
-            open_.append((body, start + size, name))
+        if kind in _NESTED:
+            deep = name.count("/")
+            open_.append((body, start + size, name if deep < 3 else f"{path}/*" if deep == 3 else path))
 
 
 def _table(data: memoryview, at: tuple[int, int] | None, width: int, kind: str = ">u4") -> np.ndarray:
@@ -126,24 +128,27 @@ def _track(view: memoryview, at: dict[str, tuple[int, int]]) -> dict:
     sizes = np.zeros(0, np.int64) if fixed or not n else np.frombuffer(view, ">u4", min(n, (stsz[1] - stsz[0] - 12) // 4), stsz[0] + 12).astype(np.int64)
     chunk = _table(view, at["co64"], 1, ">u8")[:, 0] if "co64" in at else _table(view, at.get("stco"), 1)[:, 0]
     runs = _table(view, at.get("stsc"), 3)
-    per = np.zeros(len(chunk), np.int64)
-    for i, (first, count, _) in enumerate(runs):
-        per[max(first - 1, 0) : max(runs[i + 1][0] - 1, 0) if i + 1 < len(runs) else None] = count
+    # A run of chunks goes on up to the next one's first chunk.
+    run = np.searchsorted(np.maximum.accumulate(runs[:, 0]), np.arange(1, len(chunk) + 1), side="right") - 1
+    per = np.where(run >= 0, runs[run, 1], 0) if len(runs) else np.zeros(len(chunk), np.int64)
     reached = np.minimum(np.cumsum(per), n if fixed else len(sizes))
     per = np.diff(reached, prepend=0)
     if fixed:
-        t = {"offsets": chunk, "sizes": per * fixed, "counts": per}
+        t = {"offsets": chunk, "sizes": np.minimum(per, len(view) // fixed + 1) * fixed, "counts": per}
     else:
         of = np.repeat(np.arange(len(chunk)), per)
         sums = np.concatenate(([0], np.cumsum(sizes)))
         t = {"offsets": chunk[of] + sums[: len(of)] - sums[(reached - per)[of]], "sizes": sizes[: len(of)], "counts": np.ones(len(of), np.int64)}
     sync = _table(view, at["stss"], 1)[:, 0] if "stss" in at else None
-    return t | {"codec": codec, "handler": handler, "scale": scale, "number": number, "ticks": int((times[:, 0] * times[:, 1]).sum()), "n_samples": int(n), "sync": sync}
+    ticks = int((times[:, 0].astype(float) * times[:, 1]).sum()) if len(times) and times.max() >= 1 << 31 else int((times[:, 0] * times[:, 1]).sum())
+    whole = np.full(len(t["offsets"]), sync is None)
+    return t | {"codec": codec, "handler": handler, "scale": scale, "number": number, "ticks": ticks, "n_samples": int(n), "sync": sync, "whole": whole}
 
 
-def _fragment(view: memoryview, at: list[tuple[str, int, int]], moof: int, defaults: dict[int, list[int]]) -> tuple[int, list[tuple[int, int, bool]], int]:
-    """Track number, samples (offset, size, is a keyframe) and ticks of one ``traf`` box."""
-    number, base, duration, size, flags, out, ticks = 0, moof, 0, 0, 0, [], 0
+def _fragment(view: memoryview, at: list[tuple[str, int, int]], moof: int, defaults: dict[int, list[int]]) -> tuple[int, dict[str, np.ndarray], int]:
+    """Track number, runs of samples (``offsets``, ``sizes``, ``counts``, ``whole``) and ticks of one ``traf`` box."""
+    number, base, duration, size, flags, ticks = 0, moof, 0, 0, 0, 0
+    parts, at_byte = [], moof
     for kind, a, b in at:
         if b - a < 8:
             continue
@@ -153,7 +158,7 @@ def _fragment(view: memoryview, at: list[tuple[str, int, int]], moof: int, defau
             duration, size, flags = defaults.get(number, [0, 0, 0])
             place = a + 8
             if said & 1 and place + 8 <= b:
-                base, place = struct.unpack_from(">Q", view, place)[0], place + 8
+                base, place = struct.unpack_from(">Q", view, place)[0] & (1 << 62) - 1, place + 8
             place += 4 * bool(said & 2)
             more = _numbers(view, (place - 4, b), 3)
             duration = more.pop(0) if said & 8 and more else duration
@@ -161,31 +166,42 @@ def _fragment(view: memoryview, at: list[tuple[str, int, int]], moof: int, defau
             flags = more.pop(0) if said & 32 and more else flags
         elif kind == "trun":
             place, count = a + 8, struct.unpack_from(">I", view, a + 4)[0]
-            at_byte = out[-1][0] + out[-1][1] if out else base
+            at_byte = at_byte if parts else base
             if said & 1 and place + 4 <= b:
                 at_byte, place = base + struct.unpack_from(">i", view, place)[0], place + 4
             first = flags
             if said & 4 and place + 4 <= b:
                 first, place = struct.unpack_from(">I", view, place)[0], place + 4
             fields = [k for k in (0x100, 0x200, 0x400, 0x800) if said & k]
-            # Without fields of its own a sample takes no place in the box; it must then have bytes of the container.
-            count = min(count, (b - place) // (4 * len(fields)) if fields else len(view) // size if size else 0, len(view) - len(out))
-            rows = np.frombuffer(view, ">u4", count * len(fields), place).reshape(count, len(fields)).astype(np.int64) if count and fields else np.zeros((count, 0), np.int64)
-            column = lambda k, value: rows[:, fields.index(k)] if k in fields else np.full(count, value, np.int64)  # noqa: E731, B023
-            sizes, marks = column(0x200, size), column(0x400, flags)
-            if count and said & 4 and 0x400 not in fields:
-                marks = np.concatenate(([first], marks[1:]))
-            starts = at_byte + np.cumsum(sizes) - sizes
-            out += zip(starts.tolist(), sizes.tolist(), ((marks & 0x10000) == 0).tolist())
-            ticks += int(column(0x100, duration).sum())
-    return number, out, ticks
+            if fields:
+                count = min(count, (b - place) // (4 * len(fields)))
+                rows = np.frombuffer(view, ">u4", count * len(fields), place).reshape(count, len(fields)).astype(np.int64)
+                column = lambda k, value: rows[:, fields.index(k)] if k in fields else np.full(count, value, np.int64)  # noqa: E731, B023
+                sizes, marks, each = column(0x200, size), column(0x400, flags), np.ones(count, np.int64)
+                ticks += int(column(0x100, duration).sum())
+            else:
+                # Samples without fields of their own take no place in the box; they must then have bytes of the container.
+                count = min(count, len(view) // size if size else 0)
+                each = np.array([1, count - 1] if said & 4 and count > 1 else [count] * (count > 0), np.int64)
+                sizes, marks = each * size, np.full(len(each), flags, np.int64)
+                ticks += count * duration
+            if len(each) and said & 4 and 0x400 not in fields:
+                marks[0] = first
+            reached = np.cumsum(sizes)
+            parts.append({"offsets": at_byte + reached - sizes, "sizes": sizes, "counts": each, "whole": (marks & 0x10000) == 0})
+            at_byte += int(reached[-1]) if len(reached) else 0
+    return number, {k: np.concatenate([p[k] for p in parts]) for k in _RUNS} if parts else {}, ticks
+
+
+_RUNS = ["offsets", "sizes", "counts", "whole"]
 
 
 def tracks(data: bytes) -> list[dict]:
     """Codec, handler, time scale, duration and samples of each track, those of movie fragments included.
 
     Samples of one size in a chunk stay one run: ``offsets``, ``sizes`` and ``counts`` are per chunk for tables with a fixed
-    size, else per sample (count 1). ``sync`` numbers the keyframes from 1; None: every sample is one.
+    size, else per sample (count 1). Keyframes are
+    all samples of the runs that are ``whole``, and those that ``sync`` numbers from 1, if it is not None.
     """
     view = memoryview(data)
     found: list[dict[str, tuple[int, int]]] = []
@@ -207,34 +223,34 @@ def tracks(data: bytes) -> list[dict]:
         elif name in ("/moof/traf/tfhd", "/moof/traf/trun") and parts:
             parts[-1][1].append((name[-4:], a, b))
     out = [_track(view, at) for at in found]
+    by_number: dict[int, dict] = {}
+    for t in out:
+        by_number.setdefault(t["number"], t | {"more": [], "of": t})
     for start, at in parts:
-        number, samples_, ticks = _fragment(view, at, start, defaults)
-        t = next((t for t in out if t["number"] == number), None)
-        if t is None or not samples_:
-            continue
-        before = int(t["counts"].sum())
-        keys = t["sync"] if t["sync"] is not None else np.arange(1, before + 1)
-        t["sync"] = np.concatenate((keys, before + 1 + np.flatnonzero([k for _, _, k in samples_])))
-        t["offsets"] = np.concatenate((t["offsets"], [o for o, _, _ in samples_]))
-        t["sizes"] = np.concatenate((t["sizes"], [n for _, n, _ in samples_]))
-        t["counts"] = np.concatenate((t["counts"], np.ones(len(samples_), np.int64)))
-        t["n_samples"] += len(samples_)
-        t["ticks"] += ticks
+        number, runs, ticks = _fragment(view, at, start, defaults)
+        if number in by_number and runs and len(runs["offsets"]):
+            by_number[number]["more"].append(runs)
+            by_number[number]["of"]["n_samples"] += int(runs["counts"].sum())
+            by_number[number]["of"]["ticks"] += ticks
+    for held in by_number.values():
+        for k in _RUNS:
+            held["of"][k] = np.concatenate([held["of"][k], *(runs[k] for runs in held["more"])])
     return out
 
 
 def keyframe_ranges(track: dict) -> list[tuple[int, int]]:
-    """Byte ranges of the sync samples (without a sync table every sample is one), neighbouring ones merged."""
-    if track["sync"] is None:
-        starts, ends = track["offsets"], track["offsets"] + track["sizes"]
-    else:
+    """Byte ranges of the keyframes, neighbouring ones merged."""
+    run = np.flatnonzero(track["whole"])
+    starts, ends = track["offsets"][run], (track["offsets"] + track["sizes"])[run]
+    if track["sync"] is not None:
         reached = np.cumsum(track["counts"])
         sync = track["sync"][track["sync"] > 0]
         at = np.searchsorted(reached, sync)
         sync, at = sync[at < len(reached)], at[at < len(reached)]
         one = track["sizes"][at] // np.maximum(track["counts"][at], 1)  # samples of a run have one size
-        starts = track["offsets"][at] + (sync - 1 - (reached - track["counts"])[at]) * one
-        ends = starts + one
+        begin = track["offsets"][at] + (sync - 1 - (reached - track["counts"])[at]) * one
+        order = np.argsort(np.concatenate((at, run)), kind="stable")
+        starts, ends = np.concatenate((begin, starts))[order], np.concatenate((begin + one, ends))[order]
     if not len(starts):
         return []
     new = np.concatenate(([True], starts[1:] != ends[:-1]))
