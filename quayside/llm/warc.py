@@ -36,6 +36,8 @@ ARC_FIELDS = {
 }
 ARC_NAMES = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 _SPACE = re.compile(rb"[\x00-\x20\x7f]")
+_LENGTH = re.compile(rb"[0-9]{1,18}")
+_DATE = re.compile(rb"[0-9]{1,14}")
 
 
 def base32_sha1(data: bytes) -> str:
@@ -60,14 +62,15 @@ def _header(line: bytes, fields: list[bytes]) -> list[bytes] | None:
     charset=utf-8``, to the content type."""
     parts = line.rstrip(b"\r").split(b" ")
     extra, date, kind = len(parts) - len(fields), fields.index("date"), fields.index("type")
-    if extra < 0 or not parts[-1].isdigit():
+    if extra < 0 or not _LENGTH.fullmatch(parts[-1]):
         return None
-    for of_url in range(extra + 1):
-        of_type = extra - of_url
-        cut = [b" ".join(parts[: of_url + 1]), *parts[of_url + 1 : of_url + kind], b" ".join(parts[of_url + kind : of_url + kind + 1 + of_type]), *parts[of_url + kind + 1 + of_type :]]
-        if cut[date].isdigit() and len(cut[date]) <= 14:
-            return cut
-    return cut if not extra else None
+    dated = (k for k in range(extra + 1) if _DATE.fullmatch(parts[k + date]))
+    of_url = next(dated, None)
+    if of_url is None:
+        return parts if not extra else None
+    of_type = extra - of_url
+    url, mime = b" ".join(parts[: of_url + 1]), b" ".join(parts[of_url + kind : of_url + kind + 1 + of_type])
+    return [url, *parts[of_url + 1 : of_url + kind], mime, *parts[of_url + kind + 1 + of_type :]]
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
@@ -91,7 +94,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         if fields is None:
             parts = data[at:end].rstrip(b"\r").split(b" ")
             body = data[end + 1 : end + 2]
-            if not parts[0].startswith((b"filedesc://", b"dns:filedesc")) or not parts[-1].isdigit() or body not in (b"1", b"2"):
+            if not parts[0].startswith((b"filedesc://", b"dns:filedesc")) or not _LENGTH.fullmatch(parts[-1]) or body not in (b"1", b"2"):
                 yield {"url": "", "date": "", "type": "", "block": data, "truncated": False, "problem": "no version block of a known version"}
                 return
             fields, at = ARC_FIELDS[int(body)], end + 1 + int(parts[-1])
@@ -113,7 +116,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
 
 def warc_date(arc: str) -> str:
     """``yyyymmddhhmmss`` (or its head) as an ISO timestamp; anything else as the epoch."""
-    digits = arc if arc.isdigit() and 4 <= len(arc) <= 14 else "19700101000000"
+    digits = arc if re.fullmatch("[0-9]{4,14}", arc) else "19700101000000"
     digits += "00000101000000"[len(digits) :]
     return f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}T{digits[8:10]}:{digits[10:12]}:{digits[12:14]}Z"
 
@@ -152,12 +155,15 @@ def convert_arc(arcs: DataFrame, column: str = "arc") -> DataFrame:
 
 def mark_revisits(records: DataFrame, rank: F.Column, least_bytes: int = 0) -> DataFrame:
     """``records`` with ``refers_to``: of those with equal payloads of at least ``least_bytes``, the record of the highest
-    ``rank`` stays and the others refer to it; rows that share the highest rank all stay. A null rank is the lowest."""
-    ranked = records.withColumn("_rank", rank)
-    best = ranked.where(F.octet_length("payload") >= least_bytes).groupBy("payload_digest").agg(F.max(F.struct(F.col("_rank").isNotNull().alias("known"), "_rank", "record_id")).alias("_best"))
+    ``rank`` stays and the others refer to it; rows that share the highest rank all stay. A null rank is the lowest. An empty table
+    gives no rows; further columns stay, whatever their names."""
+    held, top = (T.unused_name(name, records.columns) for name in ("rank", "best"))
+    ranked = records.withColumn(held, rank)
+    best = F.max(F.struct(F.col(held).isNotNull().alias("known"), F.col(held).alias("rank"), "record_id")).alias(top)
+    best = ranked.where(F.octet_length("payload") >= least_bytes).groupBy("payload_digest").agg(best)
     joined = ranked.join(best.hint("shuffle_merge"), "payload_digest", "left")
-    other = F.col("_best").isNotNull() & ~F.col("_rank").eqNullSafe(F.col("_best._rank"))
-    return joined.withColumn("refers_to", F.when(other, F.col("_best.record_id"))).drop("_rank", "_best")
+    other = F.col(top).isNotNull() & ~F.col(held).eqNullSafe(F.col(f"{top}.rank"))
+    return joined.withColumn("refers_to", F.when(other, F.col(f"{top}.record_id"))).select(*(T.column(c) for c in records.columns if c != "refers_to"), "refers_to")
 
 
 def _warc_record(r: dict) -> bytes:
@@ -198,19 +204,25 @@ def write_archives(records: DataFrame, name: str = "warc", level: int = 4) -> Da
     return materialize(records.mapInArrow(run, "warc binary").select(F.monotonically_increasing_id().alias("archive"), "warc"), name, compression="none")
 
 
+#: Bytes of one unpacked record; a longer one is given up to there, with a problem.
+MEMBER_BYTES = 128 << 20
 _STEP = 1 << 13
 _MEMBER = b"\x1f\x8b\x08"
 
 
 def _members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
-    """Each gzip member's bytes. After a damaged one, with what could be read of it, the next mark of a member is sought."""
+    """Each gzip member's bytes. After a damaged one, with what could be read of it, the next mark of a member is sought. Of
+    a member of more than MEMBER_BYTES no more is kept, but its end is found all the same."""
     at = 0
     while at < len(data):
-        start, parts, problem = at, [], None
+        start, parts, size, problem = at, [], 0, None
         d = zlib.decompressobj(31)
         try:
             while not d.eof and at < len(data):  # a step at a time, as what a member leaves unused is copied
-                parts.append(d.decompress(data[at : at + _STEP]))
+                part = d.decompress(data[at : at + _STEP])
+                if size < MEMBER_BYTES:
+                    parts.append(part[: MEMBER_BYTES - size])
+                size += len(part)
                 at = min(at + _STEP, len(data))
             at -= len(d.unused_data)
         except zlib.error:
@@ -220,6 +232,8 @@ def _members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
         if problem:
             at = data.find(_MEMBER, start + 1)
             at = len(data) if at < 0 else at
+        elif size > MEMBER_BYTES:
+            problem = "member larger than MEMBER_BYTES"
         yield b"".join(parts), problem
 
 
@@ -231,8 +245,9 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]
         lines = head.decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         length = fields.get("content-length", "")
-        block = rest[: int(length)] if length.isdigit() else b""
-        if not problem and (not lines[0].startswith("WARC/") or not length.isdigit() or "warc-type" not in fields):
+        known = re.fullmatch("[0-9]{1,18}", length)
+        block = rest[: int(length)] if known else b""
+        if not problem and (not lines[0].startswith("WARC/") or not known or "warc-type" not in fields):
             problem = "not a WARC record"
         if not problem and len(block) < int(length):
             problem = "block shorter than its length"
