@@ -9,7 +9,10 @@ each to its own disk and the reader would miss their rows.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,16 +30,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_lock, _writing, _kept = threading.Lock(), [0], [""]
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled on the way to a table is not needed once the table stands. Of writes that overlap, the first sets
+    the session's conf and the last one gives it back."""
+    with _lock:
+        _writing[0] += 1
+        if _writing[0] == 1:
+            _kept[0] = spark.conf.get(_CLEAN, "false")
+            spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing[0] -= 1
+            if not _writing[0]:
+                spark.conf.set(_CLEAN, _kept[0])
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the scratch folder and read it back, with the same columns."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    kept = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")  # what was shuffled on the way is not needed once the table stands
-    try:
+    with _shuffles_go(spark):
         df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, kept)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.functions.names import column, unused
 from quayside.functions.scratch import materialize
 
 
@@ -22,22 +23,26 @@ def number_rows(df: DataFrame, order_by: list[str], name: str, start: int = 0) -
     """Dense numbers from ``start`` in the order of columns, without a task that sees all rows: ranges of the order are
     sorted and written once, and a row's number is its place in its file plus the rows of the files before (a list as
     long as the number of files). Rows equal in ``order_by`` are numbered as the sort leaves them."""
-    keys = [F.col(c).asc_nulls_first() for c in order_by]
+    keys = [column(c).asc_nulls_first() for c in order_by]
     held = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys), "numbered")
-    sizes = held.groupBy(F.col("_metadata.file_name").alias("_file")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = held.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    return placed.join(F.broadcast(before), "_file").withColumn(name, F.col("_before") + F.col("_at") + start).drop("_file", "_at", "_before")
+    file, at, before = (unused(x, [*df.columns, name]) for x in ("file", "at", "before"))
+    sizes = held.groupBy(F.col("_metadata.file_name").alias(file)).agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1))
+    firsts = sizes.select(file, F.coalesce(earlier, F.lit(0)).alias(before))
+    placed = held.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(at))
+    kept = [column(c) for c in df.columns if c.lower() != name.lower()]
+    return placed.join(F.broadcast(firsts), file).select(*kept, (F.col(before) + F.col(at) + start).alias(name))
 
 
 def number_within(df: DataFrame, group: str, order_by: list[str], name: str, size: str | None = None) -> DataFrame:
     """Numbers from 0 within each value of ``group`` (null is one), in the order of columns, and the rows of the group as
     ``size``. No task sees a whole group: all rows are numbered by group and order, less the group's first number."""
     numbered = number_rows(df, [group, *order_by], name)
-    of_group = numbered.groupBy(F.col(group).alias("_group")).agg(F.min(name).alias("_first"), F.count("*").alias("_size"))
-    both = numbered.join(of_group, F.col(group).eqNullSafe(F.col("_group")))
-    both = both.withColumn(name, F.col(name) - F.col("_first"))
-    return (both.withColumn(size, F.col("_size")) if size else both).drop("_group", "_first", "_size")
+    own, first, count = (unused(x, [*numbered.columns, size or ""]) for x in ("own", "first", "count"))
+    of_group = numbered.groupBy(column(group).alias(own)).agg(F.min(column(name)).alias(first), F.count("*").alias(count))
+    both = numbered.join(of_group, column(group).eqNullSafe(F.col(own)))
+    kept = [column(c) for c in df.columns if c.lower() not in (name.lower(), (size or "").lower())]
+    return both.select(*kept, (column(name) - F.col(first)).alias(name), *([F.col(count).alias(size)] if size else []))
 
 
 def add_surrogate_key(df: DataFrame, name: str, order_by: list[str] | None = None, start: int = 0) -> DataFrame:
