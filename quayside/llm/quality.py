@@ -163,14 +163,14 @@ def bounded_sample(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: st
 
 def fold(id_col: str, parts: int) -> F.Column:
     """crc32 of the id as text, modulo ``parts``."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+    return F.crc32(T.column(id_col).cast("string").cast("binary")) % parts
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, learn: F.Column | None = None, sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
     """Model from the labelled rows for whose id ``learn`` holds. Labels other than 0 and 1 and ids whose labels
     contradict each other are left out."""
-    y = labels.select(F.col(id_col).alias(id_col), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    y = (y if learn is None else y.where(learn)).groupBy(F.col(id_col).alias("id")).agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
+    y = labels.select(T.column(id_col).alias(id_col), T.column(label_col).cast("int").alias("y")).where("y in (0, 1)")
+    y = (y if learn is None else y.where(learn)).groupBy(T.column(id_col).alias("id")).agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     sample = bounded_sample(docs, y, id_col, text_col, sample_rows)
 
     T.bound_batches(docs.sparkSession)

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.functions.scratch import materialize
+from quayside.llm import tokens as T
+from quayside.operators.enrichment import number_rows
 
 ROUNDS = 6
 
@@ -58,19 +59,6 @@ def feistel_inverse(places: np.ndarray, n: int, seed: int) -> np.ndarray:
     return feistel(places, n, seed, inverse=True)
 
 
-def number_rows(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``row``: 0 to N - 1 in the order of the columns named, without a task that sees all rows.
-
-    The rows are dealt by ranges of the order, sorted and written once; a row's number is its place in its file plus the
-    rows of the files before. Rows equal in all of ``order`` get their numbers as the sort leaves them.
-    """
-    held = materialize(rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order]), "numbered")
-    placed = held.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    first = held.groupBy(F.col("_metadata.file_name").alias("_file")).agg(F.count("*").alias("_n"))  # a row a file: its size is that of the file list
-    before = first.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_file", "_before")
-    return placed.join(F.broadcast(before), "_file").withColumn("row", F.col("_before") + F.col("_at")).drop("_file", "_at", "_before")
-
-
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 40, seed: int = 8) -> DataFrame:
     """``id, size, text_crc32, row, place, shard, slot`` for each row; counts of shards are at most one apart.
 
@@ -78,9 +66,9 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their text's checksum and size, so only rows equal in all of these are interchangeable. An empty table gives no rows.
     Other columns are not looked at.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = number_rows(slim, ["id", "text_crc32", "size"])
+    text = F.coalesce(T.column(text_col).cast("string"), F.lit(""))
+    slim = docs.select(T.column(id_col).alias("id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = number_rows(slim, ["id", "text_crc32", "size"], "row")
     n = rows.count()
 
     @F.pandas_udf("long")

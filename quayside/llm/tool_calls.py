@@ -16,7 +16,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.functions.scratch import materialize
+from quayside.functions.scratch import discard, materialize
 
 _TYPES = {"string": ["STRING"], "integer": ["BIGINT", "DECIMAL(%,0)"], "number": ["BIGINT", "DECIMAL%", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "array": ["ARRAY%"], "object": ["OBJECT%"], "null": ["VOID"]}
 
@@ -147,7 +147,8 @@ def order_calls(calls: DataFrame, keys: list[str]) -> DataFrame:
         moved = state.join(step.hint("shuffle_merge"), keys, "left")
         deps = F.when(F.col("n_deps").isNull(), F.col("deps")).otherwise(F.col("n_deps"))
         stuck = F.col("stuck") | F.exists(deps, lambda d: (d["on"] == F.col(call)) | (d["w"] > total))
-        state = materialize(moved.select(*keys, F.greatest("best", F.coalesce("n_best", F.lit(0))).alias("best"), deps.alias("deps"), stuck.alias("stuck")), "levels")
+        before, state = state, materialize(moved.select(*keys, F.greatest("best", F.coalesce("n_best", F.lit(0))).alias("best"), deps.alias("deps"), stuck.alias("stuck")), "levels")
+        discard(before)
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -165,8 +166,16 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     c = materialize(c, "calls")
     first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("pos", "content")).alias("r"), F.count("*").alias("n_results"))
     first = first.select("conv_id", "call_id", F.col("r.pos").alias("result_pos"), F.col("r.content").alias("content"), "n_results", F.lit(True).alias("answered"))
-    levels = order_calls(c.where("conv_id is not null and call_id is not null"), ["conv_id", "call_id"])
-    linked = c.withColumn("called", F.lit(True)).join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer").join(levels.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    # Rows without a conversation or an identifier meet nobody, and would all meet in one task.
+    keys, named = ["conv_id", "call_id"], "conv_id is not null and call_id is not null"
+    nameless = f"not ({named})"
+    called, answers = c.withColumn("called", F.lit(True)), materialize(first, "answers")
+    levels = order_calls(c.where(named), keys)
+    met = called.where(named).join(answers.where(named).hint("shuffle_merge"), keys, "left").join(levels.hint("shuffle_merge"), keys, "left")
+    orphans = answers.where(named).join(c.where(named).select(*keys).hint("shuffle_merge"), keys, "left_anti")
+    linked = met
+    for more in (orphans, called.where(nameless), answers.where(nameless)):
+        linked = linked.unionByName(more, allowMissingColumns=True)
     status = F.when(F.col("called").isNull(), "orphan").when(F.col("answered").isNull(), "unanswered").otherwise("linked")
     args = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.to_json(F.struct(F.col("arguments").alias("raw"))))
     plain = F.to_json(F.struct("call_id", "content", "conv_id", "depends", "errors", "level", "name", status.alias("status")), {"ignoreNullFields": "false"})
