@@ -26,7 +26,7 @@ LEAST_DOCS = 30  # documents of a language in which a kept term stands
 TOP_TERMS = 50
 HELD_TERMS = 200_000  # distinct (group, term) that a task holds before it hands them on
 PIECE_BYTES = 4 << 20  # bytes of a text that are split at once
-BLOCK_CELLS = 1 << 20  # terms times sources of a block
+BLOCK_CELLS = 1 << 16, 1 << 22  # terms times sources of a block: as many as pairs of sources, within these bounds
 
 #: a-z and what is not ASCII stay, A-Z are lowered, the rest is blank: terms are ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -142,7 +142,8 @@ def audit_sources(docs: DataFrame, lang_col: str = "lang", source_col: str = "so
     groups = groups.select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "kept", "lang_total")))
     sources = groups.groupBy("lang").agg(F.count("*").alias("sources"))
     groups = groups.join(sources, "lang").withColumn("base", F.when(F.col("kept") > 0, _share("0", "total", "kept")))
-    groups = materialize(groups.withColumn("blocks", F.ceil(F.greatest(F.lit(1), F.col("kept") * F.col("sources") / BLOCK_CELLS)).cast("long")), "groups")
+    size = F.greatest(F.lit(BLOCK_CELLS[0]), F.least(F.lit(BLOCK_CELLS[1]), F.col("sources") * F.col("sources")))
+    groups = materialize(groups.withColumn("blocks", F.ceil(F.greatest(F.lit(1), F.col("kept") * F.col("sources") / size)).cast("long")), "groups")
     discard(counts)
 
     shares = cells.join(groups, ["lang", "source"]).select(
