@@ -109,24 +109,81 @@ def reconstruction_anomaly(df: DataFrame, columns: list[str], k: int, percentile
 
 
 def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_samples: int) -> DataFrame:
-    """``(key, cluster, is_core)``: density clusters of points in two or three columns; outliers have cluster -1.
+    """``(key, cluster, is_core)``: density clusters of points in a few columns; outliers have cluster -1.
 
-    Points fall into cells of width ``eps``; a point meets those of its own and the neighbouring cells by an equi-join.
-    The cluster is its smallest core key; a border point takes the smallest of its core neighbours' clusters. Points of
-    one crowded place are counted once per distinct position, so copies of a position do not multiply pairs.
+    Points fall into cells whose diagonal is just under ``eps``, so all points of a cell are neighbours: in a cell of
+    ``min_samples`` points all are core, without a pair. Only points of thinner cells are compared with the cells around,
+    and of cells that hold core points it is only asked whether any two of these are neighbours (``_touching``). The cluster
+    is its smallest core key; a border point takes the smallest of its core neighbours' clusters. Copies of a position
+    count once per position. Points with a null among the columns are left out, an empty table gives no rows.
     """
+    width = eps / np.sqrt(len(columns)) * (1 - 1e-12)
     pts = df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    spots = materialize(pts.groupBy(*columns).agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("cell", F.array(*[F.floor(F.col(c) / eps).cast("long") for c in columns])), "spots")
-    shifts = F.array(*[F.array(*[F.lit(s) for s in d]) for d in product((-1, 0, 1), repeat=len(columns))])
-    around = spots.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns], F.explode(F.transform(shifts, lambda d: F.zip_with("cell", d, lambda x, y: x + y))).alias("cell"))
+    cell = F.array(*[F.floor(F.col(c) / width).cast("long") for c in columns])
+    spots = pts.groupBy(*columns).agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("cell", cell)
+    dense = spots.groupBy("cell").agg((F.sum("n") >= min_samples).alias("dense"))
+    spots = materialize(spots.join(dense, "cell"), "spots")
+
+    reach = int(eps / width) + 1
+    # Cells at such an offset can hold a neighbour: between them lie fewer cells than eps is long.
+    offsets = [d for d in product(range(-reach, reach + 1), repeat=len(columns)) if sum(max(abs(x) - 1, 0) ** 2 for x in d) * width * width <= eps * eps]
+    shifted = lambda some: F.explode(F.array(*[F.array(*[F.col("cell")[i] + x for i, x in enumerate(d)]) for d in some]))
+    thin = spots.where("not dense").select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns], shifted(offsets).alias("cell"))
     gap = sum((F.pow(F.col(f"a_{c}") - F.col(c), 2) for c in columns), F.lit(0.0))
-    near = materialize(around.join(spots, "cell").where(gap <= eps * eps).select("a", F.col("id").alias("b"), "n"), "near")
-    core = materialize(near.groupBy("a").agg(F.sum("n").alias("m")).where(F.col("m") >= min_samples).select("a"), "core")
-    links = near.join(core, "a").join(core.select(F.col("a").alias("b")), "b")
-    comps = connected_components(links, "a", "b")
-    border = near.join(comps, near["b"] == comps["node"]).groupBy("a").agg(F.min("component").alias("cluster"))
-    of_spot = spots.join(border, spots["id"] == border["a"], "left").join(core.select(F.col("a").alias("id"), F.lit(True).alias("is_core")), "id", "left").select(*columns, F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
-    return pts.join(of_spot, columns).select(F.col("id").alias(key), "cluster", "is_core")
+    near = materialize(thin.join(spots, "cell").where(gap <= eps * eps).select("a", F.col("id").alias("b"), "n"), "near")
+    enough = near.groupBy("a").agg(F.sum("n").alias("m")).where(F.col("m") >= min_samples).select(F.col("a").alias("id"), F.lit(True).alias("enough"))
+    core = spots.join(enough, "id", "left").where("dense or enough").select("id", "cell", *columns)
+    core = core.join(core.groupBy("cell").agg(F.min("id").alias("node")), "cell")
+    core = materialize(core, "core")
+
+    nodes = core.select("cell", "node").distinct()
+    ahead = [d for d in offsets if d > (0,) * len(columns)]
+    pairs = nodes.select(F.col("node").alias("p"), shifted(ahead).alias("cell")).join(nodes.withColumnRenamed("node", "q"), "cell").select("p", "q")
+    links = _touching(core, pairs, columns, width, eps).unionByName(nodes.select(F.col("node").alias("p"), F.col("node").alias("q")))
+    clusters = core.join(connected_components(links, "p", "q"), "node").select("id", F.col("component").alias("cluster"), F.lit(True).alias("is_core"))
+    border = near.join(clusters, near["b"] == clusters["id"]).groupBy("a").agg(F.min("cluster").alias("b_cluster")).withColumnRenamed("a", "id")
+    told = spots.select("id", *columns).join(clusters, "id", "left").join(border, "id", "left")
+    told = told.select(*columns, F.coalesce("cluster", "b_cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    return pts.join(told, columns).select(F.col("id").alias(key), "cluster", "is_core")
+
+
+def _touching(core: DataFrame, pairs: DataFrame, columns: list[str], width: float, eps: float, levels: int = 24) -> DataFrame:
+    """Of the pairs ``(p, q)`` of cells (by node) those of which some two points are within ``eps``.
+
+    Boxes around the points decide: if the farthest two points of two boxes could be within eps, the cells touch; if the
+    nearest two can't, these boxes are done with. What is left is looked at in boxes of half the width, and after
+    ``levels`` halvings point by point. Crowded cells touch at once or not at all, so their points make no pairs.
+    """
+    parts = F.array(*[F.floor(F.col(c) / width * F.col("scale")).cast("long") for c in columns])
+    bounds = [f(c).alias(f"{name}_{c}") for c in columns for name, f in (("low", F.min), ("high", F.max))]
+
+    def boxes(level: int, side: str, open_: DataFrame | None) -> DataFrame:
+        held = core if open_ is None else core.join(open_.select(F.col(side).alias("node")).distinct(), "node", "left_semi")
+        made = held.withColumn("scale", F.lit(float(1 << level))).withColumn("part", F.col("id") if level > levels else F.lit(0) if level == 0 else parts)
+        if level > levels:
+            return made.select("node", F.array("id").alias("part"), *[F.col(c).alias(f"{name}_{c}") for c in columns for name in ("low", "high")], parts.alias("above"))
+        above = F.transform("part", lambda x: F.floor(x / 2).cast("long")) if level > 1 else F.array().cast("array<long>")
+        return made.groupBy("node", *(["part"] if level else [])).agg(*bounds).withColumn("part", F.col("part") if level else F.array().cast("array<long>")).withColumn("above", above)
+
+    open_, found = None, None
+    for level in range(levels + 2):
+        sides = []
+        for side in ("p", "q"):
+            own = boxes(level, side, open_)
+            sides.append(own.select(F.col("node").alias(side), F.col("above").alias(f"{side}_above"), F.col("part").alias(f"{side}_part"), *[F.col(f"{n}_{c}").alias(f"{side}_{n}_{c}") for c in columns for n in ("low", "high")]))
+        before = pairs if open_ is None else open_.withColumnsRenamed({"p_part": "p_above", "q_part": "q_above"})
+        met = before
+        for side, own in zip(("p", "q"), sides):
+            met = met.join(own.drop(f"{side}_above") if open_ is None else own, [side] if open_ is None else [side, f"{side}_above"])
+        least = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"q_low_{c}") - F.col(f"p_high_{c}"), F.col(f"p_low_{c}") - F.col(f"q_high_{c}")), 2) for c in columns), F.lit(0.0))
+        most = sum((F.pow(F.greatest(F.col(f"p_high_{c}") - F.col(f"q_low_{c}"), F.col(f"q_high_{c}") - F.col(f"p_low_{c}")), 2) for c in columns), F.lit(0.0))
+        looked = materialize(met.select("p", "q", "p_part", "q_part", least.alias("least"), most.alias("most")).where(F.col("least") <= eps * eps), "boxes")
+        touching = looked.where(F.col("most") <= eps * eps).select("p", "q").distinct()
+        found = touching if found is None else found.unionByName(touching)
+        open_ = looked.where(F.col("most") > eps * eps).join(touching, ["p", "q"], "left_anti").select("p", "q", "p_part", "q_part")
+        if level > levels or open_.isEmpty():
+            return found
+    return found
 
 
 def linked_entities(df: DataFrame, entity: str, attributes: list[str]) -> DataFrame:

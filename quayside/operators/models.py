@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quayside.functions.scratch import materialize
 from quayside.operators.enrichment import number_rows, number_within
 from quayside.operators.features import assemble
+from quayside.operators.neighbours import self_neighbours
 from quayside.operators.quantiles import long_values, quantiles
 
 
@@ -49,6 +50,8 @@ def oversample(df: DataFrame, label: str, ratio: float = 1.0, seed: int = 1) ->
     """The rare class (0/1) repeated until it has ``ratio`` times the rows of the other: each of its rows equally often, but
     for the remainder, which goes to rows in a hash order of all columns."""
     n = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    if not n:
+        return df
     rare = min(n, key=n.get)
     want = round(ratio * max(n.values())) - n[rare]
     if want <= 0:
@@ -65,21 +68,21 @@ def _times(df: DataFrame, order_by: list[str], want: int, n: int) -> DataFrame:
 
 
 def smote(df: DataFrame, key: str, label: str, columns: list[str], rare, k: int = 3, seed: int = 1, ratio: float | None = None) -> DataFrame:
-    """New rows of the rare class, each between a row of it and one of that row's k nearest of the same class: one for each
-    row, or so many that the class then has ``ratio`` times the rows of all other classes."""
-    from quayside.operators.recommend import nearest_neighbours
-
+    """New rows of the rare class, each between a row of it and one of that row's k nearest of the same class by distance: one
+    for each row, or so many that the class then has ``ratio`` times the rows of all other classes. A class without rows, or
+    with a single one, gives none; rows with a null among the columns have no neighbours and make none."""
     v = df.where(F.col(label) == rare).select(F.col(key).cast("long").alias(key), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
     base = v.withColumn("_copy", F.lit(1))
     if ratio is not None:
         n = df.agg(F.count(F.when(F.col(label) == rare, 1)).alias("r"), F.count(F.when(F.col(label) != rare, 1)).alias("o")).first()
         want = round(ratio * n["o"]) - n["r"]
         base = _times(v, [key], want, n["r"]) if n["r"] and want > 0 else base.limit(0)
-    near = nearest_neighbours(v, v, key, "v", k)
+    flat = v.select(key, *[F.col("v")[i].alias(f"v{i}") for i in range(len(columns))])
+    near = materialize(self_neighbours(flat, key, [f"v{i}" for i in range(len(columns))], k), "near")
     most = near.groupBy("query").agg(F.max("rank").alias("_most"))
     turn = F.pmod(F.xxhash64("query", "_copy", F.lit(seed)), F.col("_most")) + 1
     picked = base.select(F.col(key).alias("query"), "_copy").join(most, "query").withColumn("rank", turn.cast("int"))
-    near = picked.join(near.withColumn("rank", F.col("rank").cast("int")), ["query", "rank"])
+    near = picked.join(near, ["query", "rank"])
     u = F.pmod(F.xxhash64("query", "neighbour", "_copy", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     a, b = v.select(F.col(key).alias("query"), F.col("v").alias("a")), v.select(F.col(key).alias("neighbour"), F.col("v").alias("b"))
     made = near.join(a, "query").join(b, "neighbour").withColumn("u", u)
