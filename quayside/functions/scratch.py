@@ -14,7 +14,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -62,6 +63,13 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return table
 
 
+def file_order() -> Column:
+    """The place of the file that a row of a written table was read from: by the task that wrote it, then the task's files.
+    After a write dealt by ranges it grows with the ranges."""
+    part = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("long")
+    return part(r"^part-(\d+)") * 1_000_000 + part(r"-c(\d+)")
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``materialize`` gave back and that nothing reads any more. Other DataFrames are left alone."""
     for table in tables:

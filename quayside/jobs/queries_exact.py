@@ -207,7 +207,18 @@ a AS (SELECT (avg((k >= 10)::INT) FILTER (y = 1) + avg((k < 10)::INT) FILTER (y
 SELECT 'k' AS "column", round(v, 8) AS "drop" FROM a UNION ALL SELECT 'z', 0""")
 def _(t):
     d = noisy(t)
-    return M.permutation_importance(d, split_at(d, "y"), COLUMNS, "y", "event_id").withColumn("drop", F.round("drop", 8))
+    return M.permutation_importance(d, split_at(d, "y"), COLUMNS, "y", "event_id").select("column", F.round("drop", 8).alias("drop"))
+
+
+@query("mod12_repeats", f"""WITH {NOISY}, s AS (SELECT unnest(['1', '2', '3']) AS s), o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5(event_id::VARCHAR || s), event_id) AS i FROM e, s),
+d AS (SELECT a.s, a.y, a.k, b.k AS dealt FROM o a JOIN o b ON a.s = b.s AND a.i % (SELECT count(*) FROM e) = (b.i + 1) % (SELECT count(*) FROM e)),
+a AS (SELECT s, (avg((k >= 10)::INT) FILTER (y = 1) + avg((k < 10)::INT) FILTER (y = 0) - avg((dealt >= 10)::INT) FILTER (y = 1) - avg((dealt < 10)::INT) FILTER (y = 0)) / 2 AS v FROM d GROUP BY s)
+SELECT 'k' AS "column", round(avg(v), 8) AS "drop", round(stddev_samp(v), 8) AS deviation FROM a UNION ALL SELECT 'z', 0, 0""")
+def _(t):
+    """Three deals of each column."""
+    d = noisy(t)
+    got = M.permutation_importance(d, split_at(d, "y"), COLUMNS, "y", "event_id", repeats=3)
+    return got.select("column", F.round("drop", 8).alias("drop"), F.round("deviation", 8).alias("deviation"))
 
 
 @query("srv4_inferred_split", f"WITH {NOISY} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (k >= 10)::INT ELSE y END AS y, event_id % 3 = 0 AS is_inferred FROM e")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quayside.functions.scratch import materialize
 from quayside.jobs.queries_tables import DAILY, daily
 from quayside.jobs.registry import query
 from quayside.operators import anomaly as N
 from quayside.operators import features as X
 from quayside.operators import models as M
+from quayside.operators import neighbours as B
 from quayside.operators import recommend as R
 from quayside.operators import timeseries as S
 
@@ -172,6 +174,35 @@ def _(t):
     return R.nearest_neighbours(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5).withColumn("similarity", F.round("similarity", 5))
 
 
+def approximate(t):
+    """Ten approximate neighbours of every 20th vector among all, and the exact ones."""
+    e = t.embeddings
+    some = e.where("vec_id % 20 = 0")
+    return R.lsh_neighbours(some, e, "vec_id", "embedding", 10), R.nearest_neighbours(some, e, "vec_id", "embedding", 10)
+
+
+@query("rec4_lsh")
+def _(t):
+    """Each row with the share of all exact neighbours that were found."""
+    near, exact = approximate(t)
+    near = materialize(near, "near")
+    found = exact.join(near.select("query", "neighbour", F.lit(1).alias("hit")), ["query", "neighbour"], "left")
+    recall = found.agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
+    return near.withColumn("similarity", F.round("similarity", 5)).crossJoin(F.broadcast(recall))
+
+
+@query("rec4_lsh_recall", """WITH s AS (SELECT a.vec_id AS query, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC) AS n
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT count(*) AS wanted, true AS recalled, 0 AS beyond FROM s WHERE n <= 10""")
+def _(t):
+    """The number of exact neighbours, whether nine tenths of them were found, and how many found ones are farther than the
+    exact one of their rank would let them be near."""
+    near, exact = approximate(t)
+    both = exact.select("query", "rank", F.col("neighbour").alias("e"), F.col("similarity").alias("best")).join(near.select("query", F.col("neighbour").alias("e"), F.lit(1).alias("hit")), ["query", "e"], "left")
+    ranks = both.join(near.select("query", "rank", "similarity"), ["query", "rank"], "left")
+    hits = F.sum(F.coalesce("hit", F.lit(0)))
+    return ranks.agg(F.count("*").alias("wanted"), (hits >= 0.9 * F.count("*")).alias("recalled"), F.count(F.when(F.col("similarity") > F.col("best") + 1e-9, 1)).cast("int").alias("beyond"))
+
+
 @query("rec5_cosine_similarity", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def _(t):
     a = t.embeddings.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
@@ -218,6 +249,14 @@ def _(t):
     return M.oversample(labelled(t), "quality").groupBy("quality").count()
 
 
+@query("mod4_neighbours", """WITH p AS (SELECT p_partkey AS i, p_size::DOUBLE AS x, p_retailprice AS y FROM part),
+n AS (SELECT a.i AS query, b.i AS neighbour, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.i <> b.i),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS rank FROM n) SELECT query, neighbour, round(d, 9) AS distance, rank::INT AS rank FROM r WHERE rank <= 3""")
+def _(t):
+    """Of all parts the three nearest by size and price."""
+    return B.self_neighbours(t.part, "p_partkey", ["p_size", "p_retailprice"], 3, 128).withColumn("distance", F.round("distance", 9))
+
+
 @query("mod4_smote")
 def _(t):
     return M.smote(labelled(t), "doc_id", "quality", ["n", "w", "marks"], 0)
@@ -284,7 +323,7 @@ def _(t):
 @query("mod12_permutation_importance")
 def _(t):
     d, cols = labelled(t), ["n", "w", "marks"]
-    return M.permutation_importance(d, M.train(d, "quality", cols, "logistic"), cols, "quality", "doc_id")
+    return M.permutation_importance(d, M.train(d, "quality", cols, "logistic"), cols, "quality", "doc_id").select("column", "drop")
 
 
 @query("srv2_route_versions", "SELECT c_custkey, CASE WHEN ('0x' || left(md5(c_custkey::VARCHAR), 8))::BIGINT / 4294967296 < 0.8 THEN 'a' ELSE 'b' END AS version FROM customer")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.names import column, unused
-from quayside.functions.scratch import materialize
+from quayside.functions.scratch import file_order, materialize
 
 
 def add_audit_columns(df: DataFrame, user: str) -> DataFrame:
@@ -26,10 +26,10 @@ def number_rows(df: DataFrame, order_by: list[str], name: str, start: int = 0) -
     keys = [column(c).asc_nulls_first() for c in order_by]
     held = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys), "numbered")
     file, at, before = (unused(x, [*df.columns, name]) for x in ("file", "at", "before"))
-    sizes = held.groupBy(F.col("_metadata.file_name").alias(file)).agg(F.count("*").alias("n"))
+    sizes = held.groupBy(file_order().alias(file)).agg(F.count("*").alias("n"))
     earlier = F.sum("n").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1))
     firsts = sizes.select(file, F.coalesce(earlier, F.lit(0)).alias(before))
-    placed = held.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(at))
+    placed = held.select("*", file_order().alias(file), F.col("_metadata.row_index").alias(at))
     kept = [column(c) for c in df.columns if c.lower() != name.lower()]
     return placed.join(F.broadcast(firsts), file).select(*kept, (F.col(before) + F.col(at) + start).alias(name))
 

@@ -3,37 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.functions.names import unused
 from quayside.functions.scratch import materialize
 from quayside.operators.enrichment import number_rows, number_within
 from quayside.operators.features import assemble
 from quayside.operators.neighbours import self_neighbours
 from quayside.operators.quantiles import long_values, quantiles
+from quayside.operators.running import running_sums
 
 
 def _place(key: str) -> Column:
-    """A hash order of rows that any engine can repeat: md5 of the key as text."""
-    return F.md5(F.col(key).cast("string"))
+    """A hash order of rows that any engine can repeat: md5 of the key as text (null: of an empty one)."""
+    return F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, ratio: float = 0.8) -> DataFrame:
     """``split``: train for the first share of each class in hash order, test for the rest."""
-    placed = number_within(df.withColumn("_place", _place(key)), label, ["_place", key], "_n", "_all")
-    return placed.withColumn("split", F.when(F.col("_n") < F.floor(F.col("_all") * ratio), "train").otherwise("test")).drop("_place", "_n", "_all")
+    place, n, every = (unused(x, df.columns) for x in ("place", "n", "every"))
+    placed = number_within(df.withColumn(place, _place(key)), label, [place, key], n, every)
+    return placed.withColumn("split", F.when(F.col(n) < F.floor(F.col(every) * ratio), "train").otherwise("test")).drop(place, n, every)
 
 
 def assign_folds(df: DataFrame, key: str, k: int, label: str | None = None) -> DataFrame:
     """``fold`` 0 to k - 1: in turn within each class, or by the hash itself without one (no window over all rows)."""
     if label:
-        placed = number_within(df.withColumn("_place", _place(key)), label, ["_place", key], "_n")
-        return placed.withColumn("fold", (F.col("_n") % k).cast("int")).drop("_place", "_n")
+        place, n = (unused(x, df.columns) for x in ("place", "n"))
+        placed = number_within(df.withColumn(place, _place(key)), label, [place, key], n)
+        return placed.withColumn("fold", (F.col(n) % k).cast("int")).drop(place, n)
     return df.withColumn("fold", (F.conv(F.substr(_place(key), F.lit(1), F.lit(8)), 16, 10).cast("long") % k).cast("int"))
 
 
@@ -118,13 +124,12 @@ def group_apply(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.
 def classification_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """Accuracy, precision, recall, F1 and area under the curve, in all or per group.
 
-    Rows shrink to distinct scores first; the area is a sum of trapezoids over them, so ties count half.
+    Rows shrink to distinct scores first; the area is a sum of trapezoids over them, so ties count half. The negatives below
+    a score are a running sum over all tasks, so scores of one group need not fit into one.
     """
     by = by or []
     per = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    # Negatives below each score: a running sum in score order, per group.
-    w = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    ranked = running_sums(per, by, ["_s"], {"below": "q"}).withColumn("below", F.col("below") - F.col("q"))
     hit = F.col("_s") >= threshold
     s = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0))
     agg = ranked.groupBy(*by).agg(s(hit, "p").alias("tp"), s(hit, "q").alias("fp"), s(~hit, "p").alias("fn"), s(~hit, "q").alias("tn"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)).alias("_a"), F.sum("p").alias("_p"), F.sum("q").alias("_q"))
@@ -137,24 +142,40 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return df.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), F.var_pop(label))).alias("r2"), F.count("*").alias("n"))
 
 
-def cross_validate(df: DataFrame, key: str, label: str, columns: list[str], kind: str, k: int = 3, **params) -> DataFrame:
-    """Mean and deviation of the area under the curve over folds."""
+def _areas(folded: DataFrame, label: str, columns: list[str], kind: str, grid: list[dict], k: int, parallelism: int) -> DataFrame:
+    """``(point, fold, auc)`` of each point of a grid, models being fitted ``parallelism`` at a time."""
+    session = folded.sparkSession
+
+    def scored(job: tuple[int, int]) -> DataFrame:
+        point, fold = job
+        m = train(folded.where(F.col("fold") != fold), label, columns, kind, **grid[point])
+        return batch_score(folded.where(F.col("fold") == fold), m, columns).select(F.lit(point).alias("point"), F.lit(fold).alias("fold"), label, "score")
+
+    jobs = [(p, f) for p in range(len(grid)) for f in range(k)]
+    with ThreadPoolExecutor(max(1, min(parallelism, len(jobs)))) as pool:
+        parts = list(pool.map(inheritable_thread_target(session)(scored), jobs))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return classification_metrics(every, label, "score", by=["point", "fold"]).select("point", "fold", "auc")
+
+
+def _over_folds(areas: DataFrame, *by: str) -> DataFrame:
+    return areas.groupBy(*by).agg(F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("std_auc"), F.count("*").alias("folds"))
+
+
+def cross_validate(df: DataFrame, key: str, label: str, columns: list[str], kind: str, k: int = 3, parallelism: int = 4, **params) -> DataFrame:
+    """Mean and deviation of the area under the curve over folds. Each row is tested in one fold, one with a null key too."""
     folded = materialize(assign_folds(df, key, k, label), "folds")
-    parts = None
-    for i in range(k):
-        m = train(folded.where(F.col("fold") != i), label, columns, kind, **params)
-        one = classification_metrics(batch_score(folded.where(F.col("fold") == i), m, columns), label, "score").withColumn("fold", F.lit(i))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.agg(F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("std_auc"), F.count("*").alias("folds"))
+    return _over_folds(_areas(folded, label, columns, kind, [params], k, parallelism))
 
 
-def hyperparameter_sweep(df: DataFrame, key: str, label: str, columns: list[str], kind: str, grid: list[dict], k: int = 3) -> DataFrame:
-    """The grid's points with their cross-validated area, best first."""
-    out = None
-    for params in grid:
-        one = cross_validate(df, key, label, columns, kind, k, **params).withColumn("params", F.lit(str(sorted(params.items()))))
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc("mean_auc"), "params")
+def hyperparameter_sweep(df: DataFrame, key: str, label: str, columns: list[str], kind: str, grid: list[dict], k: int = 3, parallelism: int = 4) -> DataFrame:
+    """The grid's points with their cross-validated area, best first. The folds are written once for all points."""
+    folded = materialize(assign_folds(df, key, k, label), "folds")
+    areas = _areas(folded, label, columns, kind, grid, k, parallelism)
+    names = F.array(*[F.lit(str(sorted(p.items()))) for p in grid])
+    return _over_folds(areas, "point").withColumn("params", F.get(names, F.col("point"))).drop("point").orderBy(F.desc("mean_auc"), "params")
 
 
 def ensemble(df: DataFrame, models: list, columns: list[str], method: str = "average", weights: list[float] | None = None) -> DataFrame:
@@ -185,21 +206,27 @@ def adversarial_validation(a: DataFrame, b: DataFrame, key: str, columns: list[s
     return cross_validate(both, key, "_y", columns, "forest", 2, numTrees=10)
 
 
-def permutation_importance(df: DataFrame, model, columns: list[str], label: str, key: str, seed: int = 1) -> DataFrame:
-    """``(column, drop)``: what the area under the curve loses when a column's values are dealt to other rows."""
+def permutation_importance(df: DataFrame, model, columns: list[str], label: str, key: str, seed: int = 1, repeats: int = 1) -> DataFrame:
+    """``(column, drop, deviation)``: what the area under the curve loses when a column's values are dealt to other rows, the
+    mean over ``repeats`` deals, and the deviation between them (null for one).
+
+    A deal puts the rows in a hash order of its own and gives each row the value of the one before, the first that of the last.
+    """
     base = materialize(df.select(key, label, *columns), "importance")
-    order = materialize(number_rows(base.select(key, F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))).alias("_h")), ["_h", key], "_i"), "dealt").select(key, "_i")
-    n = order.count()
-    nxt = order.select(F.col(key).alias("_from"), ((F.col("_i") + 1) % max(n, 1)).alias("_i"))
-    donor = order.join(nxt, "_i").select(key, "_from")
-    scored = batch_score(base, model, columns).select(F.lit("").alias("column"), label, "score")
-    for c in columns:
-        values = base.select(F.col(key).alias("_from"), F.col(c).alias("_v"))
-        dealt = base.join(donor, key).join(values, "_from").withColumn(c, F.col("_v"))
-        scored = scored.unionByName(batch_score(dealt, model, columns).select(F.lit(c).alias("column"), label, "score"))
-    m = classification_metrics(scored, label, "score", by=["column"]).select("column", "auc")
+    scored = batch_score(base, model, columns).select(F.lit("").alias("column"), F.lit(0).alias("deal"), label, "score")
+    for deal in range(repeats):
+        hashed = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed + deal))))
+        order = materialize(number_rows(base.withColumn("_h", hashed), ["_h", key], "_i").drop("_h"), "dealt")
+        n = order.count()
+        giver = order.select(F.pmod(F.col("_i") + 1, F.lit(max(n, 1))).alias("_i"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
+        both = materialize(order.join(giver, "_i"), "both")
+        for i, c in enumerate(columns):
+            dealt = both.withColumn(c, F.col(f"_{i}"))
+            scored = scored.unionByName(batch_score(dealt, model, columns).select(F.lit(c).alias("column"), F.lit(deal).alias("deal"), label, "score"))
+    m = classification_metrics(scored, label, "score", by=["column", "deal"]).select("column", "deal", "auc")
     whole = m.where("column = ''").select(F.col("auc").alias("_w"))
-    return m.where("column <> ''").crossJoin(F.broadcast(whole)).select("column", (F.col("_w") - F.col("auc")).alias("drop"))
+    drops = m.where("column <> ''").crossJoin(F.broadcast(whole)).select("column", (F.col("_w") - F.col("auc")).alias("drop"))
+    return drops.groupBy("column").agg(F.avg("drop").alias("drop"), F.stddev_samp("drop").alias("deviation"))
 
 
 def route_versions(df: DataFrame, key: str, weights: dict[str, float], target: str = "version") -> DataFrame:
@@ -248,11 +275,13 @@ def psi(reference: DataFrame, current: DataFrame, columns: list[str], bins: int
 
 
 def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """Largest distance of the distribution functions per column. Rows shrink to distinct values first."""
-    per = long_values(reference, columns).withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(long_values(current, columns).withColumn("a", F.lit(0)).withColumn("b", F.lit(1))).groupBy("column", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w, t = Window.partitionBy("column").orderBy("v"), Window.partitionBy("column")
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(t) - F.sum("b").over(w) / F.sum("b").over(t))
-    return per.select("column", gap.alias("gap")).groupBy("column").agg(F.max("gap").alias("ks"))
+    """Largest distance of the distribution functions per column. Rows shrink to distinct values first, and the functions are
+    running sums over all tasks."""
+    side = lambda df, a, b: long_values(df, columns).select("column", "v", F.lit(a).alias("a"), F.lit(b).alias("b"))
+    per = side(reference, 1, 0).unionByName(side(current, 0, 1)).groupBy("column", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    reached = running_sums(per, ["column"], ["v"], {"a_to": "a", "b_to": "b"}, {"a_all": "a", "b_all": "b"})
+    gap = F.abs(F.col("a_to") / F.col("a_all") - F.col("b_to") / F.col("b_all"))
+    return reached.groupBy("column").agg(F.max(gap).alias("ks"))
 
 
 def rollback_check(metrics: DataFrame, ts: str, metric: str, threshold: float, lookback: int) -> DataFrame:
