@@ -226,6 +226,17 @@ def _(t):
     return made.select("op", "user_id", F.col("row.value").alias("value"), "seq")
 
 
+@query("prs12_snowflake_updates", "SELECT CASE event_id % 3 WHEN 0 THEN 'u' WHEN 1 THEN 'c' ELSE 'd' END AS op, user_id, value, event_id AS seq FROM events")
+def _(t):
+    """Every third change is an update: an insert and a delete of one sequence number, in either order."""
+    part = F.col("event_id") % 3
+    update = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("INSERT"), F.lit("DELETE"))).otherwise(F.array(F.lit("DELETE"), F.lit("INSERT")))
+    actions = F.when(part == 0, update).when(part == 1, F.array(F.lit("INSERT"))).otherwise(F.array(F.lit("DELETE")))
+    rows = t.events.select("user_id", "value", F.col("event_id").alias("seq"), F.explode(actions).alias("METADATA$ACTION"), (part == 0).alias("METADATA$ISUPDATE"))
+    made = P.parse_cdc_envelope(rows.select(F.to_json(F.struct("*")).alias("v")), "v", "snowflake", "user_id bigint, value double", ["user_id"])
+    return made.select("op", "user_id", F.col("row.value").alias("value"), "seq")
+
+
 @query("src10_decode_kafka", "SELECT user_id::VARCHAR AS key, event_id % 4 AS partition, event_id AS \"offset\", event_type, value FROM events")
 def _(t):
     raw = t.events.select(F.col("user_id").cast("string").cast("binary").alias("key"), F.to_json(F.struct("event_type", "value")).cast("binary").alias("value"), F.lit("events").alias("topic"), (F.col("event_id") % 4).alias("partition"), F.col("event_id").alias("offset"), F.col("ts").cast("timestamp").alias("timestamp"))
@@ -290,6 +301,14 @@ def _(t):
     return quality.reconcile_tables(o, other, ["o_orderkey"])
 
 
+@query("qty3_null_keys", "SELECT nullif(o_custkey, 1)::BIGINT AS k, o_orderkey, 'different' AS status FROM orders WHERE o_orderkey % 50 = 0")
+def _(t):
+    """Rows with a null in their key are in both tables; nothing but what differs is told, though all share one bucket."""
+    o = t.orders.select(F.nullif(F.col("o_custkey"), F.lit(1)).alias("k"), "o_orderkey", "o_totalprice")
+    other = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 50 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return quality.reconcile_tables(o, other, ["k", "o_orderkey"], buckets=1)
+
+
 @query("qty4_freshness", "SELECT event_type, max(ts) AS newest, epoch(TIMESTAMP '2024-02-01' - max(ts)) / 3600 > 30 AS is_late FROM events GROUP BY 1")
 def _(t):
     return quality.freshness(t.events, "ts", ["event_type"], "2024-02-01", 30).select("event_type", "newest", "is_late")

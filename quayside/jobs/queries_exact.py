@@ -123,6 +123,36 @@ def _(t):
     return best_five(R.recommend(R.als(r, "u", "i", "r", iterations=2), "u", "i", 5))
 
 
+#: Ratings that one factor explains: (1 + user / 1000) times (1 + number of the brand).
+PRODUCTS = "p AS (SELECT DISTINCT l_suppkey::INT AS u, replace(p_brand, 'Brand#', '')::INT AS i FROM lineitem JOIN part ON l_partkey = p_partkey), r AS (SELECT u, i, (1 + u / 1000.0) * (1 + i) AS r FROM p)"
+
+
+def products(t):
+    both = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    p = both.select(F.col("l_suppkey").cast("int").alias("u"), F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int").alias("i")).distinct()
+    return p.withColumn("r", (1 + F.col("u") / 1000.0) * (1 + F.col("i")))
+
+
+def one_factor(r):
+    return R.als(r, "u", "i", "r", rank=1, iterations=10, reg=0.0)
+
+
+@query("rec1_items", f"WITH {PRODUCTS}, a AS (SELECT DISTINCT u FROM p), b AS (SELECT DISTINCT i FROM p), s AS (SELECT i, u, (1 + u / 1000.0) * (1 + i) AS score, row_number() OVER (PARTITION BY i ORDER BY u DESC) AS rank FROM a, b) SELECT i, rank::INT AS rank, u, round(score, 3) AS score FROM s WHERE rank <= 3")
+def _(t):
+    """The three users of each item with the highest ratings, where one factor explains all ratings."""
+    return R.recommend_to_items(one_factor(products(t)), "u", "i", 3).select("i", "rank", "u", F.round(F.col("score").cast("double"), 3).alias("score"))
+
+
+@query("rec1_rmse", f"WITH {PRODUCTS} SELECT count(*) AS n, round(sqrt(avg(CASE WHEN u % 2 = 0 THEN 0.25 ELSE 0 END)), 3) AS rmse, round(avg(CASE WHEN u % 2 = 0 THEN 0.5 ELSE 0 END), 3) AS mae, 1 AS unknown FROM r")
+def _(t):
+    """Ratings of even users are half a point off, and one user is new to the model."""
+    r = products(t)
+    model = one_factor(r)
+    test = r.withColumn("r", F.col("r") + F.when(F.col("u") % 2 == 0, 0.5).otherwise(0.0))
+    test = test.unionByName(test.limit(1).withColumn("u", F.lit(-1)))
+    return R.rating_error(model, test, "r").select("n", F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"), "unknown")
+
+
 @query("rec2_five_items", BEST_FIVE)
 def _(t):
     r = ratings(t).groupBy("u", "i").agg(F.count("*").cast("double").alias("r"))

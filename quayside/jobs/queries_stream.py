@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quayside.functions.scratch import scratch_path
+from quayside.functions.scratch import materialize, scratch_path
 from quayside.jobs.registry import query
 from quayside.sources import files, messages
 from quayside.streaming import jobs as S
@@ -111,8 +112,7 @@ def _(t):
     op = F.when(F.col("event_type") == "error", "d").otherwise("u")
     q = S.stream_upsert(events(t).select("user_id", "value", op.alias("op"), "event_id"), path, ["user_id"], ["event_id"], check)
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"])
-    return S.upserted(t.spark, path, last).select("user_id", "value")
+    return S.upserted(t.spark, path).select("user_id", "value")
 
 
 @query("str10_stream_score")
@@ -131,6 +131,118 @@ def _(t):
     return S.run_now(s, "update", keys=["user_id"]).select("user_id", "n", F.round("total", 3).alias("total"))
 
 
+@query("str11_timers", """WITH e AS (SELECT user_id, event_id, value, epoch_us(ts) // 1000 AS z FROM events),
+g AS (SELECT *, coalesce(z - lag(z) OVER w >= 86400000, false)::INT AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY z, event_id)),
+r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY z, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+s AS (SELECT user_id, k, max(z) AS last_ms, count(*) AS n, round(sum(value), 3) AS total, max(k) OVER (PARTITION BY user_id) AS newest FROM r GROUP BY user_id, k)
+SELECT user_id, last_ms, n, total FROM s WHERE k < newest OR last_ms + 86400000 <= (SELECT max(z) FROM e)""")
+def _(t):
+    """Users that were idle for a day, told once. The events come in the order of their times, in four batches, the last two
+    of them after a restart."""
+    path, out, check = (scratch_path(t.spark, n) for n in ("timed", "idle", "check"))
+    e = t.events.select("user_id", "ts", "value")
+    quarter = F.ntile(4).over(Window.orderBy("day"))
+    days = e.select(F.col("ts").cast("date").alias("day")).distinct().withColumn("quarter", quarter)  # a row a day
+    dealt = e.join(days, F.col("ts").cast("date") == F.col("day")).select("user_id", "ts", "value", "quarter")
+    dealt = materialize(dealt, "dealt")
+    for half in ([1, 2], [3, 4]):
+        for q in half:
+            dealt.where(F.col("quarter") == q).drop("quarter").coalesce(1).write.mode("append").parquet(path)
+        with S.with_rocksdb(t.spark):
+            told = S.idle_runs(S.stream_files(t.spark, path, e.schema, "parquet", 1), "user_id", "ts", "value")
+            told.writeStream.foreachBatch(S.by_batch(out)).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out).select("user_id", "last_ms", "n", F.round("total", 3).alias("total"))
+
+
+@query("str6_dropped_rows", """WITH m AS (SELECT (max(epoch_us(ts)) // 1000 - 86400000) * 1000 AS mark FROM events WHERE user_id % 2 = 0)
+SELECT (SELECT count(*) FROM events) AS rows_read, count(*) FILTER (user_id % 2 = 1 AND epoch_us(ts) <= mark) AS rows_dropped,
+  count(*) FILTER (user_id % 2 = 0 OR epoch_us(ts) > mark) AS kept FROM events, m""")
+def _(t):
+    """The events of even users come first; those of odd ones that lie a day behind them are dropped. Both counts are those
+    of the stream's own listener."""
+    path, out, check = (scratch_path(t.spark, n) for n in ("arrived", "kept", "check"))
+    told = None
+    for i in range(2):
+        t.events.where(f"user_id % 2 = {i}").write.mode("append").parquet(path)
+        arrived = S.stream_files(t.spark, path, t.events.schema, "parquet").select("event_id", "ts")
+        log = S.run_logged(S.dedupe_state(arrived, ["event_id"], "ts", "1 day"), out, check)
+        told = log if told is None else told.unionByName(log)
+    sums = told.agg(F.sum("rows_read").alias("rows_read"), F.sum("rows_dropped").alias("rows_dropped"))
+    return sums.crossJoin(F.broadcast(t.spark.read.parquet(out).agg(F.count("*").alias("kept"))))
+
+
+@query("src14_two_columns", "SELECT count(*) AS n, true AS few_by_day, true AS few_by_part FROM lineitem")
+def _(t):
+    """Lines along a curve through day and part: of 64 files, those that hold a month or a fiftieth of the parts."""
+    path = scratch_path(t.spark, "curve")
+    files.write_clustered(t.lineitem, path, ["l_shipdate", "l_partkey"], 64)
+    held = t.spark.read.parquet(path)
+    read = lambda cond: F.count_distinct(F.when(cond, F.col("_metadata.file_name")))
+    most = held.select(F.max("l_partkey")).first()[0]
+    found = held.agg(
+        F.count("*").alias("n"), F.count_distinct(F.col("_metadata.file_name")).alias("every"),
+        read(F.date_trunc("month", "l_shipdate") == F.lit("1995-03-01").cast("timestamp_ntz")).alias("days"), read(F.col("l_partkey") <= most // 50).alias("parts"),
+    )
+    return found.select("n", (F.col("days").between(1, F.col("every") / 2)).alias("few_by_day"), (F.col("parts").between(1, F.col("every") / 2)).alias("few_by_part"))
+
+
+@query("src18_audit_row", """WITH b AS (SELECT *, o_orderdate >= TIMESTAMP '1995-01-01' AS late FROM orders)
+SELECT 'orders' AS job, unnest([1, 2, 3]) AS run, unnest([count(*) FILTER (NOT late), count(*) FILTER (late), 0]) AS rows_read, unnest([count(*) FILTER (NOT late AND o_orderstatus <> 'P'), count(*) FILTER (late AND o_orderstatus <> 'P'), 0]) AS rows_written,
+  unnest([NULL, strftime(max(o_orderdate) FILTER (NOT late), '%Y-%m-%d %H:%M:%S'), strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S')]) AS watermark_before,
+  unnest([strftime(max(o_orderdate) FILTER (NOT late), '%Y-%m-%d %H:%M:%S'), strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S'), strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S')]) AS watermark_after,
+  unnest(['', 'added source string', '']) AS schema_changes FROM b""")
+def _(t):
+    """The orders up to a day, then all beyond the watermark with a column more, then those beyond it once more."""
+    path, mark, rows = scratch_path(t.spark, "audited"), None, []
+    keep = lambda df: df.where("o_orderstatus <> 'P'")
+    for run in (1, 2, 3):
+        source = t.orders.where("o_orderdate < TIMESTAMP '1995-01-01'") if run == 1 else t.orders.withColumn("source", F.lit("crm"))
+        row = files.run_audited(source, path, "orders", watermark="o_orderdate", after=mark, transform=keep)
+        mark = row["watermark_after"]
+        rows.append((row["job"], run, row["rows_read"], row["rows_written"], row["watermark_before"], mark, ";".join(row["schema_changes"])))
+    return t.spark.createDataFrame(rows, "job string, run int, rows_read long, rows_written long, watermark_before string, watermark_after string, schema_changes string")
+
+
+@query("src7_pictures", "SELECT c_custkey, upper(substr(c_mktsegment, 1, 3)) AS segment, round(c_acctbal, 2)::DOUBLE AS balance, (c_custkey % 10)::BIGINT AS first_digit, (c_custkey % 7)::BIGINT AS second_digit, c_nationkey::BIGINT AS nation FROM customer")
+def _(t):
+    """Repeated signs, a punched sign, a group that occurs twice and two fillers, before the field that all of them shift."""
+    layout = files.layout_from_copybook("""
+       01 CUSTOMER.
+          05 C-CUSTKEY PIC 9(10).
+          05 SEGMENT PIC XXX.
+          05 FILLER PIC X(2).
+      * a comment PIC X(99).
+          05 BALANCE PIC S9(7)V99.
+             88 EMPTY VALUE ZERO.
+          05 PAIR OCCURS 2 TIMES.
+             10 DIGIT PIC 99.
+             10 FILLER PIC X.
+          05 NATION
+             PIC 9999.
+""")
+    cents = F.round(F.abs("c_acctbal") * 100).cast("long").cast("string")
+    signs = F.when(F.col("c_acctbal") < 0, "}JKLMNOPQR").otherwise("{ABCDEFGHI")
+    last = F.substr(signs, F.substr(cents, F.length(cents)).cast("int") + 1, F.lit(1))
+    punched = F.concat(F.substr(F.lpad(cents, 9, "0"), F.lit(1), F.lit(8)), last)
+    two = lambda n: F.lpad((F.col("c_custkey") % n).cast("string"), 2, "0")
+    line = F.concat(
+        F.lpad(F.col("c_custkey").cast("string"), 10, "0"), F.upper(F.substr("c_mktsegment", F.lit(1), F.lit(3))), F.lit("--"), punched,
+        two(10), F.lit("/"), two(7), F.lit("/"), F.lpad(F.col("c_nationkey").cast("string"), 4, "0"),
+    )
+    got = files.slice_fixed_width(t.customer.select(line.alias("value")), "value", layout)
+    return got.select("c_custkey", "segment", F.col("balance").cast("double").alias("balance"), F.col("digit_1").alias("first_digit"), F.col("digit_2").alias("second_digit"), "nation")
+
+
+@query("prs7_two_sets", """SELECT o_orderkey, unnest(['A' || o_orderkey, 'B' || o_orderkey]) AS claim_id, unnest(['ANN DOE' || o_custkey, NULL]) AS patient, unnest([NULL, 'GREG HOUSE']) AS provider FROM orders""")
+def _(t):
+    """The first set has a patient and no provider, the second one a provider and no patient."""
+    text = F.concat(
+        F.lit("ISA*00~ST*837*0001~NM1*IL*1*DOE"), F.col("o_custkey"), F.lit("*ANN~CLM*A"), F.col("o_orderkey"), F.lit("*5***11:B:1~SE*4*0001~\nST*837*0002~CLM*B"),
+        F.col("o_orderkey"), F.lit("*7***11:B:1~NM1*82*1*HOUSE*GREG~SE*4*0002~IEA*1~"),
+    )
+    return messages.parse_x12_claims(t.orders.select("o_orderkey", text.alias("x")), "o_orderkey", "x").select("o_orderkey", "claim_id", "patient", "provider")
+
+
 ORDER_ROWS = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
 
 

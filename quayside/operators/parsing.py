@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def infer_json_schema(df: DataFrame, column: str) -> T.DataType:
-    """Schema of JSON texts over all rows, by one distributed pass."""
-    return df.sparkSession.read.json(df.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).rdd.map(lambda r: r[0])).schema
+def _kind(text: str, at: int) -> tuple[T.DataType, int]:
+    """A type as ``schema_of_variant_agg`` writes it, from a place on, and the place behind it."""
+    word = re.compile(r"[A-Z]+").match(text, at).group(0)
+    at += len(word)
+    if word == "ARRAY":
+        inner, at = _kind(text, at + 1)
+        return T.ArrayType(inner), at + 1
+    if word == "OBJECT":
+        fields = []
+        while text[at] in "<,":
+            name = re.compile(r"[<,] ?(?:`((?:[^`]|``)*)`|([^:<>,` ]*)): ").match(text, at)
+            if name is None:
+                return T.StructType([]), at + 2  # an object without fields
+            inner, at = _kind(text, name.end())
+            fields.append(T.StructField(name.group(1).replace("``", "`") if name.group(1) is not None else name.group(2), inner))
+        return T.StructType(fields), at + 1
+    if word == "DECIMAL":
+        digits, scale = map(int, re.compile(r"\((\d+),(\d+)\)").match(text, at).groups())
+        return T.DoubleType() if scale else T.DecimalType(digits, 0) if digits > 19 else T.LongType(), text.index(")", at) + 1
+    return {"BIGINT": T.LongType(), "BOOLEAN": T.BooleanType(), "DOUBLE": T.DoubleType()}.get(word, T.StringType()), at
+
+
+def infer_json_schema(df: DataFrame, column: str) -> T.StructType:
+    """Schema of JSON texts over all rows, by one distributed pass of native aggregates: numbers with a point or an exponent
+    are doubles, what differs between rows, or is null in all of them, is a string. Texts that are no objects say nothing."""
+    value = F.try_parse_json(F.col(column).cast("string"))
+    found = df.select(value.alias("v")).where(F.schema_of_variant("v").like("OBJECT%")).agg(F.schema_of_variant_agg("v")).first()[0]
+    kind = _kind(found, 0)[0] if found and found.startswith("OBJECT") else T.StructType([])
+    return kind
 
 
 def parse_json_column(df: DataFrame, column: str, schema: str | T.DataType | None = None, prefix: str = "", drop_source: bool = False) -> DataFrame:
-    """Fields of a JSON text as columns; text that isn't JSON gives nulls."""
+    """Fields of a JSON text as columns; text that isn't JSON gives nulls. Without a schema that of all texts is inferred."""
     kind = infer_json_schema(df, column) if schema is None else schema
     kind = T.StructType.fromDDL(kind) if isinstance(kind, str) else kind
     keep = [c for c in df.columns if not (drop_source and c == column)]
@@ -76,7 +104,8 @@ _OPS = {"c": "c", "u": "u", "r": "r", "d": "d", "insert": "c", "update": "u", "d
 def parse_cdc_envelope(df: DataFrame, column: str, envelope: str, row_schema: str, keys: list[str], seq: str | None = None) -> DataFrame:
     """Change events as ``(op, key columns, row, seq)``: op is c, u, r or d; ``row`` the image after, or before a delete.
 
-    ``envelope``: debezium, maxwell, mongo, goldengate or snowflake. ``seq`` names another column to order by.
+    ``envelope``: debezium, maxwell, mongo, goldengate or snowflake. ``seq`` names another column to order by. An update of
+    snowflake is a delete and an insert that say so: the insert is the update, the delete no event.
     """
     j = F.col(column)
     get = lambda p: F.get_json_object(j, p)
@@ -91,6 +120,10 @@ def parse_cdc_envelope(df: DataFrame, column: str, envelope: str, row_schema: st
     if envelope not in forms:
         raise ValueError(f"unknown envelope {envelope!r}")
     op, image, order = forms[envelope]
+    if envelope == "snowflake":
+        updates = F.coalesce(F.lower(get("$['METADATA$ISUPDATE']")) == "true", F.lit(False))
+        df = df.where(~(updates & (F.upper(op) == "DELETE")))
+        op = F.when(updates, F.lit("u")).otherwise(op)
     ops = F.create_map(*[F.lit(x) for kv in _OPS.items() for x in kv])
     made = df.select(F.try_element_at(ops, op).alias("op"), image.alias("row"), (F.col(seq) if seq else order.try_cast("long")).alias("seq"))
     return made.select("op", *[F.col(f"row.{k}").alias(k) for k in keys], "row", "seq")

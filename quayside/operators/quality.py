@@ -108,9 +108,15 @@ def reconcile_tables(source: DataFrame, target: DataFrame, keys: list[str], buck
     tally = lambda df, n: df.groupBy("_b").agg(F.sum(F.xxhash64(*keys, "_h").cast("decimal(38,0)")).alias(n))
     off = tally(s, "_x").join(tally(t, "_y"), "_b", "full_outer").where(~F.col("_x").eqNullSafe(F.col("_y"))).select("_b")
     a, b = s.join(off, "_b", "left_semi").drop("_b"), t.join(off, "_b", "left_semi").drop("_b").withColumnRenamed("_h", "_g")
-    both = a.withColumn("_s", F.lit(1)).join(b.withColumn("_t", F.lit(1)), keys, "full_outer")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"_l{i}").eqNullSafe(F.col(f"_r{i}"))  # a null key meets a null key
+    left = a.select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)], "_h", F.lit(1).alias("_s"))
+    right = b.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], "_g", F.lit(1).alias("_t"))
+    both = left.join(right, same, "full_outer")
     status = F.when(F.col("_t").isNull(), "missing").when(F.col("_s").isNull(), "extra").when(F.col("_h") != F.col("_g"), "different")
-    return both.select(*keys, status.alias("status")).where("status is not null")
+    names = [F.when(F.col("_s").isNull(), F.col(f"_r{i}")).otherwise(F.col(f"_l{i}")).alias(k) for i, k in enumerate(keys)]
+    return both.select(*names, status.alias("status")).where("status is not null")
 
 
 def freshness(df: DataFrame, ts: str, group: list[str], now: str, most_hours: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.functions.names import column, unused
+
 _AGG = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
@@ -40,10 +42,22 @@ def rolling_window_features(df: DataFrame, partition_by: list[str], order_by: li
     return df.withColumns({f"{value}_{a}_{n}": _AGG[a](value).over(w.rowsBetween(-n, -1)) for n in windows for a in aggs})
 
 
-def velocity_features(df: DataFrame, key: str, ts: str, amount: str, hours: tuple[int, ...] = (1, 24, 168)) -> DataFrame:
-    """Number and sum of a key's rows in the hours up to and with the current one."""
-    w = Window.partitionBy(key).orderBy(F.unix_timestamp(F.col(ts).cast("timestamp")))
-    return df.withColumns({f"{what}_{h}h": f.over(w.rangeBetween(-h * 3600, 0)) for h in hours for what, f in (("n", F.count("*")), ("sum", F.sum(amount)))})
+def velocity_features(df: DataFrame, key: str, ts: str, amount: str, hours: tuple[int, ...] = (1, 24, 168), slice_hours: int | None = None) -> DataFrame:
+    """Number and sum of a key's rows in the hours up to and with the current one.
+
+    A key's time is cut into slices (as long as the longest frame, if not said otherwise), each a window of its own, so a hot
+    key spreads over as many tasks as it has slices. A row is counted in its own slice and, as an overlap, in those that its
+    frame reaches into, but returned from its own only. Rows without a time count each other, as one window would have it.
+    """
+    longest = max(hours) * 3600
+    width = (slice_hours or max(hours)) * 3600
+    at, part, own = (unused(x, df.columns) for x in ("at", "part", "own"))
+    first = F.floor(F.col(at) / width).cast("long")
+    slices = F.coalesce(F.sequence(first, F.floor((F.col(at) + longest) / width).cast("long")), F.array(F.lit(None).cast("long")))
+    dealt = df.withColumn(at, F.unix_timestamp(F.col(ts).cast("timestamp"))).withColumn(own, first).withColumn(part, F.explode(slices))
+    w = Window.partitionBy(key, part).orderBy(at)
+    counted = dealt.withColumns({f"{what}_{h}h": f.over(w.rangeBetween(-h * 3600, 0)) for h in hours for what, f in (("n", F.count("*")), ("sum", F.sum(amount)))})
+    return counted.where(F.col(part).eqNullSafe(F.col(own))).drop(at, part, own)
 
 
 def lag_features(df: DataFrame, series: list[str], ts: str, value: str, lags: list[int], rolling: list[int]) -> DataFrame:
@@ -61,9 +75,27 @@ def residual_anomalies(forecasts: DataFrame, actuals: DataFrame, on: list[str],
     return r.join(s, series).withColumn("is_anomaly", F.coalesce(F.abs(F.col("residual") - F.col("residual_mean")) > sigma * F.col("residual_std"), F.lit(False)))
 
 
-def time_since_event(df: DataFrame, key: str, ts: str, type_col: str, types: list[str], as_of: bool = True, unit_seconds: int = 3600) -> DataFrame:
-    """Time since the key's last event of each type: up to the row (``as_of``) or over all its rows. One window, no joins."""
-    t = F.unix_timestamp(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key)
-    w = w.orderBy(t).rangeBetween(Window.unboundedPreceding, 0) if as_of else w
-    return df.withColumns({f"since_{x}": (t - F.max(F.when(F.col(type_col) == x, t)).over(w)) / unit_seconds for x in types})
+def time_since_event(df: DataFrame, key: str, ts: str, type_col: str, types: list[str], as_of: bool = True, unit_seconds: int = 3600, slice_hours: int = 24) -> DataFrame:
+    """Time since the key's last event of each type: up to the row (``as_of``) or over all its rows.
+
+    Up to the row, each slice of a key's time is a window of its own and gets the last events of the slices before it from
+    a table with a row for each of them, so no task sees all rows of a hot key.
+    """
+    taken = [*df.columns, *[f"since_{x}" for x in types]]
+    at, part, k, s = (unused(x, taken) for x in ("at", "part", "of_key", "of_part"))
+    last = {x: unused(f"last_{i}", taken) for i, x in enumerate(types)}
+    timed = df.withColumn(at, F.unix_timestamp(F.col(ts).cast("timestamp"))).withColumn(part, F.floor(F.col(at) / (slice_hours * 3600)))
+    newest = {x: F.max(F.when(F.col(type_col) == x, F.col(at))) for x in types}
+    if as_of:
+        before = Window.partitionBy(k).orderBy(F.col(s).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        per = timed.groupBy(F.col(key).alias(k), F.col(part).alias(s)).agg(*[f.alias(last[x]) for x, f in newest.items()])
+        per = per.select(k, s, *[F.max(n).over(before).alias(n) for n in last.values()])
+        inside = Window.partitionBy(key, part).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+        seen = timed.withColumns({f"since_{x}": f.over(inside) for x, f in newest.items()})
+        both = seen.join(per, F.col(key).eqNullSafe(F.col(k)) & F.col(part).eqNullSafe(F.col(s)))
+        since = {x: F.coalesce(F.col(f"since_{x}"), F.col(last[x])) for x in types}
+    else:
+        per = timed.groupBy(F.col(key).alias(k)).agg(*[f.alias(last[x]) for x, f in newest.items()])
+        both = timed.join(per, F.col(key).eqNullSafe(F.col(k)))
+        since = {x: F.col(last[x]) for x in types}
+    return both.select(*[column(c) for c in df.columns], *[((F.col(at) - c) / unit_seconds).alias(f"since_{x}") for x, c in since.items()])

@@ -38,18 +38,25 @@ def parse_fix_log(df: DataFrame, column: str, message_types: list[str] | None =
 
 
 def parse_x12_claims(df: DataFrame, key: str, column: str) -> DataFrame:
-    """``(key, claim_id, amount, place, patient, provider)``: a row per CLM segment; names come from the last NM1 segments
-    before it in the same file (IL: patient, 82: provider, which may follow the claim within its set)."""
-    seg = df.select(key, F.posexplode(F.split(F.regexp_replace(column, r"[\r\n]", ""), "~")).alias("n", "s")).withColumn("e", F.split("s", r"\*"))
+    """``(key, claim_id, amount, place, patient, provider)``: a row per CLM segment. The patient is that of the last NM1*IL
+    before it, the provider that of the first NM1*82 behind it, both within its transaction set: ST opens one and SE closes
+    it, and what stands between sets is read as a set of its own. Null texts give no rows."""
+    seg = df.select(key, F.posexplode(F.split(F.regexp_replace(column, r"[\r\n]", ""), "~")).alias("n", "s")).withColumn("e", F.split(F.trim("s"), r"\*"))
     at = lambda i: F.try_element_at("e", F.lit(i + 1))
-    w = Window.partitionBy(key).orderBy("n")
+    seg = seg.withColumn("set_no", F.sum(F.when(at(0).isin("ST", "SE"), 1).otherwise(0)).over(Window.partitionBy(key).orderBy("n")))
+    w = Window.partitionBy(key, "set_no").orderBy("n")
     name = F.trim(F.concat_ws(" ", at(4), at(3)))
     seg = seg.withColumns({"claim_no": F.sum(F.when(at(0) == "CLM", 1).otherwise(0)).over(w), "patient_now": F.last(F.when((at(0) == "NM1") & (at(1) == "IL"), name), ignorenulls=True).over(w)})
-    grouped = seg.where("claim_no > 0").groupBy(key, "claim_no").agg(
-        F.first(F.when(at(0) == "CLM", at(1)), ignorenulls=True).alias("claim_id"), F.first(F.when(at(0) == "CLM", at(2).try_cast("decimal(18,2)")), ignorenulls=True).alias("amount"),
-        F.first(F.when(at(0) == "CLM", F.split(at(5), ":")[0]), ignorenulls=True).alias("place"), F.first(F.when(at(0) == "CLM", F.col("patient_now")), ignorenulls=True).alias("patient"),
-        F.first(F.when((at(0) == "NM1") & (at(1) == "82"), name), ignorenulls=True).alias("provider"))
-    return grouped.drop("claim_no")
+    of_claim = lambda c: F.max(F.when(at(0) == "CLM", c))  # noqa: E731  a claim has one such segment
+    provider = F.when((at(0) == "NM1") & (at(1) == "82"), name)
+    grouped = seg.where("claim_no > 0").groupBy(key, "set_no", "claim_no").agg(
+        of_claim(at(1)).alias("claim_id"),
+        of_claim(at(2).try_cast("decimal(18,2)")).alias("amount"),
+        of_claim(F.split(at(5), ":")[0]).alias("place"),
+        of_claim(F.col("patient_now")).alias("patient"),
+        F.min_by(provider, F.when(provider.isNotNull(), F.col("n"))).alias("provider"),
+    )
+    return grouped.drop("set_no", "claim_no")
 
 
 def parse_swift_mt(df: DataFrame, column: str) -> DataFrame:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from quayside.functions.scratch import remove, scratch_path
+from quayside.functions.scratch import discard, materialize, scratch_path
 from quayside.operators.history import compact_changes
-from quayside.sources.files import write_table
+from quayside.sources.files import overwrite_partitions
 
 
 def stream_files(spark: SparkSession, path: str, schema, kind: str = "json", files_per_trigger: int | None = None) -> DataFrame:
@@ -50,6 +54,11 @@ def dedupe_stream(df: DataFrame, keys: list[str], ts: str, delay: str) -> DataFr
     return _timed(df, ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def dedupe_state(df: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
+    """One row for each key and time; rows behind the watermark are dropped, and counted by the stream."""
+    return _timed(df, ts, delay).dropDuplicates([*keys, ts])
+
+
 def by_batch(path: str) -> Callable[[DataFrame, int], None]:
     """A sink that writes each batch as a partition ``batch`` of a table, in place of what an earlier run of it wrote."""
     return lambda df, number: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -105,24 +114,40 @@ def interval_join(a: DataFrame, b: DataFrame, key: str, a_ts: str, b_ts: str, wi
     return x.join(y, (F.col(key) == F.col(f"_{key}")) & (F.col(b_ts) >= F.col(a_ts)) & (F.col(b_ts) <= F.col(a_ts) + F.expr(f"INTERVAL {within}"))).drop(f"_{key}")
 
 
-def stream_upsert(df: DataFrame, path: str, keys: list[str], seq: list[str], checkpoint: str) -> StreamingQuery:
-    """Keep the last change per key in versions ``path/v=<batch>``; ``upserted`` reads the rows that are not deleted.
+def stream_upsert(df: DataFrame, path: str, keys: list[str], seq: list[str], checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep the last change per key in a table of ``buckets`` folders by a hash of the key; ``upserted`` reads the rows that
+    are not deleted.
 
-    Deletes stay as marks, so batches may come in any order of ``seq``. Each batch reads the version before and writes its
-    own whole, so a batch that runs again writes the same; versions older than the one before are removed.
+    Deletes stay as marks, so batches may come in any order of ``seq``. A batch reads and overwrites only the buckets that its
+    keys fall into: choose so many that a batch's keys touch few of them. Each row has the number of the batch that wrote
+    its bucket last, so a batch that runs again passes over the buckets that it had finished and mends the others.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        every = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v={number - 1}").unionByName(batch) if number else batch
-        write_table(compact_changes(every, keys, seq), f"{path}/v={number}", mode="overwrite")
-        if number > 1:
-            remove(batch.sparkSession, f"{path}/v={number - 2}")
+        spark = batch.sparkSession
+        # Hashed as a struct, null keys have a bucket like any other.
+        dealt = materialize(batch.withColumn("_bucket", F.pmod(F.xxhash64(F.struct(*keys)), F.lit(buckets)).cast("int")), "changes")
+        touched = [r[0] for r in dealt.select("_bucket").distinct().collect()]  # at most as many as there are buckets
+        schema = StructType([*batch.schema.fields, StructField("_batch", LongType()), StructField("_bucket", IntegerType())])
+        try:
+            held = spark.read.schema(schema).parquet(path).where(F.col("_bucket").isin(touched))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            held = spark.createDataFrame([], schema)
+        done = [r[0] for r in held.where(F.col("_batch") >= number).select("_bucket").distinct().collect()]
+        every = held.drop("_batch").unionByName(dealt).where(~F.col("_bucket").isin(done))
+        # Written aside first, as the table that is read is the one that is written.
+        merged = materialize(compact_changes(every, ["_bucket", *keys], seq).withColumn("_batch", F.lit(number)), "merged")
+        overwrite_partitions(merged.repartition("_bucket"), path, ["_bucket"])
+        discard(dealt, merged)
 
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upserted(spark: SparkSession, path: str, version: int, op: str = "op") -> DataFrame:
-    return spark.read.parquet(f"{path}/v={version}").where(~F.coalesce(F.col(op).isin("d", "delete", "D", "DELETE"), F.lit(False)))
+def upserted(spark: SparkSession, path: str, op: str = "op") -> DataFrame:
+    rows = spark.read.parquet(path).drop("_batch", "_bucket")
+    return rows.where(~F.coalesce(F.col(op).isin("d", "delete", "D", "DELETE"), F.lit(False)))
 
 
 def stream_score(df: DataFrame, column: str, schema: str, model, columns: list[str]) -> DataFrame:
@@ -153,6 +178,123 @@ def user_state(df: DataFrame, key: str, ts: str, value: str, timeout: str = "1 h
     return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, total double, last_seen long", "n long, total double, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+class _Idle(StatefulProcessor):
+    """Closes a key's run of rows once no row has come for ``hold`` milliseconds of event time."""
+
+    def __init__(self, hold: int):
+        self.hold = hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, due long")
+        self.values = handle.getListState("values", "v double")
+
+    def _told(self, key: tuple, last: int, values: list[float]) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "last_ms": [last], "n": [len(values)], "total": [float(sum(values))]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # All rows of the batch are put in order: a run can have ended between two of them.
+        got = sorted((int(t), v) for f in rows for t, v in zip(f["at_ms"], f["v"].fillna(0)))
+        last, due = self.last.get() if self.last.exists() else (None, None)
+        held = [v for (v,) in self.values.get()] if last is not None else []
+        for at, v in got:
+            if last is not None and at - last >= self.hold:
+                yield self._told(key, last, held)
+                held = []
+            last = at if last is None else max(last, at)
+            held.append(v)
+        if due is not None:
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(last + self.hold)
+        self.last.update((last, last + self.hold))
+        self.values.put([(v,) for v in held])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            yield self._told(key, self.last.get()[0], [v for (v,) in self.values.get()])
+            self.last.clear()
+            self.values.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def idle_runs(df: DataFrame, key: str, ts: str, value: str, idle: str = "1 day", delay: str = "0 seconds") -> DataFrame:
+    """``key, last_ms, n, total`` once for each run of a key's rows after which none came for ``idle`` of event time.
+
+    Value and list state with a timer for each key; a run that is told leaves no state. Timers go by the watermark, so a
+    run is told when the watermark passes its end, or at once if the next batch holds a row beyond it. The stream needs the
+    RocksDB state store: see ``with_rocksdb``.
+    """
+    hold = int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = df.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("t"), F.col(value).cast("double").alias("v")).withWatermark("t", delay)
+    rows = rows.select("key", "t", F.unix_millis("t").alias("at_ms"), "v")
+    kind = df.schema[key].dataType.simpleString()
+    told = rows.groupBy("key").transformWithStateInPandas(_Idle(hold), f"key {kind}, last_ms long, n long, total double", "Append", "EventTime")
+    return told.withColumnRenamed("key", key)
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB."""
+    kept = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, kept)
+
+
+class ProgressLog(StreamingQueryListener):
+    """Rows read and rows that came behind the watermark, by query and batch."""
+
+    def __init__(self) -> None:
+        self.batches: dict[str, dict[int, tuple[int, int]]] = {}
+        self._ended: dict[str, threading.Event] = {}
+        self._lock = threading.Lock()
+
+    def _end(self, query: str) -> threading.Event:
+        with self._lock:
+            return self._ended.setdefault(query, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        self.batches.setdefault(str(p.id), {})[p.batchId] = (p.numInputRows, late)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.id)).set()
+
+    def of(self, query: StreamingQuery, seconds: float = 60) -> dict[int, tuple[int, int]]:
+        """``batch: (rows read, rows dropped)`` of a query that ended, all its events having arrived."""
+        if not self._end(str(query.id)).wait(seconds):
+            raise TimeoutError(f"the end of query {query.id} was not told")
+        return self.batches.get(str(query.id), {})
+
+
+def run_logged(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Drive a stream over what is there now into ``out`` by batch, and return ``batch, rows_read, rows_dropped``: the rows
+    dropped are those that a stateful operator met behind the watermark."""
+    log = ProgressLog()
+    df.sparkSession.streams.addListener(log)
+    try:
+        q = df.writeStream.foreachBatch(by_batch(out)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        told = log.of(q)
+    finally:
+        df.sparkSession.streams.removeListener(log)
+    return df.sparkSession.createDataFrame([(b, *x) for b, x in sorted(told.items())], "batch long, rows_read long, rows_dropped long")
+
+
 def run_now(df: DataFrame, mode: str, columns: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """Drive a stream over what is there now, each batch written as a table in the scratch folder, and return: in append
     mode all rows, in complete mode those of the last batch, in update mode the newest row for each of ``keys``."""
