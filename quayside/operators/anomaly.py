@@ -18,6 +18,7 @@ from quayside.functions.scratch import materialize
 from quayside.operators.enrichment import number_within
 from quayside.operators.quantiles import quantile_row
 from quayside.operators.features import assemble
+from quayside.operators.models import without_summary
 
 
 def rule_engine(df: DataFrame, rules: dict[str, float], threshold: float) -> DataFrame:
@@ -203,7 +204,8 @@ def calibrate_scores(train: DataFrame, df: DataFrame, score: str, label: str, me
     if method == "isotonic":
         m = IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="calibrated").fit(train.withColumn(label, F.col(label).cast("double")))
         return m.transform(df)
-    m = LogisticRegression(featuresCol="_f", labelCol=label, predictionCol="_y", probabilityCol="_p", rawPredictionCol="_r").fit(assemble(train, [score], "_f"))
+    m = LogisticRegression(featuresCol="_f", labelCol=label, predictionCol="_y", probabilityCol="_p", rawPredictionCol="_r")
+    m = without_summary(m.fit(assemble(train, [score], "_f")))
     return m.transform(assemble(df, [score], "_f")).withColumn("calibrated", vector_to_array("_p")[1]).drop("_f", "_y", "_p", "_r")
 
 

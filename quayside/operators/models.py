@@ -10,7 +10,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.names import unused
@@ -98,11 +98,19 @@ def smote(df: DataFrame, key: str, label: str, columns: list[str], rare, k: int
 MODELS = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "boosted": GBTClassifier, "linear": LinearRegression, "forest_regression": RandomForestRegressor, "boosted_regression": GBTRegressor}
 
 
+def without_summary(model):
+    """The model without what it knows of its training data: that holds the session, which would go into every task, and
+    can't once the session has observed a query."""
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
+
+
 def train(df: DataFrame, label: str, columns: list[str], kind: str, **params):
     """A fitted model over ``columns`` (assembled into ``features``)."""
     if "seed" not in params and kind in ("forest", "boosted", "forest_regression", "boosted_regression"):
         params["seed"] = 1
-    return MODELS[kind](featuresCol="features", labelCol=label, **params).fit(assemble(df, columns))
+    return without_summary(MODELS[kind](featuresCol="features", labelCol=label, **params).fit(assemble(df, columns)))
 
 
 def batch_score(df: DataFrame, model, columns: list[str], version: str = "1") -> DataFrame:
