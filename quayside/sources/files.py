@@ -7,7 +7,6 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,7 +110,7 @@ def layout_from_copybook(text: str) -> list[dict]:
         picture = re.search(r"\bPIC(?:TURE)?(?:\s+IS)?\s+(\S+)", rest)
         times = re.search(r"\bOCCURS\s+(\d+)", rest)
         items.append((level, name, picture and picture.group(1), int(times.group(1)) if times else None))
-    out, seen, at = [], {}, 1
+    out, seen, at = [], set(), 1
 
     def lay(first: int, end: int, suffix: str) -> None:
         nonlocal at
@@ -121,9 +120,13 @@ def layout_from_copybook(text: str) -> list[dict]:
             for turn in range(1, (times or 1) + 1):
                 own = f"{suffix}_{turn}" if times else suffix
                 if picture:
-                    base = f"{name}{own}"
-                    seen[base] = seen.get(base, 0) + 1
-                    out.append(_field(base if seen[base] == 1 else f"{base}_{seen[base]}", picture, at))
+                    base = full = f"{name}{own}"
+                    again = 1
+                    while full in seen:
+                        again += 1
+                        full = f"{base}_{again}"
+                    seen.add(full)
+                    out.append(_field(full, picture, at))
                     at += out[-1]["length"]
                 else:
                     lay(first + 1, after, own)
@@ -252,10 +255,12 @@ def run_audited(
 def _changes(spark: SparkSession, path: str, schema: T.StructType) -> list[str]:
     try:
         held = spark.read.option("mergeSchema", True).parquet(path).schema
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return []
-        raise
+        if "CANNOT_MERGE_SCHEMAS" not in str(e):
+            raise
+        held = spark.read.parquet(path).schema  # files of different types: one of them stands for the table
     old, new = ({f.name: f.dataType.simpleString() for f in x.fields} for x in (held, schema))
     added = [f"added {c} {new[c]}" for c in new if c not in old]
     gone = [f"removed {c} {old[c]}" for c in old if c not in new]
