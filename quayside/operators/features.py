@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, CountVectorizer, FeatureHasher, OneHotEncoder, PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quayside.functions.scratch import materialize
 from quayside.operators.joins import asof_join, latest_per_key
@@ -71,12 +76,33 @@ def count_vectorize(df: DataFrame, tokens: str, vocabulary: int = 10000, min_df:
     return CountVectorizer(inputCol=tokens, outputCol=target, vocabSize=vocabulary, minDF=min_df).fit(df).transform(df)
 
 
+def term_counts(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """``(key, term, tf)`` of the distinct words of each row, counted inside the task that holds the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                keys, lists = batch.column(0).slice(at, 500), batch.column(1).slice(at, 500)
+                words_, row = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+                held = words_.is_valid().to_numpy(zero_copy_only=False)
+                encoded = words_.filter(pa.array(held)).dictionary_encode()
+                size = max(1, len(encoded.dictionary))
+                found, n = np.unique(row[held].astype(np.int64) * size + encoded.indices.to_numpy(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(found // size)), encoded.dictionary.take(pa.array(found % size)), pa.array(n, pa.int64())], names=[key, "term", "tf"])
+
+    schema = StructType([df.schema[key], StructField("term", StringType()), StructField("tf", LongType())])
+    return df.select(key, tokens).mapInArrow(run, schema)
+
+
 def tfidf(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """``(key, term, tf, df, tfidf)`` with tf * ln((N + 1) / (df + 1)); document frequencies are counted over all rows."""
+    """``(key, term, tf, df, tfidf)`` with tf * ln((N + 1) / (df + 1)): a row is a document, document frequencies are counted
+    over all rows. Words are counted inside their row, so only distinct terms of a document are shuffled; rows without words
+    count as documents and give no terms."""
     n = df.agg(F.count("*").alias("_n"))
-    tf = materialize(df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "terms")
+    tf = materialize(term_counts(df, key, tokens), "terms")
     dfs = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return tf.join(dfs, "term").crossJoin(F.broadcast(n)).select(key, "term", "tf", "df", (F.col("tf") * F.log((F.col("_n") + 1) / (F.col("df") + 1))).alias("tfidf"))
+    weight = F.col("tf") * F.log((F.col("_n") + 1) / (F.col("df") + 1))
+    return tf.join(dfs, "term").crossJoin(F.broadcast(n)).select(key, "term", "tf", "df", weight.alias("tfidf"))
 
 
 def word2vec(df: DataFrame, tokens: str, size: int = 32, target: str = "vector", seed: int = 1, min_count: int = 2) -> DataFrame:
