@@ -3,8 +3,8 @@
 Calls and results of a conversation meet in a hash join on the identifier. Calls depend on those whose results their
 arguments name (``{"$ref": "<call id>"}`` anywhere in the arguments); their order is topological: level 0 has no
 dependency, level n + 1 waits for level n, calls of a cycle and those that wait for one have no level. Levels are settled
-in rounds that double the reach, each ending in a written table, so a conversation is never gathered in one task and a long
-one takes few rounds. Arguments are checked against a schema per tool, and everything is serialised as canonical JSON:
+in rounds that double the reach (see ``order_calls`` for its bounds), each ending in a written table, so a conversation is
+never gathered in one task and a long one takes few rounds. Arguments are checked against a schema per tool, and everything is serialised as canonical JSON:
 keys sorted, no blanks, plain numbers without trailing zeros. Numbers with an exponent are read as doubles and written as
 such (``1E2`` as ``100.0``, one beyond a double's range as the string ``Infinity``).
 """
@@ -113,6 +113,10 @@ def validate_arguments(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return calls.withColumn("errors", found)
 
 
+#: Calls for which a call may wait in a round that replaces them by those that they wait for.
+WIDE = 64
+
+
 def order_calls(calls: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, level)`` for each call whose dependencies (``depends``, ids of calls of the same conversation) can all be
     met. ``keys``: the conversation's columns and the call's identifier, last. Unknown ids are no dependencies. Calls that
@@ -120,9 +124,11 @@ def order_calls(calls: DataFrame, keys: list[str]) -> DataFrame:
 
     A level is one more than the highest level among the dependencies. An open call carries its dependencies with a
     distance and the best level known so far. In each round a dependency that is settled is turned into a level, and one
-    that itself waits for a single call is replaced by that call, the distances added up. So a chain of n calls takes
-    about log2(n) rounds. A call that comes to wait for itself, or at a distance beyond the number of calls, is in a
-    cycle.
+    that itself waits for others is replaced by those, the distances added up (the longest one counts), so the reach of a
+    call doubles and n calls in a row, each waiting for one or several before it, take about log2(n) rounds. That holds
+    while a call waits for at most WIDE others and has at most WIDE^2 to look at; where it waits for more, only those of its
+    dependencies that wait for a single call are replaced, and the round settles those whose turn it is. A call that comes
+    to wait for itself, or at a distance beyond the number of calls, is in a cycle.
     """
     group, call = keys[:-1], keys[-1]
     plain = calls.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("depends"))).alias("depends"))
@@ -139,11 +145,24 @@ def order_calls(calls: DataFrame, keys: list[str]) -> DataFrame:
             return state.where("size(deps) = 0").select(*keys, F.col("best").alias("level"))
         seen = mark
         other = state.select(*group, F.col(call).alias("on"), F.col("best").alias("o_best"), F.col("deps").alias("o_deps"), F.col("stuck").alias("o_stuck"))
-        dep = state.where("size(deps) > 0 and not stuck").select(*keys, F.inline("deps")).join(other.hint("shuffle_merge"), [*group, "on"])
-        passes = ~F.col("o_stuck") & (F.size("o_deps") <= 1)
-        onward = F.struct(F.get("o_deps", F.lit(0))["on"].alias("on"), (F.col("w") + F.get("o_deps", F.lit(0))["w"]).alias("w"))
-        kept = F.when(~passes, F.struct("on", "w")).when(F.size("o_deps") == 1, onward)
-        step = dep.groupBy(*keys).agg(F.collect_set(kept).alias("n_deps"), F.max(F.when(passes, F.col("o_best") + F.col("w"))).alias("n_best"))
+        dep = state.where("size(deps) > 0 and not stuck").select(*keys, F.size("deps").alias("own"), F.inline("deps"))
+        met = dep.join(other.hint("shuffle_merge"), [*group, "on"])
+        # Null: it stays as it is. An empty array: it is settled.
+        below = F.when(~F.col("o_stuck") & ((F.size("o_deps") <= 1) | ((F.col("own") <= WIDE) & (F.size("o_deps") <= WIDE))), F.col("o_deps"))
+        met = met.groupBy(*keys).agg(F.collect_list(F.struct("on", "w", "o_best", below.alias("below"))).alias("met"))
+        few = F.aggregate("met", F.lit(0), lambda n, m: n + F.greatest(F.coalesce(F.size(m["below"]), F.lit(1)), F.lit(1))) <= WIDE * WIDE
+        met = met.withColumn("few", few)
+        passes = lambda m: m["below"].isNotNull() & (F.col("few") | (F.size(m["below"]) <= 1))
+        onward = lambda m: F.transform(m["below"], lambda d: F.struct(d["on"].alias("on"), (d["w"] + m["w"]).alias("w")))
+        same = lambda m: F.array(F.struct(m["on"].alias("on"), m["w"].alias("w")))
+        step = met.select(
+            *keys,
+            F.flatten(F.transform("met", lambda m: F.when(passes(m), onward(m)).otherwise(same(m)))).alias("pairs"),
+            F.array_max(F.transform("met", lambda m: F.when(passes(m), m["o_best"] + m["w"]))).alias("n_best"),
+        )
+        longest = lambda on: F.array_max(F.transform(F.filter("pairs", lambda p: p["on"] == on), lambda p: p["w"]))
+        targets = F.array_distinct(F.transform("pairs", lambda p: p["on"]))
+        step = step.withColumn("targets", targets).select(*keys, "n_best", F.transform("targets", lambda on: F.struct(on.alias("on"), longest(on).alias("w"))).alias("n_deps"))
         moved = state.join(step.hint("shuffle_merge"), keys, "left")
         deps = F.when(F.col("n_deps").isNull(), F.col("deps")).otherwise(F.col("n_deps"))
         stuck = F.col("stuck") | F.exists(deps, lambda d: (d["on"] == F.col(call)) | (d["w"] > total))
