@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from quayside.functions.scratch import materialize
 from quayside.jobs.queries_models import ratings
 from quayside.jobs.queries_stream import events
 from quayside.jobs.queries_tables import daily
@@ -43,6 +44,14 @@ def _(t):
     return X.hash_features(t.part, ["p_brand", "p_type", "p_size"], 64).select("p_partkey", total.alias("total"))
 
 
+@query("fea6_hashed_classes", """SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_type, p_size) AS same
+FROM part""")
+def _(t):
+    """Parts have equal vectors if, and only if, they agree in all three columns: each value has a bucket of its own here."""
+    hashed = X.hash_features(t.part, ["p_brand", "p_type", "p_size"], 1 << 18).withColumn("v", F.col("hashed").cast("string"))
+    return hashed.join(hashed.groupBy("v").agg(F.count("*").alias("same")), "v").select("p_partkey", "same")
+
+
 @query("fea7_counted_words", r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM documents),
 f AS (SELECT term FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2), n AS (SELECT doc_id, count(*) AS n FROM w JOIN f USING (term) GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::DOUBLE AS total FROM documents LEFT JOIN n USING (doc_id)""")
@@ -63,6 +72,33 @@ def _(t):
     return per.agg(F.sum("n").alias("texts"), F.count("*").alias("sequences"), F.max("m").alias("most_vectors"), F.max("size").alias("size"))
 
 
+@query("fea9_words_apart", r"""WITH w AS (
+  SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM documents),
+k AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 2)
+SELECT doc_id, count(DISTINCT k.word) AS vectors, true AS is_mean FROM w LEFT JOIN k USING (word) GROUP BY doc_id""")
+def _(t):
+    """Each word that occurs twice has a vector of its own, the others none, and a text has the mean of its words' vectors.
+
+    A word becomes a text of its own as well, which is one more occurrence, so the least count is three.
+    """
+    texts = X.words(t.documents, "text").where("size(words) > 0").select("doc_id", "words")
+    words = texts.select(F.explode("words").alias("w")).distinct().select(F.lit(None).cast("long").alias("doc_id"), F.array("w").alias("words"))
+    made = materialize(
+        X.word2vec(texts.unionByName(words), "words", 8, min_count=3).select("doc_id", "words", vector_to_array("vector").alias("v")),
+        "vectors",
+    )
+    single = made.where("doc_id is null").select(F.col("words")[0].alias("w"), F.col("v").alias("one"))
+    named = single.withColumn("name", F.when(F.exists("one", lambda x: x != 0), F.xxhash64("one")))
+    held = made.where("doc_id is not null").select("doc_id", F.explode("words").alias("w")).join(named, "w")
+    sums = [F.sum(F.col("one")[k]).alias(f"s{k}") for k in range(8)]
+    per = held.groupBy("doc_id", "name").agg(F.count("*").alias("n"), *sums).groupBy("doc_id").agg(
+        F.count("name").alias("vectors"), *[(F.sum(f"s{k}") / F.sum("n")).alias(f"m{k}") for k in range(8)]
+    )
+    whole = made.where("doc_id is not null").select("doc_id", "v")
+    gap = F.greatest(*[F.abs(F.col("v")[k] - F.col(f"m{k}")) for k in range(8)])
+    return per.join(whole, "doc_id").select("doc_id", "vectors", (gap < 1e-6).alias("is_mean"))
+
+
 TWO = "u AS (SELECT l_orderkey, l_linenumber, l_quantity AS a, l_quantity + l_tax * 100 AS b FROM lineitem), m AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM u)"
 
 
@@ -85,6 +121,14 @@ def _(t):
     return s.agg(F.count("*").alias("n"), F.every(F.col("anomaly_score").between(0, 1)).alias("in_range"), flagged.between(0.03, 0.07).alias("share_kept"), (edge > F.avg("anomaly_score")).alias("edges_stand_out"))
 
 
+@query("ano3_rare_value", "SELECT event_id, event_id % 50 = 0 AS is_anomaly FROM events")
+def _(t):
+    """One event in fifty has another value, which every tree parts from the others at once; a hundredth is asked for, and
+    equal scores are flagged alike."""
+    d = t.events.select("event_id", (F.col("event_id") % 50 == 0).cast("int").alias("x"))
+    return N.isolation_forest(d, ["x"], 20, contamination=0.01).select("event_id", "is_anomaly")
+
+
 @query("ano4_reconstruction_error", f"WITH {TWO}, e AS (SELECT l_orderkey, l_linenumber, pow((a - ma) / sa - (b - mb) / sb, 2) / 2 AS e FROM u, m) SELECT l_orderkey, l_linenumber, round(e, 5) AS reconstruction_error FROM e")
 def _(t):
     made = N.reconstruction_anomaly(two(t), ["a", "b"], 1)
@@ -159,6 +203,19 @@ def _(t):
     return best_five(R.recommend(R.als(r, "u", "i", "r", iterations=2, implicit=True), "u", "i", 5))
 
 
+@query("rec2_items_of_own_kind", """WITH p AS (
+  SELECT DISTINCT l_suppkey::INT AS u, replace(p_brand, 'Brand#', '')::INT AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
+g AS (SELECT i % 2 AS kind, string_agg(i::VARCHAR, ',' ORDER BY i) AS items FROM (SELECT DISTINCT i FROM p) GROUP BY 1)
+SELECT DISTINCT u, items FROM p JOIN g ON u % 2 = kind""")
+def _(t):
+    """Even users took even items and odd ones odd items: a user's best items are all those of its own kind."""
+    p = products(t).where("u % 2 = i % 2").select("u", "i", F.lit(1.0).alias("r"))
+    size = p.groupBy(F.pmod("i", F.lit(2)).alias("kind")).agg(F.count_distinct("i").alias("n"))
+    best = R.recommend(R.als(p, "u", "i", "r", rank=2, implicit=True), "u", "i", 25)
+    own = best.join(F.broadcast(size), F.col("kind") == F.col("u") % 2).where("rank <= n")
+    return own.groupBy("u").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda i: i.cast("string")), ",").alias("items"))
+
+
 @query("rec8_topic_laws", "SELECT doc_id, true AS valid FROM documents")
 def _(t):
     """The likeliest of four topics has at least a quarter; a text of no known words has none."""
@@ -167,6 +224,18 @@ def _(t):
     return made.select("doc_id", F.when(F.col("probability") == 0, F.col("topic").isNull()).otherwise(known).alias("valid"))
 
 
+@query("rec8_two_vocabularies", r"""SELECT doc_id, (doc_id % 2)::BIGINT AS kind FROM documents
+WHERE len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) > 0""")
+def _(t):
+    """Words are told by their first sign and by the parity of the text's number, so even and odd texts share no word and
+    two topics tell them apart. The topic of most even texts is 0."""
+    marked = F.transform("words", lambda w: F.concat(F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"), F.left(w, F.lit(1))))
+    texts = X.words(t.documents, "text").where("size(words) > 0").select("doc_id", marked.alias("words"))
+    made = materialize(R.topics(texts, "doc_id", "words", 2, 500, 20, share=1.0).select("doc_id", "topic"), "topics")
+    even = made.where("doc_id % 2 = 0").agg(F.mode("topic").alias("even"))
+    return made.crossJoin(F.broadcast(even)).select("doc_id", (F.col("topic") != F.col("even")).cast("long").alias("kind"))
+
+
 HELD_OUT = "SELECT event_id, (event_id % 20 > 12)::INT::DOUBLE AS score, (event_id % 20 > 12)::INT::DOUBLE AS prediction, 'v7' AS model_version FROM events"
 
 
