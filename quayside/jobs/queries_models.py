@@ -168,6 +168,22 @@ def _(t):
     return R.sar(i, "u", "i", "l_shipdate", "l_quantity", "1998-12-31", 365.0, k=3).select("u", "rank", F.round("score", 4).alias("score"))
 
 
+@query("rec3_sar_lift", """WITH aff AS (
+  SELECT o_custkey AS u, l_suppkey AS i, sum(l_quantity * exp(-ln(2.0) * date_diff('day', l_shipdate::DATE, DATE '1998-12-31') / 365.0)) AS a
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+c AS (SELECT x.i, y.i AS j, count(*) AS c FROM aff x JOIN aff y USING (u) GROUP BY ALL), n AS (SELECT i, count(*) AS n FROM aff GROUP BY 1),
+s AS (SELECT c.i, c.j, c / (a.n * b.n) AS s FROM c JOIN n a ON a.i = c.i JOIN n b ON b.i = c.j),
+r AS (SELECT u, j AS i, sum(a * s) AS score FROM aff JOIN s ON s.i = aff.i GROUP BY ALL)
+SELECT u, row_number() OVER (PARTITION BY u ORDER BY score DESC, i)::INT AS rank, round(score, 8) AS score
+FROM r QUALIFY rank <= 5""")
+def _(t):
+    """Suppliers by lift, those a customer has bought from included."""
+    i = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    i = i.select(F.col("o_custkey").alias("u"), F.col("l_suppkey").alias("i"), "l_quantity", "l_shipdate")
+    found = R.sar(i, "u", "i", "l_shipdate", "l_quantity", "1998-12-31", 365.0, similarity="lift", k=5, hide_seen=False)
+    return found.select("u", "rank", F.round("score", 8).alias("score"))
+
+
 @query("rec4_nearest_neighbours", "SELECT query, neighbour, round(s, 5) AS similarity, n::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) n FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE n <= 5")
 def _(t):
     e = t.embeddings
