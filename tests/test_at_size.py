@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Word2Vec
 
 from quayside.operators import features, quality, recommend
+from quayside.sources import messages
 
 
 def plan(df) -> str:
@@ -17,3 +18,11 @@ def test_word_vectors_are_trained_by_all_tasks(spark, monkeypatch):
     df = spark.createDataFrame([(["a", "b", "a", "c"],)] * 40, "words array<string>")
     assert features.word2vec(df, "words", 4).count() == 40
     assert seen == [spark.sparkContext.defaultParallelism] and seen[0] > 1
+
+
+def test_claims_are_read_inside_their_rows(spark):
+    rows = [(1, "ST*837~NM1*IL*1*DOE*ANN~CLM*A*5***11:B:1~CLM*B*x~NM1*82*1*HOUSE*GREG~NM1*82*1*LATE*LEE~SE*1~CLM*C*7"), (1, "CLM*D*1.5~NM1*82*1*FOX*SAM"), (2, None), (3, "ST*837~SE*1")]
+    made = messages.parse_x12_claims(spark.createDataFrame(rows, "k int, x string"), "k", "x")
+    assert "Exchange" not in plan(made)
+    got = sorted((r.k, r.claim_id, r.amount and float(r.amount), r.place, r.patient, r.provider) for r in made.collect())
+    assert got == [(1, "A", 5.0, "11", "ANN DOE", None), (1, "B", None, None, "ANN DOE", "GREG HOUSE"), (1, "C", 7.0, None, None, None), (1, "D", 1.5, None, None, "SAM FOX")]
