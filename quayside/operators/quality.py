@@ -101,12 +101,14 @@ def enforce_contract(df: DataFrame, *, columns: dict[str, str] | None = None, mi
 
 def reconcile_tables(source: DataFrame, target: DataFrame, keys: list[str], buckets: int = 1024) -> DataFrame:
     """``keys, status`` (missing, extra, different) of rows that differ. Order-free hashes per bucket of keys first, so
-    that only rows of buckets that differ are joined."""
+    that only rows of buckets that differ are joined. The buckets that differ, at most ``buckets`` numbers, are broadcast: a
+    shuffle by bucket would put a bucket's rows into one task."""
     rest = [c for c in source.columns if c not in keys]
     slim = lambda df: df.select(*keys, F.xxhash64(*rest).alias("_h"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_b"))
     s, t = slim(source), slim(target)
     tally = lambda df, n: df.groupBy("_b").agg(F.sum(F.xxhash64(*keys, "_h").cast("decimal(38,0)")).alias(n))
     off = tally(s, "_x").join(tally(t, "_y"), "_b", "full_outer").where(~F.col("_x").eqNullSafe(F.col("_y"))).select("_b")
+    off = F.broadcast(off)
     a, b = s.join(off, "_b", "left_semi").drop("_b"), t.join(off, "_b", "left_semi").drop("_b").withColumnRenamed("_h", "_g")
     same = F.lit(True)
     for i, k in enumerate(keys):

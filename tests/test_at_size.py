@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Word2Vec
+from pyspark.sql import functions as F
 
 from quayside.operators import features, quality, recommend
 from quayside.sources import messages
@@ -26,3 +27,16 @@ def test_claims_are_read_inside_their_rows(spark):
     assert "Exchange" not in plan(made)
     got = sorted((r.k, r.claim_id, r.amount and float(r.amount), r.place, r.patient, r.provider) for r in made.collect())
     assert got == [(1, "A", 5.0, "11", "ANN DOE", None), (1, "B", None, None, "ANN DOE", "GREG HOUSE"), (1, "C", 7.0, None, None, None), (1, "D", 1.5, None, None, "SAM FOX")]
+
+
+def test_buckets_that_differ_are_broadcast(spark):
+    s = spark.range(100).withColumn("v", F.col("id"))
+    t = s.withColumn("v", F.when(F.col("id") == 7, -1).otherwise(F.col("v")))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = quality.reconcile_tables(s, t, ["id"], buckets=1)
+        assert plan(made).count("BroadcastHashJoin") >= 2
+        assert [tuple(r) for r in made.collect()] == [(7, "different")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
