@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
+from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import functions as F
 
-from quayside.operators import features, quality, recommend
+from quayside.operators import features, neighbours, quality, recommend
 from quayside.sources import messages
 
 
@@ -40,3 +43,31 @@ def test_buckets_that_differ_are_broadcast(spark):
         assert [tuple(r) for r in made.collect()] == [(7, "different")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_topics_are_fitted_on_written_counts(spark, monkeypatch):
+    seen, fit = [], LDA.fit
+    monkeypatch.setattr(LDA, "fit", lambda self, df: seen.append(plan(df)) or fit(self, df))
+    df = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["c", "d"]) for i in range(20)], "k int, words array<string>")
+    assert recommend.topics(df, "k", "words", 2, 10, 2, share=1.0).count() == 20
+    assert "FileScan parquet" in seen[0] and "UDF" not in seen[0]
+
+
+@pytest.mark.parametrize("scale", [0.0, 1.0])
+def test_largest_products_by_blocks(spark, scale):
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(300, 4)).astype(np.float32), (r.normal(size=(9000, 4)) * np.exp(scale * r.normal(size=(9000, 1)))).astype(np.float32)
+    x[0] = 0
+    place, best = recommend._largest(x, y, 5)
+    want = np.sort(x @ y.T, axis=1)[:, ::-1][:, :5]
+    assert np.allclose(best, want, atol=1e-5)
+    assert np.allclose(np.take_along_axis(x @ y.T, place, 1), best, atol=1e-5)
+    left, right = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(f)], "id int, features array<float>") for f in (x[:40], y[:500])]
+    got = recommend._best_products(left, right, 3, rows=64)
+    assert "Recommend" not in plan(got)
+    score = np.zeros((40, 3))
+    for b in got.collect():
+        score[b.a, b["rank"] - 1] = b.score
+    assert np.allclose(score, np.sort(x[:40] @ y[:500].T, axis=1)[:, ::-1][:, :3], atol=1e-5)
+    few = {(b.a, b["rank"]) for b in recommend._best_products(left, right.limit(2), 3).collect()}
+    assert len(few) == 80
