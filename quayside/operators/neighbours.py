@@ -49,10 +49,14 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, key: str, vector:
             return pd.DataFrame({"query": [], "neighbour": [], "similarity": []})
         all_ = all_.sort_values("id")
         ids, names = some["id"].to_numpy(), all_["id"].to_numpy()
-        sims = _unit(some["v"]) @ _unit(all_["v"]).T
-        sims[ids[:, None] == names[None, :]] = -np.inf
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        made = pd.DataFrame({"query": np.repeat(ids, top.shape[1]), "neighbour": names[top.ravel()], "similarity": np.take_along_axis(sims, top, axis=1).ravel()})
+        x, y, made = _unit(some["v"]), _unit(all_["v"]).T, []
+        for at in range(0, len(ids), 128):  # a slice of similarities at a time, so a task holds some MB of them
+            own = ids[at : at + 128]
+            sims = x[at : at + 128] @ y
+            sims[own[:, None] == names[None, :]] = -np.inf
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            made.append(pd.DataFrame({"query": np.repeat(own, top.shape[1]), "neighbour": names[top.ravel()], "similarity": np.take_along_axis(sims, top, axis=1).ravel()}))
+        made = pd.concat(made)
         return made[np.isfinite(made["similarity"])]
 
     left = q.select("id", "v", deal("q", n_q), every("w", n_v)).groupBy("q", "w")

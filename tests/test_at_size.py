@@ -71,3 +71,14 @@ def test_largest_products_by_blocks(spark, scale):
     assert np.allclose(score, np.sort(x[:40] @ y[:500].T, axis=1)[:, ::-1][:, :3], atol=1e-5)
     few = {(b.a, b["rank"]) for b in recommend._best_products(left, right.limit(2), 3).collect()}
     assert len(few) == 80
+
+
+def test_similarities_are_held_in_slices(spark, monkeypatch):
+    vectors = np.random.default_rng(5).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>").coalesce(1)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -np.inf)
+    got = {(r["query"], r["rank"]): r.neighbour for r in neighbours.nearest_neighbours(df, df, "id", "v", 3).collect()}
+    want = np.argsort(-sims, axis=1, kind="stable")[:, :3]
+    assert got == {(i, j + 1): want[i, j] for i in range(600) for j in range(3)}
