@@ -59,7 +59,7 @@ def _(t):
     """Words of each text that at least two texts have."""
     values = F.regexp_extract(F.col("counts").cast("string"), r"\[([^\[\]]*)\]\)$", 1)
     total = F.aggregate(F.transform(F.filter(F.split(values, ","), lambda v: v != ""), lambda v: v.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    return X.count_vectorize(X.words(t.documents, "text"), "words", 1 << 18, 2.0).select("doc_id", total.alias("total"))
+    return X.count_vectorize(X.words(t.documents, "text"), "words", None, 2.0).select("doc_id", total.alias("total"))
 
 
 @query("fea9_vectors_of_equal_words", r"""WITH w AS (SELECT list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM documents)

@@ -73,6 +73,13 @@ def test_largest_products_by_blocks(spark, scale):
     assert len(few) == 80
 
 
+def test_all_words_are_counted(spark):
+    df = spark.createDataFrame([(i, [f"w{j}" for j in range(i, i + 12000)]) for i in range(2)], "k int, words array<string>")
+    for vocabulary, want in ((10000, 10000), (None, 11999)):
+        made = features.count_vectorize(df, "words", vocabulary, 2.0)
+        assert {len(r.counts.indices) for r in made.collect()} == {want}
+
+
 def test_similarities_are_held_in_slices(spark, monkeypatch):
     vectors = np.random.default_rng(5).normal(size=(600, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>").coalesce(1)
