@@ -73,6 +73,32 @@ def test_largest_products_by_blocks(spark, scale):
     assert len(few) == 80
 
 
+def test_scores_of_users_are_no_table(spark):
+    r = np.random.default_rng(7)
+    seen = [(u, i, float(1 + i % 3) if ((u or 0) + i) % 5 else None) for u in [None, *range(40)] for i in sorted(set(r.integers(0, 30, 6).tolist()))]
+    df = spark.createDataFrame([(u, f"p{i:02}", "2024-01-01", w) for u, i, w in seen], "u long, i string, ts string, w double")
+    users = sorted({u for u, _, _ in seen}, key=str)
+    x, a = np.zeros((41, 30)), np.full((41, 30), np.nan)
+    for u, i, w in seen:
+        x[users.index(u), i] = 1
+        a[users.index(u), i] = np.nan if w is None else w
+    pairs = x[: users.index(None)].T @ x[: users.index(None)]  # None comes last
+    n = x.sum(0)
+    sim = pairs / np.maximum(1, n[:, None] + n[None, :] - pairs)
+    want = {}
+    for p, u in enumerate(users):
+        own = np.flatnonzero(x[p])
+        for j in range(30):
+            if pairs[own, j].any() and (u is None or not x[p, j]):
+                known = own[~np.isnan(a[p, own]) & (pairs[own, j] > 0)]
+                want[u, f"p{j:02}"] = float(a[p, known] @ sim[known, j]) if len(known) else None
+    made = recommend.sar(df, "u", "i", "ts", "w", "2024-01-01", k=50, rows=16, links=64)
+    assert "FlatMapCoGroups" in plan(made)
+    got = {(r.u, r.i): r.score for r in made.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if v is None else abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 def test_all_words_are_counted(spark):
     df = spark.createDataFrame([(i, [f"w{j}" for j in range(i, i + 12000)]) for i in range(2)], "k int, words array<string>")
     for vocabulary, want in ((10000, 10000), (None, 11999)):
