@@ -21,7 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    return df.select(column(key).alias("id"), column(vector).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    kind = "array<float>" if df.select(column(vector)).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    return df.select(column(key).alias("id"), column(vector).cast(kind).alias("v")).where("id is not null and v is not null and size(v) > 0")
 
 
 def _unit(values: pd.Series) -> np.ndarray:
@@ -29,7 +30,31 @@ def _unit(values: pd.Series) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def nearest_neighbours(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 2048, vector_block: int = 8192) -> DataFrame:
+def _most_similar(some: pd.DataFrame, all_: pd.DataFrame, k: int) -> pd.DataFrame:
+    """``(query, neighbour, similarity)`` of the k vectors of ``all_`` most similar to each of ``some`` (ties: the smaller key)."""
+    made = [pd.DataFrame({"query": some["id"].to_numpy()[:0], "neighbour": all_["id"].to_numpy()[:0], "similarity": np.zeros(0)})]
+    if some.empty or all_.empty:
+        return made[0]
+    all_ = all_.sort_values("id")
+    ids, names = some["id"].to_numpy(), all_["id"].to_numpy()
+    x, y, most = _unit(some["v"]), np.ascontiguousarray(_unit(all_["v"]).T), min(k, len(names))
+    for at in range(0, len(ids), 128):  # a slice of similarities at a time, so a task holds some MB of them
+        own = ids[at : at + 128]
+        sims = x[at : at + 128] @ y
+        low, high = np.searchsorted(names, own, "left"), np.searchsorted(names, own, "right")
+        for r in np.flatnonzero(high > low):
+            sims[r, low[r] : high[r]] = -np.inf
+        least = np.partition(sims, len(names) - most, axis=1)[:, len(names) - most]
+        row, col = np.divmod(np.flatnonzero((sims >= least[:, None]) & (sims > -np.inf)), len(names))
+        order = np.lexsort((col, -sims[row, col], row))
+        row, col = row[order], col[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < most
+        row, col = row[kept], col[kept]
+        made.append(pd.DataFrame({"query": own[row], "neighbour": names[col], "similarity": sims[row, col]}))
+    return pd.concat(made[1:])
+
+
+def nearest_neighbours(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 16384, vector_block: int = 8192) -> DataFrame:
     """``(query, neighbour, similarity, rank)``: the exact k nearest by cosine, the query itself left out.
 
     Queries and vectors are dealt into blocks of about these sizes. Each block of queries meets each block of vectors in a
@@ -39,82 +64,91 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, key: str, vector:
     """
     q, v = _vectors(queries, key, vector), _vectors(vectors, key, vector)
     kind = v.schema["id"].dataType.simpleString()
-    blocks = lambda df, rows: max(1, -(-df.count() // rows))
-    n_q, n_v = blocks(q, block), blocks(v, vector_block)
+    sizes, tasks = [q.count(), v.count()], v.sparkSession.sparkContext.defaultParallelism
+    n_q, n_v = max(1, -(-sizes[0] // block)), max(1, -(-sizes[1] // vector_block), min(tasks, -(-sizes[1] // 1024)))
     deal = lambda own, n: F.pmod(F.xxhash64("id", F.lit(own)), F.lit(n)).cast("int").alias(own)
     every = lambda other, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(other)
 
-    def best(some: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
-        if some.empty or all_.empty:
-            return pd.DataFrame({"query": [], "neighbour": [], "similarity": []})
-        all_ = all_.sort_values("id")
-        ids, names = some["id"].to_numpy(), all_["id"].to_numpy()
-        x, y, made = _unit(some["v"]), _unit(all_["v"]).T, []
-        for at in range(0, len(ids), 128):  # a slice of similarities at a time, so a task holds some MB of them
-            own = ids[at : at + 128]
-            sims = x[at : at + 128] @ y
-            sims[own[:, None] == names[None, :]] = -np.inf
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            made.append(pd.DataFrame({"query": np.repeat(own, top.shape[1]), "neighbour": names[top.ravel()], "similarity": np.take_along_axis(sims, top, axis=1).ravel()}))
-        made = pd.concat(made)
-        return made[np.isfinite(made["similarity"])]
-
     left = q.select("id", "v", deal("q", n_q), every("w", n_v)).groupBy("q", "w")
     right = v.select("id", "v", deal("w", n_v), every("q", n_q)).groupBy("q", "w")
-    out = left.cogroup(right).applyInPandas(best, f"query {kind}, neighbour {kind}, similarity double")
+    out = left.cogroup(right).applyInPandas(lambda some, all_: _most_similar(some, all_, k), f"query {kind}, neighbour {kind}, similarity double")
     return top_k_per_group(out, ["query"], [F.desc("similarity"), F.col("neighbour")], k, "rank")
 
 
-def _hashed(df: DataFrame, kind: str, planes: np.ndarray, tables: int, probes: int) -> DataFrame:
-    """``(id, table, bucket)``: of each vector in each table its own bucket and the ``probes`` next likely ones, which differ
-    from it in those signs whose projections lie nearest to 0."""
-    bits = planes.shape[1] // tables
+def _codes(x: np.ndarray, planes: np.ndarray, probes: int) -> np.ndarray:
+    """Of each row in each table its own bucket and the ``probes`` next likely ones, which differ from it in those signs whose
+    projections lie nearest to 0. ``planes``: dimensions, tables, bits."""
+    wide, tables, bits = planes.shape
+    at = (x @ planes.reshape(wide, -1)).reshape(len(x), tables, bits)
+    own = ((at > 0) << np.arange(bits)).sum(2)[..., None]
+    if not probes:
+        return own
     loose = min(bits, 6)
     subsets = (np.arange(1, 1 << loose)[:, None] >> np.arange(loose)) & 1
+    order = np.argsort(np.abs(at), axis=2)[..., :loose]
+    cost = np.take_along_axis(at, order, 2) ** 2 @ subsets.T
+    taken = np.argsort(cost, axis=2)[..., :probes]
+    flips = ((1 << order) @ subsets.T).astype(np.int64)
+    return np.concatenate([own, own ^ np.take_along_axis(flips, taken, 2)], axis=2)
+
+
+def _hashed(df: DataFrame, kind: str, planes: np.ndarray, probes: int, vectors: bool = True) -> DataFrame:
+    """``(id, v, table, bucket)``: each vector in the buckets of ``_codes``, or without ``v``."""
+    tables = planes.shape[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for pdf in (whole.iloc[a : a + 1000] for a in range(0, len(whole), 1000)):
-                at = (_unit(pdf["v"]) @ planes).reshape(len(pdf), tables, bits)
-                own = ((at > 0) << np.arange(bits)).sum(2)
-                codes = [own[..., None]]
-                if probes:
-                    order = np.argsort(np.abs(at), axis=2)[..., :loose]
-                    cost = np.take_along_axis(at, order, 2) ** 2 @ subsets.T
-                    taken = np.argsort(cost, axis=2)[..., :probes]
-                    flips = ((1 << order) @ subsets.T).astype(np.int64)
-                    codes.append(own[..., None] ^ np.take_along_axis(flips, taken, 2))
-                codes = np.concatenate(codes, axis=2)
-                each = tables * codes.shape[2]
-                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), each), "table": np.tile(np.repeat(np.arange(tables), codes.shape[2]), len(pdf)), "bucket": codes.reshape(-1)})
-
-    return df.mapInPandas(run, f"id {kind}, table int, bucket long")
+                codes = _codes(_unit(pdf["v"]), planes, probes)
+                made = pdf.iloc[np.repeat(np.arange(len(pdf)), codes[0].size)][["id", "v"] if vectors else ["id"]]
+                yield made.assign(table=np.tile(np.repeat(np.arange(tables), codes.shape[2]), len(pdf)), bucket=codes.reshape(-1))
+
+    return df.mapInPandas(run, f"id {kind}, {f'v {df.schema["v"].dataType.simpleString()}, ' if vectors else ''}table int, bucket long")
+
+
+def _fitted_bits(q: DataFrame, v: DataFrame, k: int, planes: np.ndarray, probes: int, recall: float, sample: int) -> int:
+    """The most bits with which a sample of queries finds the share ``recall`` of its exact neighbours among all vectors."""
+    some = materialize(q.orderBy(F.xxhash64("id"), "id").limit(sample), "sample")
+    exact = nearest_neighbours(some, v, "id", "v", k).select("query", F.col("neighbour").alias("id"))
+    ends = exact.join(v, "id").select("query", F.col("v").alias("w")).join(some.withColumnRenamed("id", "query"), "query").select("v", "w").toPandas()  # sample times k rows
+    discard(some)
+    if ends.empty:
+        return planes.shape[2]
+    x, y = _unit(ends["v"]), _unit(ends["w"])
+    for bits in range(planes.shape[2], 1, -1):
+        met = (_codes(x, planes[..., :bits], probes) == _codes(y, planes[..., :bits], 0)).any((1, 2))
+        if met.mean() >= recall:
+            return bits
+    return 1
 
 
 def lsh_neighbours(
-    queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, tables: int = 12, probes: int = 12, bucket_rows: int = 64, crowded: int = 4096, seed: int = 1
+    queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, tables: int = 12, probes: int = 12, bucket_rows: int = 64, crowded: int = 8192, seed: int = 1, recall: float = 0.95, sample: int = 100
 ) -> DataFrame:
     """``(query, neighbour, similarity, rank)``: about the k nearest by cosine, the query itself left out.
 
-    Every vector stands in one bucket of each of ``tables`` tables: the signs of its random projections, of which there are
-    so many that an even deal would put ``bucket_rows`` vectors into a bucket. A query looks into its own bucket of a table
-    and the ``probes`` likeliest beside it. All vectors met are candidates, however many, and their similarity is exact. A
-    bucket of more than ``crowded`` vectors is dealt into parts, which its queries visit each. Null and empty vectors and
-    null keys are left out; all vectors must have as many numbers. Without queries or vectors there are no rows.
+    Every vector stands in one bucket of each of ``tables`` tables: the signs of its random projections. There are at most so
+    many bits that an even deal would put ``bucket_rows`` vectors into a bucket, and fewer where a ``sample`` of the queries
+    (those of the smallest hashes) would find less than the share ``recall`` of its exact neighbours: as a table grows, its
+    buckets do. A query looks into its own bucket of a table and the ``probes`` likeliest beside it. All vectors met are
+    candidates, however many, and their similarity is exact; a bucket meets its queries as one product of matrices, of which
+    each query keeps its k best. A bucket of more than ``crowded`` vectors is dealt into parts, which its queries visit each.
+    Null and empty vectors and null keys are left out; all vectors must have as many numbers. Without queries or vectors
+    there are no rows.
     """
     q, v = _vectors(queries, key, vector), _vectors(vectors, key, vector)
     kind = v.schema["id"].dataType.simpleString()
     n, wide = v.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    bits = min(40, max(1, round(np.log2(max(2, n / bucket_rows)))))
-    planes = np.random.default_rng(seed).normal(size=(wide, tables * bits))
-    index, probed = materialize(_hashed(v, kind, planes, tables, 0), "index"), _hashed(q, kind, planes, tables, probes)
-    full = index.groupBy("table", "bucket").agg(F.ceil(F.count("*") / crowded).cast("int").alias("parts")).where("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    held = index.join(full, ["table", "bucket"], "left").select("table", "bucket", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("neighbour"))
-    asked = probed.join(full, ["table", "bucket"], "left").select("table", "bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("query"))
-    pairs = asked.join(held, ["table", "bucket", "part"]).where("query <> neighbour").select("query", "neighbour").distinct()
-    met = pairs.join(v.select(F.col("id").alias("neighbour"), "v"), "neighbour").join(q.select(F.col("id").alias("query"), F.col("v").alias("own")), "query")
-    scored = met.select("query", "neighbour", F.coalesce(cosine(F.col("own"), F.col("v")), F.lit(0.0)).alias("similarity"))
+    most = min(40, max(1, round(np.log2(max(2, n / bucket_rows)))))
+    planes = np.random.default_rng(seed).normal(size=(wide, tables, most))
+    planes = np.ascontiguousarray(planes[..., : _fitted_bits(q, v, k, planes, probes, recall, sample)])
+    sizes = _hashed(v, kind, planes, 0, vectors=False).groupBy("table", "bucket").agg(F.ceil(F.count("*") / crowded).cast("int").alias("parts"))
+    full, parts = materialize(sizes.where("parts > 1"), "full"), F.coalesce("parts", F.lit(1))
+    held = _hashed(v, kind, planes, 0).join(full, ["table", "bucket"], "left").select("table", "bucket", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "v")
+    asked = _hashed(q, kind, planes, probes).join(full, ["table", "bucket"], "left").select("table", "bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "id", "v")
+    met = [df.groupBy("table", "bucket", "part") for df in (asked, held)]
+    scored = met[0].cogroup(met[1]).applyInPandas(lambda some, all_: _most_similar(some, all_, k), f"query {kind}, neighbour {kind}, similarity double")
+    scored = scored.groupBy("query", "neighbour").agg(F.max("similarity").alias("similarity"))  # met in several tables
     return top_k_per_group(scored, ["query"], [F.desc("similarity"), F.col("neighbour")], k, "rank")
 
 

@@ -99,6 +99,15 @@ def test_scores_of_users_are_no_table(spark):
     assert all(got[k] is None if v is None else abs(got[k] - v) < 1e-9 for k, v in want.items())
 
 
+def test_buckets_grow_where_recall_would_fall(spark):
+    vectors = np.random.default_rng(2).normal(size=(6000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>")
+    some = df.where("id % 20 = 0")
+    near = neighbours.lsh_neighbours(some, df, "id", "v", 10, tables=3, probes=3, bucket_rows=4)
+    exact = neighbours.nearest_neighbours(some, df, "id", "v", 10)
+    assert near.select("query", "neighbour").intersect(exact.select("query", "neighbour")).count() >= 0.9 * exact.count()
+
+
 def test_all_words_are_counted(spark):
     df = spark.createDataFrame([(i, [f"w{j}" for j in range(i, i + 12000)]) for i in range(2)], "k int, words array<string>")
     for vocabulary, want in ((10000, 10000), (None, 11999)):
