@@ -73,6 +73,16 @@ def test_largest_products_by_blocks(spark, scale):
     assert len(few) == 80
 
 
+def test_few_products_are_sorted(monkeypatch):
+    sorted_, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_.append(len(keys[0])) or lexsort(keys))
+    r = np.random.default_rng(4)
+    x, y = r.normal(size=(256, 8)).astype(np.float32), r.normal(size=(4000, 8)).astype(np.float32)
+    _, best = recommend._largest(x, y, 5)
+    assert np.allclose(best, np.sort(x @ y.T, axis=1)[:, ::-1][:, :5], atol=1e-5)
+    assert sum(sorted_) < 256 * 100
+
+
 def test_scores_of_users_are_no_table(spark):
     r = np.random.default_rng(7)
     seen = [(u, i, float(1 + i % 3) if ((u or 0) + i) % 5 else None) for u in [None, *range(40)] for i in sorted(set(r.integers(0, 30, 6).tolist()))]
