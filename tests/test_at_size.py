@@ -24,6 +24,15 @@ def test_word_vectors_are_trained_by_all_tasks(spark, monkeypatch):
     assert seen == [spark.sparkContext.defaultParallelism] and seen[0] > 1
 
 
+def test_word_vectors_are_trained_on_written_tokens(spark, monkeypatch):
+    seen, fit = [], Word2Vec.fit
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, df: seen.append((plan(df), df.rdd.getNumPartitions())) or fit(self, df))
+    df = features.words(spark.createDataFrame([("a b a c",)] * 40, "text string").coalesce(1), "text")
+    made = features.word2vec(df, "words", 4)
+    assert {len(r.vector) for r in made.collect()} == {4} and made.columns == ["text", "words", "vector"]
+    assert "FileScan parquet" in seen[0][0] and "split" not in seen[0][0] and seen[0][1] > 1
+
+
 def test_claims_are_read_inside_their_rows(spark):
     rows = [(1, "ST*837~NM1*IL*1*DOE*ANN~CLM*A*5***11:B:1~CLM*B*x~NM1*82*1*HOUSE*GREG~NM1*82*1*LATE*LEE~SE*1~CLM*C*7"), (1, "CLM*D*1.5~NM1*82*1*FOX*SAM"), (2, None), (3, "ST*837~SE*1")]
     made = messages.parse_x12_claims(spark.createDataFrame(rows, "k int, x string"), "k", "x")
