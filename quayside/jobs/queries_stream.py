@@ -137,19 +137,18 @@ r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY z, event_id ROWS UNBO
 s AS (SELECT user_id, k, max(z) AS last_ms, count(*) AS n, round(sum(value), 3) AS total, max(k) OVER (PARTITION BY user_id) AS newest FROM r GROUP BY user_id, k)
 SELECT user_id, last_ms, n, total FROM s WHERE k < newest OR last_ms + 86400000 <= (SELECT max(z) FROM e)""")
 def _(t):
-    """Users that were idle for a day, told once. The events come in the order of their times, in four batches, the last two
-    of them after a restart."""
+    """Users that were idle for a day, told once. The events come in the order of their times, in four batches, each of them
+    after a restart."""
     path, out, check = (scratch_path(t.spark, n) for n in ("timed", "idle", "check"))
     e = t.events.select("user_id", "ts", "value")
     quarter = F.ntile(4).over(Window.orderBy("day"))
     days = e.select(F.col("ts").cast("date").alias("day")).distinct().withColumn("quarter", quarter)  # a row a day
     dealt = e.join(days, F.col("ts").cast("date") == F.col("day")).select("user_id", "ts", "value", "quarter")
     dealt = materialize(dealt, "dealt")
-    for half in ([1, 2], [3, 4]):
-        for q in half:
-            dealt.where(F.col("quarter") == q).drop("quarter").coalesce(1).write.mode("append").parquet(path)
+    for q in (1, 2, 3, 4):
+        dealt.where(F.col("quarter") == q).drop("quarter").write.mode("append").parquet(path)
         with S.with_rocksdb(t.spark):
-            told = S.idle_runs(S.stream_files(t.spark, path, e.schema, "parquet", 1), "user_id", "ts", "value")
+            told = S.idle_runs(S.stream_files(t.spark, path, e.schema, "parquet"), "user_id", "ts", "value")
             told.writeStream.foreachBatch(S.by_batch(out)).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(out).select("user_id", "last_ms", "n", F.round("total", 3).alias("total"))
 
