@@ -24,7 +24,7 @@ CHUNK_EDGES = 1 << 20  # edges that a task contracts at once
 
 def _smallest_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For each of the nodes 0 to n - 1, the smallest node that the edges (a, b) connect it with."""
-    root = np.arange(n)
+    root = np.arange(n, dtype=a.dtype)
     while True:
         x, y = root[a], root[b]
         apart = x != y
@@ -39,15 +39,29 @@ def _smallest_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             root = above
 
 
+def _numbered(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """The distinct ends of the edges in order, and the place there of each first, then each second end."""
+    kind = table.schema.field(0).type
+    chunks = [c for column in table.columns for c in column.chunks]
+    if pa.types.is_integer(kind):  # by sorting, as a hash table takes several times the room
+        ends = np.concatenate([c.to_numpy() for c in chunks])
+        nodes = np.sort(ends)
+        nodes = nodes[np.append(True, nodes[1:] != nodes[:-1])]
+        code = np.empty(len(ends), np.int32)
+        for at in range(0, len(ends), 1 << 16):
+            code[at : at + (1 << 16)] = np.searchsorted(nodes, ends[at : at + (1 << 16)])
+        return pa.array(nodes, kind), code
+    encoded = pa.chunked_array(chunks, kind).combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(encoded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return encoded.dictionary.take(pa.array(order)), place[encoded.indices.to_numpy()]
+
+
 def _forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    table = pa.Table.from_batches(held).combine_chunks()
-    ends = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks], table.schema.field(0).type).combine_chunks().dictionary_encode()
-    order = pc.array_sort_indices(ends.dictionary).to_numpy()
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    code = place[ends.indices.to_numpy()]
-    root = _smallest_reached(code[: table.num_rows], code[table.num_rows :], len(order))
-    nodes = ends.dictionary.take(pa.array(order))
+    table = pa.Table.from_batches(held)
+    nodes, code = _numbered(table)
+    root = _smallest_reached(code[: table.num_rows], code[table.num_rows :], len(nodes))
     return pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(root))], names=["node", "root"])
 
 
