@@ -31,41 +31,48 @@ def _unit(values: pd.Series) -> np.ndarray:
 
 
 def _most_similar(some: pd.DataFrame, all_: pd.DataFrame, k: int) -> pd.DataFrame:
-    """``(query, neighbour, similarity)`` of the k vectors of ``all_`` most similar to each of ``some`` (ties: the smaller key)."""
+    """``(query, neighbour, similarity)`` of the k vectors of ``all_`` most similar to each of ``some`` (ties: the smaller key).
+
+    A product of matrices finds the candidates: those that reach the k-th of about 2048 vectors of ``all_``. Their similarity
+    is then added up number by number, so that copies of a vector tie wherever they stand.
+    """
     made = [pd.DataFrame({"query": some["id"].to_numpy()[:0], "neighbour": all_["id"].to_numpy()[:0], "similarity": np.zeros(0)})]
     if some.empty or all_.empty:
         return made[0]
     all_ = all_.sort_values("id")
     ids, names = some["id"].to_numpy(), all_["id"].to_numpy()
-    x, y, most = _unit(some["v"]), np.ascontiguousarray(_unit(all_["v"]).T), min(k, len(names))
+    x, y, most = _unit(some["v"]), _unit(all_["v"]), min(k, len(names))
+    across, apart = np.ascontiguousarray(y.T), max(1, min(len(names) // 2048, len(names) // most))
     for at in range(0, len(ids), 128):  # a slice of similarities at a time, so a task holds some MB of them
         own = ids[at : at + 128]
-        sims = x[at : at + 128] @ y
+        sims = x[at : at + 128] @ across
         low, high = np.searchsorted(names, own, "left"), np.searchsorted(names, own, "right")
         for r in np.flatnonzero(high > low):
             sims[r, low[r] : high[r]] = -np.inf
-        least = np.partition(sims, len(names) - most, axis=1)[:, len(names) - most]
+        few = sims[:, ::apart]
+        least = np.partition(few, few.shape[1] - most, axis=1)[:, few.shape[1] - most] - 1e-9
         row, col = np.divmod(np.flatnonzero((sims >= least[:, None]) & (sims > -np.inf)), len(names))
-        order = np.lexsort((col, -sims[row, col], row))
-        row, col = row[order], col[order]
+        score = np.concatenate([(x[at + row[c : c + 65536]] * y[col[c : c + 65536]]).sum(1) for c in range(0, max(1, len(row)), 65536)])
+        order = np.lexsort((col, -score, row))
+        row, col, score = row[order], col[order], score[order]
         kept = np.arange(len(row)) - np.searchsorted(row, row) < most
-        row, col = row[kept], col[kept]
-        made.append(pd.DataFrame({"query": own[row], "neighbour": names[col], "similarity": sims[row, col]}))
+        made.append(pd.DataFrame({"query": own[row[kept]], "neighbour": names[col[kept]], "similarity": score[kept]}))
     return pd.concat(made[1:])
 
 
-def nearest_neighbours(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 16384, vector_block: int = 8192) -> DataFrame:
+def nearest_neighbours(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 65536, vector_block: int = 32768) -> DataFrame:
     """``(query, neighbour, similarity, rank)``: the exact k nearest by cosine, the query itself left out.
 
-    Queries and vectors are dealt into blocks of about these sizes. Each block of queries meets each block of vectors in a
-    task of its own as one matrix product, which keeps its k best, and a window picks the k best of those (ties: the smaller
-    key). Null and empty vectors and null keys are left out, a vector of length 0 has similarity 0 to all; all vectors must
-    have as many numbers. Without queries or vectors there are no rows.
+    Queries and vectors are dealt into blocks of at most about these sizes. Each block of queries meets each block of vectors
+    in a task of its own as one matrix product, which keeps its k best, and a window picks the k best of those (ties: the
+    smaller key). Null and empty vectors and null keys are left out, a vector of length 0 has similarity 0 to all; all vectors
+    must have as many numbers. Without queries or vectors there are no rows.
     """
     q, v = _vectors(queries, key, vector), _vectors(vectors, key, vector)
     kind = v.schema["id"].dataType.simpleString()
     sizes, tasks = [q.count(), v.count()], v.sparkSession.sparkContext.defaultParallelism
-    n_q, n_v = max(1, -(-sizes[0] // block)), max(1, -(-sizes[1] // vector_block), min(tasks, -(-sizes[1] // 1024)))
+    n_v = max(1, -(-sizes[1] // vector_block), min(tasks, -(-sizes[1] // 1024)))
+    n_q = max(1, -(-sizes[0] // block), min(-(-4 * tasks // n_v), -(-sizes[0] // 1024)))  # few blocks are worth all tasks as well
     deal = lambda own, n: F.pmod(F.xxhash64("id", F.lit(own)), F.lit(n)).cast("int").alias(own)
     every = lambda other, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(other)
 
@@ -138,7 +145,8 @@ def lsh_neighbours(
     """
     q, v = _vectors(queries, key, vector), _vectors(vectors, key, vector)
     kind = v.schema["id"].dataType.simpleString()
-    n, wide = v.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    n, wide = v.agg(F.count("*"), F.max(F.size("v"))).first()
+    wide = wide or q.agg(F.max(F.size("v"))).first()[0] or 1  # queries without a vector to meet are hashed as well
     most = min(40, max(1, round(np.log2(max(2, n / bucket_rows)))))
     planes = np.random.default_rng(seed).normal(size=(wide, tables, most))
     planes = np.ascontiguousarray(planes[..., : _fitted_bits(q, v, k, planes, probes, recall, sample)])
